@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import WORD, table, written
 
 #: Slices of the order within a source. Only the slice in which a source's need ends is sorted.
 SLICES = 4096
@@ -25,7 +25,7 @@ def targets(sized: DataFrame, weights: int = 3, most: int = 3) -> DataFrame:
     up, every = W.orderBy("ratio", "weight", F.col("source").asc_nulls_last()), W.partitionBy()
     stop = stop.withColumn("below", F.sum(F.lit(most) * F.col("source_size")).over(up.rowsBetween(W.unboundedPreceding, -1))).withColumn("above", F.sum("weight").over(up.rowsBetween(0, W.unboundedFollowing))).withColumn("all", F.sum("source_size").over(every))
     level = (F.col("all") - F.coalesce("below", F.lit(0))) / F.col("above")
-    stop = stop.withColumn("level", F.min(F.when(level <= F.col("ratio"), level)).over(every))
+    stop = stop.withColumn("level", F.max(F.when(level <= F.col("ratio"), level)).over(every))
     return stop.select("source", "source_size", F.when(F.col("ratio") <= F.col("level"), F.lit(most) * F.col("source_size").cast("double")).otherwise(F.col("weight") * F.col("level")).alias("target"))
 
 
@@ -33,32 +33,49 @@ def mix(docs: DataFrame, weights: int = 3, most: int = 3, seed: int = 4) -> Data
     """docs with size, source_size, target, copies and taken (size * copies) for each row.
 
     target / source_size is how many copies of each document of a source are wanted. Its whole part is allocated for
-    certain; the rest is the inclusion chance p of a Pareto order sample: by U/(1-U) / (p/(1-p)) with U a hash of the row,
+    certain; the rest is the inclusion chance p of a Pareto order sample: by U/(1-U) / (p/(1-p)), with U a hash of the row,
     the least are taken until the source's need in words is filled as nearly as whole documents can. Chances differ between
     sources and are equal within one, so no text of a source is preferred to another.
 
-    The order is cut into SLICES slices; words are summed by source and slice (pre-aggregated), and only the slice where
-    the need ends is sorted, so no source is gathered in one task, however large.
-    Defined results: a null text has size 0, and 0 words taken; null sources are one source; rows that repeat are
-    documents of their own, and equal rows that tie in the order are all taken or all left. Reruns agree.
+    Within a source the rank grows with U, so slices of U are slices of the order. Words are summed by source and slice
+    (pre-aggregated), and only the slice in which the need ends is sorted: no source is gathered in one task.
+    Defined results: a null text has size 0, and 0 words taken; null sources are one source; columns of docs named like
+    those added are replaced. Rows of equal doc_id and text tie, and are all taken or all left. Reruns agree. An empty
+    table gives an empty table.
     """
     names = [c for c in docs.columns if c not in {"size", "source_size", "target", "copies", "taken"}]
     u = (F.xxhash64(F.lit(seed), "doc_id", "text").bitwiseAND(F.lit((1 << 52) - 1)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    sized = docs.select(*names, F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"), u.alias("_u"))
-    goals = targets(sized.select("source", "size"), weights, most)
-    goals = goals.withColumn("_whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)).withColumn("_need", F.col("target") - F.col("_whole") * F.col("source_size"))
-    goals = goals.withColumn("_p", F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), F.col("_need") / F.greatest(F.lit(1), F.col("source_size")))))
-    # In a source p is constant and the rank grows with U: slices of U are slices of the order.
-    at = F.floor(F.col("_u") * SLICES)
-    slices = sized.groupBy("source", at.alias("_at")).agg(F.sum("size").alias("_words"))
-    named = goals.withColumnRenamed("source", "_source")
-    run = W.partitionBy("source").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
-    before = slices.withColumn("_before", F.coalesce(F.sum("_words").over(run), F.lit(0)))
-    cut = before.join(F.broadcast(named) if False else named, F.col("source").eqNullSafe(F.col("_source"))).where("_before < _need AND _before + _words >= _need")
-    cut = cut.select("_source", F.col("_at").alias("_cut"), "_before")
-    plan = named.join(cut.withColumnRenamed("_source", "_s"), F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    rows = sized.join(plan, F.col("source").eqNullSafe(F.col("_source")))
-    return rows, at, names
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    slim = written(docs.select("source", size.alias("size"), u.alias("u"))).withColumn("slice", F.floor(F.col("u") * SLICES))
+    slices = written(slim.groupBy("source", "slice").agg(F.sum("size").alias("words")))
+
+    goals = targets(slices.select("source", F.col("words").alias("size")), weights, most)
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    goals = goals.withColumn("whole", whole).withColumn("need", F.col("target") - F.col("whole") * F.col("source_size"))
+    chance = F.col("need") / F.greatest(F.lit(1), F.col("source_size"))
+    goals = goals.withColumn("p", F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), chance))).withColumnRenamed("source", "name")
+
+    run = W.partitionBy("source").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
+    before = slices.withColumn("before", F.coalesce(F.sum("words").over(run), F.lit(0)))
+    known = F.col("source").eqNullSafe(F.col("name"))
+    cut = before.join(goals, known).where("before < need AND before + words >= need").select("name", "p", "need", "before", F.col("slice").alias("at"))
+    rank = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
+    last = slim.join(cut, known & (F.col("slice") == F.col("at"))).withColumn("rank", rank)
+    up = W.partitionBy("source").orderBy("rank").rangeBetween(W.unboundedPreceding, W.currentRow)
+    last = last.withColumn("upto", F.col("before") + F.sum("size").over(up))
+    tied = last.groupBy("source", "need", "before", "rank").agg(F.max("upto").alias("upto"), F.sum("size").alias("own"))
+    # Of the rows that tie at a rank, the middle lies within the need: the mix ends as near to it as it can.
+    ends = tied.groupBy("source").agg(F.max(F.when(F.col("upto") - F.col("own") / 2 <= F.col("need"), F.col("rank"))).alias("limit"))
+    ends = ends.select(F.col("source").alias("ended"), "limit")
+    cut = cut.select(F.col("name").alias("cut_name"), "at")
+    plan = goals.join(cut, F.col("name").eqNullSafe(F.col("cut_name")), "left").join(ends, F.col("name").eqNullSafe(F.col("ended")), "left")
+    plan = plan.select(*(F.col(c).alias(f"_{c}") for c in ("name", "source_size", "target", "whole", "p", "at", "limit")))
+
+    rows = docs.select(*names, size.alias("size"), u.alias("_u")).join(plan, F.col("source").eqNullSafe(F.col("_name")))
+    at, rank = F.floor(F.col("_u") * SLICES), (F.col("_u") / (1 - F.col("_u"))) / (F.col("_p") / (1 - F.col("_p")))
+    more = F.coalesce((at < F.col("_at")) | (at == F.col("_at")) & (rank <= F.col("_limit")), F.lit(False))
+    rows = rows.withColumn("copies", (F.col("_whole") + more.cast("int")).cast("int"))
+    return rows.select(*names, "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
