@@ -10,7 +10,8 @@ from .bpe import op2_bpe
 from .minhash import op9_minhash_near_dedup
 from .mixing import op4_mixing
 from .substring import op10_substring_dedup
+from .toxicity import op8_toxicity
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bpe, op4_mixing, op9_minhash_near_dedup, op10_substring_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bpe, op4_mixing, op8_toxicity, op9_minhash_near_dedup, op10_substring_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
