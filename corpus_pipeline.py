@@ -26,8 +26,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words that stand in a window of 50 words of an earlier document; other texts stay as they are."""
-    cut = remove_duplicates(docs, with_text=True).where("n_removed > 0").select(F.col("doc_id").alias("_id"), "row_key", "kept_text")
-    rows = docs.withColumn("_key", F.col("doc_id")).join(cut.dropDuplicates(["_id"]), F.col("_key") == F.col("_id"), "left")
+    cut = remove_duplicates(docs, with_text=True).where("n_removed > 0").select(F.col("doc_id").alias("_id"), "row_key", "kept_text").dropDuplicates(["_id", "row_key"])
+    rows = docs.join(cut, (docs["doc_id"] == F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("row_key")), "left")
     text = F.coalesce("kept_text", "text")
     new = {"text": text.alias("text"), "n_chars": F.when(F.col("kept_text").isNotNull(), F.length("kept_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")}
     return rows.select(*(new.get(c, F.col(c)) for c in docs.columns))

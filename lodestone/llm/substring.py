@@ -18,10 +18,6 @@ ANCHOR = 16
 BLOCK = 20_000
 
 
-def _row_key(digest: bytes) -> int:
-    return int.from_bytes(digest[:8], "little", signed=True)
-
-
 def _picked(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Anchor hashes, and for each window the position of the one it picks."""
     v = grams(h, ANCHOR)
@@ -29,7 +25,7 @@ def _picked(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def summaries(docs: DataFrame, window: int) -> DataFrame:
-    """doc_id, row_key, n_words, sha (of all words joined) and the distinct anchors that the windows of each text pick."""
+    """doc_id, row_key (a hash of the text), n_words, sha (of all words joined) and the distinct anchors that the windows of each text pick."""
 
     def make(text: bytes | None) -> tuple:
         w = words(text)
@@ -38,10 +34,10 @@ def summaries(docs: DataFrame, window: int) -> DataFrame:
         if len(w) >= window:
             v, at = _picked(hashed(w), window)
             anchors = signed(np.unique(v[np.unique(at)]))
-        return _row_key(digest), len(w), digest, anchors
+        return len(w), digest, anchors
 
     schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("n_words", pa.int64()), ("sha", pa.binary()), ("anchors", pa.list_(pa.int64()))])
-    return docs.mapInArrow(per_row(make, ["doc_id"], schema), "doc_id long, row_key long, n_words long, sha binary, anchors array<long>")
+    return docs.mapInArrow(per_row(make, ["doc_id", "row_key"], schema), "doc_id long, row_key long, n_words long, sha binary, anchors array<long>")
 
 
 def occurrences(texts: DataFrame, window: int) -> DataFrame:
@@ -54,9 +50,9 @@ def occurrences(texts: DataFrame, window: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
-            ids, shared = batch.column(names.index("doc_id")).to_pylist(), batch.column(names.index("shared"))
+            ids, keys, shared = batch.column(names.index("doc_id")).to_pylist(), batch.column(names.index("row_key")).to_pylist(), batch.column(names.index("shared"))
             out: list[tuple] = []
-            for doc_id, have, text in zip(ids, shared, texts_of(batch), strict=True):
+            for doc_id, key, have, text in zip(ids, keys, shared, texts_of(batch), strict=True):
                 w = words(text)
                 if len(w) < window:
                     continue
@@ -66,7 +62,6 @@ def occurrences(texts: DataFrame, window: int) -> DataFrame:
                 known, count = known[order], count[order]
                 h = hashed(w)
                 v, at = _picked(h, window)
-                key = _row_key(hashlib.sha256(b" ".join(w)).digest())
                 where = np.minimum(np.searchsorted(known, v[at]), len(known) - 1)
                 starts = np.flatnonzero(known[where] == v[at])
                 if not len(starts):
@@ -132,12 +127,12 @@ def factors(segments: DataFrame) -> DataFrame:
 def duplicate_spans(docs: DataFrame, window: int = 50) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Summaries of all rows, texts of those with shared anchors, and doc_id, row_key, spans: the [begin, end) word spans of
     duplicate windows, those whose words also start in a document with a smaller doc_id."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row_key"), "text")
     all_rows = written(summaries(docs, window))
-    anchors = all_rows.where("doc_id IS NOT NULL").select("doc_id", F.explode("anchors").alias("anchor"))
+    anchors = all_rows.where("doc_id IS NOT NULL").select("doc_id", "row_key", F.explode("anchors").alias("anchor"))
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("anchor", "n")
-    held = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "n")).alias("shared"))
-    texts = written(docs.join(held, "doc_id").select("doc_id", "text", "shared"))
+    held = anchors.join(shared, "anchor").groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("anchor", "n")).alias("shared"))
+    texts = written(docs.join(held, ["doc_id", "row_key"]).select("doc_id", "row_key", "text", "shared"))
     found = written(occurrences(texts, window))
     parsed = factors(found)
     spans = found.withColumn("segment", F.xxhash64("places", "windows")).join(parsed, ["anchor", "block", "segment"])
@@ -172,16 +167,14 @@ def remove_duplicates(docs: DataFrame, window: int = 50, with_text: bool = False
         for batch in batches:
             out = []
             for doc_id, spans, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), texts_of(batch), strict=True):
-                w = words(text)
-                if _row_key(hashlib.sha256(b" ".join(w)).digest()) == key:
-                    left, n = _without(spans, w)
-                    left = b" ".join(left)
-                    out.append((doc_id, key, n, hashlib.sha256(left).digest(), left.decode() if with_text else None))
+                left, n = _without(spans, words(text))
+                left = b" ".join(left)
+                out.append((doc_id, key, n, hashlib.sha256(left).digest(), left.decode() if with_text else None))
             if out:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()), strict=True)], names=["doc_id", "row_key", "n", "left_sha", "left_text"])
 
-    changed = texts.select("doc_id", "text").join(spans, "doc_id").select("doc_id", "spans", "row_key", "text")
-    changed = changed.mapInArrow(cut, "doc_id long, row_key long, n long, left_sha binary, left_text string").dropDuplicates(["doc_id", "row_key"])
+    changed = texts.select("doc_id", "row_key", "text").dropDuplicates(["doc_id", "row_key"]).join(spans, ["doc_id", "row_key"]).select("doc_id", "spans", "row_key", "text")
+    changed = changed.mapInArrow(cut, "doc_id long, row_key long, n long, left_sha binary, left_text string")
     out = all_rows.select("doc_id", "row_key", "n_words", "sha").join(changed, ["doc_id", "row_key"], "left")
     out = out.select("doc_id", "row_key", "n_words", F.coalesce("n", F.lit(0)).alias("n_removed"), F.lower(F.hex(F.coalesce("left_sha", "sha"))).alias("kept_sha256"), F.col("left_text").alias("kept_text"))
     return out if with_text else out.drop("kept_text")
