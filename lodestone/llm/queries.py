@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import op5_nearest_neighbours
 from .bpe import op2_bpe
 from .minhash import op9_minhash_near_dedup
 from .mixing import op4_mixing
@@ -13,6 +14,6 @@ from .mpeg import op7_mpeg_audio
 from .substring import op10_substring_dedup
 from .toxicity import op8_toxicity
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bpe, op4_mixing, op7_mpeg_audio, op8_toxicity, op9_minhash_near_dedup, op10_substring_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bpe, op4_mixing, op5_nearest_neighbours, op7_mpeg_audio, op8_toxicity, op9_minhash_near_dedup, op10_substring_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
