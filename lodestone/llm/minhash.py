@@ -46,19 +46,55 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(per_row(sign, ["doc_id"], schema), "doc_id long, n_shingles long, digest binary, a array<long>, b array<long>")
 
 
-def candidates(sets: DataFrame) -> DataFrame:
-    """Pairs x < y of documents that share a table key. A key joins a half key of a with one of b.
-
-    A bucket yields no pairs of all its members: each member meets the bucket's least and greatest document, which are
-    pre-aggregated minima joined back, so a bucket of any size is linear and can be split. Sizes prune pairs.
-    """
+def meetings(sets: DataFrame) -> DataFrame:
+    """A row for each document and table key that others share: key, d, the bucket's least and greatest document (lo, hi)
+    and its size. A key joins a half key of a with one of b. Minima are pre-aggregated and joined back, so a bucket of any
+    size is linear and can be split."""
     keys = sets.select(F.struct("doc_id", "n_shingles").alias("d"), F.explode(F.expr("flatten(transform(a, (x, i) -> transform(b, (y, j) -> xxhash64(i, j, x, y))))")).alias("key"))
-    ends = keys.groupBy("key").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo.doc_id < hi.doc_id")
-    met = keys.join(ends, "key").select("d", F.explode(F.array("lo", "hi")).alias("e")).where("d.doc_id <> e.doc_id")
-    met = met.where("5 * least(d.n_shingles, e.n_shingles) >= 4 * greatest(d.n_shingles, e.n_shingles)")
+    ends = keys.groupBy("key").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.count("*").alias("size")).where("lo.doc_id < hi.doc_id")
+    return keys.join(ends, "key")
+
+
+def _sized(met: DataFrame) -> DataFrame:
+    """Pairs x < y of d and e that their sizes don't rule out."""
+    met = met.where("d.doc_id <> e.doc_id").where("5 * least(d.n_shingles, e.n_shingles) >= 4 * greatest(d.n_shingles, e.n_shingles)")
     return met.select(F.least("d.doc_id", "e.doc_id").alias("x"), F.greatest("d.doc_id", "e.doc_id").alias("y")).distinct()
 
 
+def candidates(met: DataFrame) -> DataFrame:
+    """Each member of a bucket with the bucket's least and greatest document: all pairs of a bucket of up to three."""
+    return _sized(met.select("d", F.explode(F.array("lo", "hi")).alias("e")))
+
+
+def _component_of(links: DataFrame) -> DataFrame:
+    return components(links.select(F.col("x").alias("u"), F.col("y").alias("v")))
+
+
+def settled(links: DataFrame, crowd: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """links and those that buckets of over three members still hide; crowd: key and d, without members met by all others.
+
+    While members of a bucket lie in different components, some of them (twice as many in each round, by hash) meet all
+    members of other components and leave. A bucket of copies ends at once, and no bucket makes all its pairs unless none
+    of its members is like another. What is left out can't change a component.
+    """
+    for turn in range(64):
+        part = _component_of(links)
+        own = crowd.join(part.select(F.col("node").alias("doc"), "component"), F.col("d.doc_id") == F.col("doc"), "left")
+        own = own.select("key", "d", F.coalesce("component", "d.doc_id").alias("c"))
+        split = own.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+        live = written(own.join(split, "key"))
+        if live.isEmpty():
+            break
+        most = min(2**turn, 32)
+        lots = [F.min(F.struct(F.xxhash64(F.lit(64 * turn + k), "d.doc_id").alias("h"), F.col("d"), F.col("c"))) for k in range(most)]
+        chosen = live.groupBy("key").agg(F.array_distinct(F.transform(F.array(*lots), lambda x: F.struct(x["d"].alias("d"), x["c"].alias("c")))).alias("chosen"))
+        both = live.join(chosen, "key")
+        met = both.select("d", "c", F.explode("chosen").alias("p")).where("c <> p.c").select("d", F.col("p.d").alias("e"))
+        links = written(links.union(confirmed(_sized(met), full, percent)))
+        crowd = both.where(~F.exists("chosen", lambda x: x["d"]["doc_id"] == F.col("d.doc_id"))).select("key", "d")
+    return links
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs x, y whose whole sets are similar enough."""
     left, right = (sets.select(F.col("doc_id").alias(c), F.col("set").alias(f"set_{c}")) for c in "xy")
@@ -84,7 +120,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     so 2 * bands * rows minhashes do for what would take bands * bands * 2 * rows. A pair at the threshold 0.8 shares a
     key but for a chance of 2 * (1 - 0.8 ** rows) ** bands (2 in 10,000 as set). Every candidate is confirmed on whole sets.
 
-    First each document's least candidate is confirmed, then every candidate that still lies between two components.
+    First each document's least candidate is confirmed, then every candidate that still lies between two components, then
+    what large buckets still hide (see settled). Pairs within a component are not needed, and not made.
     Defined results: null or empty texts have no shingles, no links and are kept. Rows with a null doc_id have a null
     component, no links and are kept. Rows that repeat a doc_id are one document, linked if any of them is.
     An empty table gives an empty table.
@@ -94,16 +131,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     some = signed_docs.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     node = some.groupBy("digest").agg(F.min("doc_id").alias("node"))
     sets = some.join(node, "digest").where("doc_id = node").select("doc_id", "n_shingles", "a", "b").dropDuplicates(["doc_id", "n_shingles", "a", "b"])
-    pairs = written(candidates(sets))
+    met = written(meetings(sets))
+    pairs = written(candidates(met))
+    crowd = met.where("size > 3 AND d.doc_id <> lo.doc_id AND d.doc_id <> hi.doc_id").select("key", "d")
     schema = pa.schema([("doc_id", pa.int64()), ("set", pa.binary())])
-    held = pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
+    held = met.select(F.col("d.doc_id").alias("doc_id")).distinct()
     full = written(docs.join(held, "doc_id").mapInArrow(per_row(lambda t: (shingles(t, k).tobytes(),), ["doc_id"], schema), "doc_id long, set binary").where("length(set) > 0"))
     first = pairs.groupBy("y").agg(F.min("x").alias("x")).select("x", "y")
     links = written(confirmed(first, full, percent))
-    part = components(links.select(F.col("x").alias("u"), F.col("y").alias("v")))
+    part = _component_of(links)
     a, b = (part.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "xy")
     apart = pairs.join(first, ["x", "y"], "left_anti").join(a, "x", "left").join(b, "y", "left").where("NOT coalesce(cx = cy, false)").select("x", "y")
-    links = links.union(confirmed(apart, full, percent)).select(F.col("x").alias("u"), F.col("y").alias("v"))
+    links = written(links.union(confirmed(apart, full, percent)))
+    links = settled(links, crowd, full, percent).select(F.col("x").alias("u"), F.col("y").alias("v"))
     same = some.join(node, "digest").where("doc_id <> node").select(F.col("node").alias("u"), F.col("doc_id").alias("v"))
     part = components(links.union(same))
     whole = signed_docs.select("doc_id", "n_shingles").join(part.withColumnRenamed("node", "doc_id"), "doc_id", "left")
