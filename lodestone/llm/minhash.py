@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import grams, hashed, mixed, per_row, signed, table, words, written
@@ -55,50 +56,135 @@ def meetings(sets: DataFrame) -> DataFrame:
     return keys.join(ends, "key")
 
 
-def _sized(met: DataFrame) -> DataFrame:
+def _sized(met: DataFrame, percent: int) -> DataFrame:
     """Pairs x < y of d and e that their sizes don't rule out."""
-    met = met.where("d.doc_id <> e.doc_id").where("5 * least(d.n_shingles, e.n_shingles) >= 4 * greatest(d.n_shingles, e.n_shingles)")
+    met = met.where("d.doc_id <> e.doc_id").where(f"100 * least(d.n_shingles, e.n_shingles) >= {percent} * greatest(d.n_shingles, e.n_shingles)")
     return met.select(F.least("d.doc_id", "e.doc_id").alias("x"), F.greatest("d.doc_id", "e.doc_id").alias("y")).distinct()
 
 
-def candidates(met: DataFrame) -> DataFrame:
+def candidates(met: DataFrame, percent: int) -> DataFrame:
     """Each member of a bucket with the bucket's least and greatest document: all pairs of a bucket of up to three."""
-    return _sized(met.select("d", F.explode(F.array("lo", "hi")).alias("e")))
+    return _sized(met.select("d", F.explode(F.array("lo", "hi")).alias("e")), percent)
 
 
 def _component_of(links: DataFrame) -> DataFrame:
     return components(links.select(F.col("x").alias("u"), F.col("y").alias("v")))
 
 
+def _split(crowd: DataFrame, links: DataFrame) -> DataFrame:
+    """key, d, c of buckets whose members lie in different components c."""
+    part = _component_of(links)
+    own = crowd.join(part.select(F.col("node").alias("doc"), "component"), F.col("d.doc_id") == F.col("doc"), "left")
+    own = own.select("key", "d", F.coalesce("component", "d.doc_id").alias("c"))
+    ends = own.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+    return written(own.join(ends, "key"))
+
+
+def prefixes(members: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """key, d: for each member d the shingles of its prefix that another member has too.
+
+    A set's prefix is its rarest shingles among all members, so many that two sets that are similar enough can't have
+    disjoint ones. A passage that many members share is not rare, so it gathers no one.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64())])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, have in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                have = np.frombuffer(have.as_buffer(), np.int64)
+                yield pa.record_batch([pa.array(np.full(len(have), doc_id, np.int64)), pa.array(have)], schema=schema)
+
+    every = written(full.select("doc_id", "set").join(members.select(F.col("d.doc_id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(each, "doc_id long, key long"))
+    often = every.groupBy("key").agg(F.count("*").alias("n"))
+    shared = every.join(often.where("n > 1"), "key")
+    # Shingles of one member alone come first in its order, so counting them does.
+    size = every.groupBy("doc_id").agg(F.count("*").alias("n_shingles"))
+    least = W.partitionBy("doc_id").orderBy(F.desc("n"), F.desc("key"))
+    last = shared.withColumn("after", F.row_number().over(least)).join(size, "doc_id")
+    # The prefix leaves ceil(percent * size) - 1 shingles out, the most frequent.
+    last = last.where(F.col("after") >= F.ceil(F.col("n_shingles") * percent / 100))
+    return last.select("key", F.struct("doc_id", "n_shingles").alias("d"))
+
+
 def settled(links: DataFrame, crowd: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """links and those that buckets of over three members still hide; crowd: key and d, without members met by all others.
+    """links and those that buckets of over three members still hide; crowd: key and d of such buckets.
 
-    While members of a bucket lie in different components, some of them (twice as many in each round, by hash) meet all
-    members of other components and leave. A bucket of copies ends at once, and no bucket makes all its pairs unless none
-    of its members is like another. What is left out can't change a component.
+    Members of a bucket that lies in one component hide nothing. The others meet again by exact prefixes (see prefixes),
+    so what they are brought together by is rare. Those that still lie in different components are compared by their
+    sketches, in tiles of TILE by TILE members: a meeting of any size is dealt over many tasks, and only likely pairs
+    become rows. What is left out can't change a component.
     """
-    for turn in range(64):
-        part = _component_of(links)
-        own = crowd.join(part.select(F.col("node").alias("doc"), "component"), F.col("d.doc_id") == F.col("doc"), "left")
-        own = own.select("key", "d", F.coalesce("component", "d.doc_id").alias("c"))
-        split = own.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-        live = written(own.join(split, "key"))
-        if live.isEmpty():
-            break
-        most = min(2**turn, 32)
-        lots = [F.min(F.struct(F.xxhash64(F.lit(64 * turn + k), "d.doc_id").alias("h"), F.col("d"), F.col("c"))) for k in range(most)]
-        chosen = live.groupBy("key").agg(F.array_distinct(F.transform(F.array(*lots), lambda x: F.struct(x["d"].alias("d"), x["c"].alias("c")))).alias("chosen"))
-        both = live.join(chosen, "key")
-        met = both.select("d", "c", F.explode("chosen").alias("p")).where("c <> p.c").select("d", F.col("p.d").alias("e"))
-        links = written(links.union(confirmed(_sized(met), full, percent)))
-        crowd = both.where(~F.exists("chosen", lambda x: x["d"]["doc_id"] == F.col("d.doc_id"))).select("key", "d")
-    return links
-
-
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs x, y whose whole sets are similar enough."""
-    left, right = (sets.select(F.col("doc_id").alias(c), F.col("set").alias(f"set_{c}")) for c in "xy")
-    both = pairs.join(left, "x").join(right, "y").select("x", "y", "set_x", "set_y")
+    live = _split(crowd, links)
+    if live.isEmpty():
+        return links
+    live = _split(written(prefixes(live.select("d").distinct(), full, percent)), links)
+    live = live.join(live.groupBy("key").agg(F.count("*").alias("size")), "key")
+    few = live.where(f"size <= {FEW}")
+    met = few.join(few.select("key", F.col("d").alias("e"), F.col("c").alias("p")), "key").where("c <> p AND d.doc_id < e.doc_id")
+    pairs = _sized(met.select("d", "e"), percent).union(_tiled(live.where(f"size > {FEW}"), full, percent)).distinct()
+    return written(links.union(confirmed(written(pairs), full, percent)))
+
+
+#: Meetings of up to so many members are joined as they are; larger ones are cut into tiles of so many members a side.
+FEW, TILE = 8, 256
+
+
+def _tiled(live: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """x, y of different components whose sketches are alike; live: key, d, c, size."""
+    schema = pa.schema([("x", pa.int64()), ("y", pa.int64())])
+
+    def compare(group: pa.Table) -> pa.Table:
+        low = group.column("low")[0].as_py() == group.column("high")[0].as_py()
+        first = group.column("chunk").to_numpy() == group.column("low").to_numpy()
+        ids, part, n = (group.column(c).to_numpy() for c in ("doc_id", "c", "n"))
+        own = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
+        a, b = np.flatnonzero(first), np.flatnonzero(first if low else ~first)
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+        for i in a.tolist():
+            other = b[(part[b] != part[i]) & (100 * np.minimum(n[b], n[i]) >= percent * np.maximum(n[b], n[i]))]
+            other = other[ids[other] > ids[i]] if low else other
+            other = other[likely(own[other], own[i][None], percent)] if len(other) else other
+            out[0].append(np.minimum(ids[other], ids[i]))
+            out[1].append(np.maximum(ids[other], ids[i]))
+        return pa.table([np.concatenate(x) for x in out], schema=schema)
+
+    chunks = F.ceil(F.col("size") / TILE)
+    rows = live.select("key", F.col("d.doc_id").alias("doc_id"), F.col("d.n_shingles").alias("n"), "c", chunks.alias("chunks"), F.pmod(F.xxhash64("d.doc_id"), chunks).alias("chunk"))
+    rows = rows.join(full.select("doc_id", "sketch"), "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = rows.select("key", "doc_id", "n", "c", "chunk", "sketch", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
+    return rows.groupBy("key", "low", "high").applyInArrow(compare, "x long, y long").distinct()
+
+
+#: Bins of a sketch: the least hash of a set in each, by 8 bits of it (0: none).
+BINS = 128
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """s: sorted hashes."""
+    out = np.zeros(BINS, np.uint8)
+    first = np.searchsorted(s, np.arange(BINS, dtype=np.uint64) << np.uint64(57))
+    some = np.flatnonzero(np.append(first[1:], len(s)) > first)
+    out[some] = mixed(s[first[some]]) % np.uint64(255) + np.uint64(1)
+    return out.tobytes()
+
+
+def likely(p: np.ndarray, q: np.ndarray, percent: int) -> np.ndarray:
+    """Of rows of sketches, those whose share of equal bins isn't 4.5 standard deviations below the similarity asked for."""
+    some = ((p | q) > 0).sum(axis=1)
+    equal = ((p == q) & (p > 0)).sum(axis=1)
+    s = percent / 100
+    return equal >= s * some - 4.5 * np.sqrt(s * (1 - s) * some)
+
+
+def confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs x, y whose whole sets are similar enough. Sketches rule most of the others out (and a pair at the
+    threshold with a chance of under 1 in 100,000), so that few whole sets are moved."""
+
+    def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                p, q = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BINS) for k in (2, 3))
+                yield batch.select([0, 1]).filter(pa.array(likely(p, q, percent)))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,7 +195,12 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * common >= percent * (len(p) + len(q) - common))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(check, "x long, y long")
+    def both(rows: DataFrame, name: str) -> DataFrame:
+        left, right = (full.select(F.col("doc_id").alias(c), F.col(name).alias(f"_{c}")) for c in "xy")
+        return rows.join(left, "x").join(right, "y").select("x", "y", "_x", "_y")
+
+    near = both(pairs, "sketch").mapInArrow(guess, "x long, y long")
+    return both(near, "set").mapInArrow(check, "x long, y long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 9, rows: int = 2) -> DataFrame:
@@ -132,11 +223,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     node = some.groupBy("digest").agg(F.min("doc_id").alias("node"))
     sets = some.join(node, "digest").where("doc_id = node").select("doc_id", "n_shingles", "a", "b").dropDuplicates(["doc_id", "n_shingles", "a", "b"])
     met = written(meetings(sets))
-    pairs = written(candidates(met))
+    pairs = written(candidates(met, percent))
     crowd = met.where("size > 3 AND d.doc_id <> lo.doc_id AND d.doc_id <> hi.doc_id").select("key", "d")
-    schema = pa.schema([("doc_id", pa.int64()), ("set", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("set", pa.binary()), ("sketch", pa.binary())])
+
+    def whole_set(text: bytes | None) -> tuple[bytes, bytes]:
+        s = shingles(text, k)
+        return s.tobytes(), sketch(s)
+
     held = met.select(F.col("d.doc_id").alias("doc_id")).distinct()
-    full = written(docs.join(held, "doc_id").mapInArrow(per_row(lambda t: (shingles(t, k).tobytes(),), ["doc_id"], schema), "doc_id long, set binary").where("length(set) > 0"))
+    full = written(docs.join(held, "doc_id").mapInArrow(per_row(whole_set, ["doc_id"], schema), "doc_id long, set binary, sketch binary").where("length(set) > 0"))
     first = pairs.groupBy("y").agg(F.min("x").alias("x")).select("x", "y")
     links = written(confirmed(first, full, percent))
     part = _component_of(links)
