@@ -203,7 +203,7 @@ def parse(data: bytes) -> Stream:
                     s.frames.append((at, h))
                 kind, first, at = h.kind, False, nxt
                 continue
-            if kind is not None and s.frames and not follow:
+            if kind is not None and s.frames:
                 # The last frame before junk: its own place is certain, since the one before led here.
                 led = s.frames[-1][0] + s.frames[-1][1].size == at
                 if led:

@@ -178,10 +178,9 @@ def score(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) ->
     got = docs.select("doc_id", *given).join(wanted, "doc_id").select(F.col("doc_id").cast("long"), F.col("quality").cast("int"), "_lang", "_source", "_chars", "_text")
     got = got.mapInArrow(measure, "doc_id long, quality int, x0 array<double>, x1 array<double>").toPandas().sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
     y = got["quality"].to_numpy()
-    x = [np.array(got[c].to_list()).reshape(len(got), -1) for c in ("x0", "x1")]
     model = None
     if {0, 1} <= {*y.tolist()}:
-        on = y >= 0
+        x, on = [np.array(got[c].to_list()) for c in ("x0", "x1")], y >= 0
         model = co_train([v[on] for v in x], y[on].astype(float), [v[~on] for v in x])
     shared = spark.sparkContext.broadcast(model)
     rest = [c for c in keep or ["doc_id"] if c not in {"held_out", "content_score", "layout_score", "score", "predicted"}]
