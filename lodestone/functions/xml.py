@@ -6,6 +6,10 @@ import html
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: What nodes() returns; types, not DDL text, so that the module imports without a session.
+NODES = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("name", T.StringType()), T.StructField("value", T.StringType()), T.StructField("depth", T.IntegerType())]))
 
 
 def escape(text: Column, quotes: bool = False) -> Column:
@@ -20,7 +24,7 @@ def unescape(text: Column) -> Column:
     return text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape_html(text):  # noqa: ANN001, ANN201
     """All entity names of HTML, and references by number."""
     return text.map(html.unescape, na_action="ignore")
@@ -53,7 +57,7 @@ def well_formed(text: Column) -> Column:
     return _well_formed(text)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _well_formed(text):  # noqa: ANN001, ANN202
     from xml.parsers import expat
 
@@ -67,7 +71,7 @@ def _well_formed(text):  # noqa: ANN001, ANN202
     return text.map(ok, na_action="ignore")
 
 
-@F.pandas_udf("array<struct<kind:string,name:string,value:string,depth:int>>")
+@F.pandas_udf(NODES)
 def nodes(text):  # noqa: ANN001, ANN201
     """All nodes in document order: element, text, cdata, comment, pi, doctype; of ill-formed text those before the fault."""
     from xml.parsers import expat
