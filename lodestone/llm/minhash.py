@@ -110,9 +110,9 @@ def settled(links: DataFrame, crowd: DataFrame, full: DataFrame, percent: int) -
     """links and those that buckets of over three members still hide; crowd: key and d of such buckets.
 
     Members of a bucket that lies in one component hide nothing. The others meet again by exact prefixes (see prefixes),
-    so what they are brought together by is rare. Those that still lie in different components are compared by their
-    sketches, in tiles of TILE by TILE members: a meeting of any size is dealt over many tasks, and only likely pairs
-    become rows. What is left out can't change a component.
+    so what they are brought together by is rare. Those that still lie in different components are compared in tiles of
+    TILE by TILE members: a meeting of any size is dealt over many tasks, and only links become rows. What is left out
+    can't change a component.
     """
     live = _split(crowd, links)
     if live.isEmpty():
@@ -121,38 +121,85 @@ def settled(links: DataFrame, crowd: DataFrame, full: DataFrame, percent: int) -
     live = live.join(live.groupBy("key").agg(F.count("*").alias("size")), "key")
     few = live.where(f"size <= {FEW}")
     met = few.join(few.select("key", F.col("d").alias("e"), F.col("c").alias("p")), "key").where("c <> p AND d.doc_id < e.doc_id")
-    pairs = _sized(met.select("d", "e"), percent).union(_tiled(live.where(f"size > {FEW}"), full, percent)).distinct()
-    return written(links.union(confirmed(written(pairs), full, percent)))
+    pairs = written(_sized(met.select("d", "e"), percent))
+    return written(links.union(confirmed(pairs, full, percent)).union(_tiled(live.where(f"size > {FEW}"), full, percent)))
 
 
-#: Meetings of up to so many members are joined as they are; larger ones are cut into tiles of so many members a side.
-FEW, TILE = 8, 256
+#: Meetings of up to so many members are joined as they are; larger ones are cut into tiles of about so many members a side,
+#: or fewer if they have more than so many shingles. A member's row in a tile names its least keys, up to so many.
+FEW, TILE, LOAD, NAMED = 8, 256, 2_000_000, 64
+
+
+def _met_before(key: int, keys: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a by b: do the two members also share a smaller key? Then they are compared at their least one."""
+    known, count = np.unique(np.concatenate([k[k < key] for k in keys]), return_counts=True)
+    known, out = known[count > 1], np.zeros((len(a), len(b)), bool)
+    for at in range(0, len(known), 4096):
+        some = known[at : at + 4096]
+        has = np.zeros((len(keys), len(some)), np.float32)
+        for i, k in enumerate(keys):
+            has[i] = np.isin(some, k)
+        out |= has[a] @ has[b].T > 0
+    return out
 
 
 def _tiled(live: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """x, y of different components whose sketches are alike; live: key, d, c, size."""
-    schema = pa.schema([("x", pa.int64()), ("y", pa.int64())])
+    """x, y: links between different components among the members of large meetings; live: key, d, c, size.
+
+    A tile holds two chunks of a meeting, and each pair is compared in one of its meetings only. First sketches tell which
+    members of a tile have a likely partner in another component. Only their whole sets are then sent to the tile, which
+    compares them exactly and returns the links that join its components, never its pairs.
+    """
 
-    def compare(group: pa.Table) -> pa.Table:
-        low = group.column("low")[0].as_py() == group.column("high")[0].as_py()
-        first = group.column("chunk").to_numpy() == group.column("low").to_numpy()
-        ids, part, n = (group.column(c).to_numpy() for c in ("doc_id", "c", "n"))
+    def alike(group: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """A member, its likely partners and the members' components, which the caller may merge on the way."""
+        key, low = group.column("key")[0].as_py(), group.column("low")[0].as_py()
+        chunk, ids, part, n = (group.column(c).to_numpy() for c in ("chunk", "doc_id", "c", "n"))
+        keys = [np.array(k, np.int64) for k in group.column("keys").to_pylist()]
+        part = part.copy()
         own = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
-        a, b = np.flatnonzero(first), np.flatnonzero(first if low else ~first)
-        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
-        for i in a.tolist():
-            other = b[(part[b] != part[i]) & (100 * np.minimum(n[b], n[i]) >= percent * np.maximum(n[b], n[i]))]
-            other = other[ids[other] > ids[i]] if low else other
-            other = other[likely(own[other], own[i][None], percent)] if len(other) else other
-            out[0].append(np.minimum(ids[other], ids[i]))
-            out[1].append(np.maximum(ids[other], ids[i]))
-        return pa.table([np.concatenate(x) for x in out], schema=schema)
-
-    chunks = F.ceil(F.col("size") / TILE)
-    rows = live.select("key", F.col("d.doc_id").alias("doc_id"), F.col("d.n_shingles").alias("n"), "c", chunks.alias("chunks"), F.pmod(F.xxhash64("d.doc_id"), chunks).alias("chunk"))
-    rows = rows.join(full.select("doc_id", "sketch"), "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select("key", "doc_id", "n", "c", "chunk", "sketch", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
-    return rows.groupBy("key", "low", "high").applyInArrow(compare, "x long, y long").distinct()
+        one = group.column("high")[0].as_py() == low
+        a = np.flatnonzero(chunk == low)
+        b = a if one else np.flatnonzero(chunk != low)
+        before = _met_before(key, keys, a, b)
+        for i, met in zip(a.tolist(), before, strict=True):
+            other = b[~met & (part[b] != part[i]) & (100 * np.minimum(n[b], n[i]) >= percent * np.maximum(n[b], n[i]))]
+            other = other[ids[other] > ids[i]] if one else other
+            if len(other := other[likely(own[other], own[i][None], percent)]):
+                yield i, other, part
+
+    def flag(group: pa.Table) -> pa.Table:
+        some = np.zeros(group.num_rows, bool)
+        for i, other, _ in alike(group):
+            some[i] = some[other] = True
+        return group.select(["key", "low", "high", "doc_id"]).filter(pa.array(some))
+
+    def link(group: pa.Table) -> pa.Table:
+        ids, out = group.column("doc_id").to_pylist(), []
+        sets = [np.frombuffer(s, np.uint64) for s in group.column("set").to_pylist()]
+        known, code = np.unique(np.concatenate(sets), return_inverse=True)
+        code, has = np.split(code, np.cumsum([len(s) for s in sets])[:-1]), np.zeros(len(known), bool)
+        for i, other, part in alike(group):
+            has[code[i]] = True
+            for j in other.tolist():
+                if part[i] != part[j]:
+                    common = int(np.count_nonzero(has[code[j]]))
+                    if 100 * common >= percent * (len(code[i]) + len(code[j]) - common):
+                        part[part == part[j]] = part[i]
+                        out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+            has[code[i]] = False
+        return pa.table([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["x", "y"])
+
+    live = live.select("key", "c", "size", F.col("d.doc_id").alias("doc_id"), F.col("d.n_shingles").alias("n"))
+    chunks = live.groupBy("key").agg(F.greatest(F.ceil(F.max("size") / TILE), F.ceil(F.sum("n") / LOAD)).alias("chunks"))
+    keys = live.groupBy("doc_id").agg(F.slice(F.sort_array(F.collect_set("key")), 1, NAMED).alias("keys"))
+    rows = live.drop("size").join(chunks, "key").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), "chunks"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = rows.select("key", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "doc_id", "n", "c")
+    facts = full.select("doc_id", "sketch", "set").join(keys, "doc_id")
+    flagged = rows.join(facts.drop("set"), "doc_id").groupBy("key", "low", "high").applyInArrow(flag, "key long, low long, high long, doc_id long")
+    rows = rows.join(written(flagged), ["key", "low", "high", "doc_id"]).join(facts, "doc_id")
+    return rows.groupBy("key", "low", "high").applyInArrow(link, "x long, y long").distinct()
 
 
 #: Bins of a sketch: the least hash of a set in each, by 8 bits of it (0: none).
