@@ -126,8 +126,8 @@ def settled(links: DataFrame, crowd: DataFrame, full: DataFrame, percent: int) -
 
 
 #: Meetings of up to so many members are joined as they are; larger ones are cut into tiles of about so many members a side,
-#: or fewer if they have more than so many shingles. A member's row in a tile names its least keys, up to so many.
-FEW, TILE, LOAD, NAMED = 8, 256, 2_000_000, 64
+#: or fewer if they have more than so many shingles (a meeting of n members makes n * n / TILE rows of under 1 KB). A member's row in a tile names its least keys, up to so many.
+FEW, TILE, LOAD, NAMED = 8, 1024, 2_000_000, 64
 
 
 def _met_before(key: int, keys: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:

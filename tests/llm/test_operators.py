@@ -71,8 +71,9 @@ def test_near_duplicates(docs):
         assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), top(r.doc_id), top(r.doc_id) == r.doc_id)
 
 
-def test_large_buckets_lose_no_link(spark):
+def test_large_buckets_lose_no_link(spark, monkeypatch):
     """A crowd around one base, whose members are alike only in pairs: each pair must be one component."""
+    monkeypatch.setattr(minhash, "TILE", 16)
     draw = np.random.default_rng(0)
     base = [f"b{i}" for i in range(100)]
     rows = []
