@@ -22,18 +22,20 @@ def _small(e: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).where("u <> v")
 
 
+def _stars(e: DataFrame) -> bool:
+    """Does each node point to one that points nowhere? Then nothing can move any more."""
+    ends = e.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(e.select("v", F.lit(0), F.lit(1)))
+    ends = ends.groupBy("node").agg(F.sum("out").alias("out"), F.sum("into").alias("into"))
+    return not ends.where("out > 1 OR out > 0 AND into > 0").agg(F.count("*")).first()[0]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges: u, v long. Returns node, component (the least node reachable) for each node with an edge.
 
     No group is gathered: a node's least neighbour is a pre-aggregated minimum that is joined back, so a node with
     many links is split like any skewed join key. Each round is written to the shared folder.
     """
-    e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e, before = written(e), None
-    while True:
-        got = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("x")).first()
-        now = (got["n"], got["x"])
-        if now == before or not now[0]:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v"), F.col("v")).distinct())
-        before = now
-        e = written(_small(_large(e).distinct()).distinct())
+    e = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    while not _stars(e):
+        e = written(_small(_large(e)).distinct())
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v"), F.col("v")).distinct())

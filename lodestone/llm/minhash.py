@@ -71,9 +71,13 @@ def _component_of(links: DataFrame) -> DataFrame:
     return components(links.select(F.col("x").alias("u"), F.col("y").alias("v")))
 
 
-def _split(crowd: DataFrame, links: DataFrame) -> DataFrame:
+def _as_links(part: DataFrame) -> DataFrame:
+    """Each node linked with its component's least: as much as all links say, and next to no rounds for components()."""
+    return part.where("node <> component").select(F.col("component").alias("x"), F.col("node").alias("y"))
+
+
+def _split(crowd: DataFrame, part: DataFrame) -> DataFrame:
     """key, d, c of buckets whose members lie in different components c."""
-    part = _component_of(links)
     own = crowd.join(part.select(F.col("node").alias("doc"), "component"), F.col("d.doc_id") == F.col("doc"), "left")
     own = own.select("key", "d", F.coalesce("component", "d.doc_id").alias("c"))
     ends = own.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
@@ -107,17 +111,18 @@ def prefixes(members: DataFrame, full: DataFrame, percent: int) -> DataFrame:
 
 
 def settled(links: DataFrame, crowd: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """links and those that buckets of over three members still hide; crowd: key and d of such buckets.
+    """x, y that join what links join, and what buckets of over three members still hide; crowd: key and d of such buckets.
 
     Members of a bucket that lies in one component hide nothing. The others meet again by exact prefixes (see prefixes),
     so what they are brought together by is rare. Those that still lie in different components are compared in tiles of
     TILE by TILE members: a meeting of any size is dealt over many tasks, and only links become rows. What is left out
     can't change a component.
     """
-    live = _split(crowd, links)
+    part = _component_of(links)
+    live, links = _split(crowd, part), _as_links(part)
     if live.isEmpty():
         return links
-    live = _split(written(prefixes(live.select("d").distinct(), full, percent)), links)
+    live = _split(written(prefixes(live.select("d").distinct(), full, percent)), part)
     live = live.join(live.groupBy("key").agg(F.count("*").alias("size")), "key")
     few = live.where(f"size <= {FEW}")
     met = few.join(few.select("key", F.col("d").alias("e"), F.col("c").alias("p")), "key").where("c <> p AND d.doc_id < e.doc_id")
@@ -281,11 +286,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     held = met.select(F.col("d.doc_id").alias("doc_id")).distinct()
     full = written(docs.join(held, "doc_id").mapInArrow(per_row(whole_set, ["doc_id"], schema), "doc_id long, set binary, sketch binary").where("length(set) > 0"))
     first = pairs.groupBy("y").agg(F.min("x").alias("x")).select("x", "y")
-    links = written(confirmed(first, full, percent))
-    part = _component_of(links)
+    part = _component_of(confirmed(first, full, percent))
     a, b = (part.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "xy")
     apart = pairs.join(first, ["x", "y"], "left_anti").join(a, "x", "left").join(b, "y", "left").where("NOT coalesce(cx = cy, false)").select("x", "y")
-    links = written(links.union(confirmed(apart, full, percent)))
+    links = _as_links(part).union(confirmed(apart, full, percent))
     links = settled(links, crowd, full, percent).select(F.col("x").alias("u"), F.col("y").alias("v"))
     same = some.join(node, "digest").where("doc_id <> node").select(F.col("node").alias("u"), F.col("doc_id").alias("v"))
     part = components(links.union(same))
