@@ -1,9 +1,10 @@
-"""Approximate nearest neighbours on several shifted Hilbert curves."""
+"""Nearest neighbours: several shifted Hilbert curves bound each query's distances, then all blocks within a bound are searched."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,8 @@ SAMPLE = 4096
 AXES, BITS = 12, 5
 #: Curves, vectors in a block of a curve, neighbours that a block names for a query, and those reranked for a query.
 CURVES, BLOCK, NAMED, RERANKED = 16, 2048, 24, 64
+#: Queries that one pass over all vectors carries, and vectors that it bounds together.
+ASKED, TOGETHER = 4096, 1024
 
 
 def hilbert(x: np.ndarray, bits: int) -> np.ndarray:
@@ -133,13 +136,106 @@ def _named(places: DataFrame) -> DataFrame:
     return given.union(asked).groupBy("curve", "block").applyInArrow(near, "query long, rep long, near float")
 
 
+def _along(points: DataFrame, fitted: Curves) -> DataFrame:
+    """points in the order of the first curve, so that rows which stand together are close."""
+    shared = points.sparkSession.sparkContext.broadcast(fitted)
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.record_batch([*batch.columns, pa.array(next(shared.value.keys(_vectors(batch.column(3)))))], names=[*batch.schema.names, "key"])
+
+    points = points.select("rep", "ids", "wanted", "vector")
+    keyed = points.mapInArrow(key, "rep long, ids array<long>, wanted boolean, vector array<double>, key long")
+    return keyed.repartitionByRange(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "rep").sortWithinPartitions("key", "rep").drop("key")
+
+
+def squares(v: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Squared distances row by row, added up in the order of the components."""
+    out = np.zeros(len(v))
+    for j in range(v.shape[1]):
+        out += (v[:, j] - q[:, j]) ** 2
+    return out
+
+
+def closest(v: np.ndarray, q: np.ndarray, most: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query row, vector row and distance of all pairs that can be among a query's `keep` nearest and are no farther than `most`.
+
+    Queries beyond `most` of the ball about all of v are left out. Products are of vectors less their mean; pairs within their
+    rounding error of the bound are kept, and their distances taken from differences.
+    """
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    middle = v.mean(axis=0)
+    cv, cq = v - middle, q - middle
+    vv, qq = (cv**2).sum(axis=1), (cq**2).sum(axis=1)
+    ball, away = np.sqrt(vv.max()), np.sqrt(qq)
+    # Subtracting the mean rounds by the size of what is subtracted.
+    unit, size = np.finfo(np.float64).eps * (2 * v.shape[1] + 16), np.abs(middle).max() * np.sqrt(v.shape[1])
+    blur = unit * (size + ball + away)
+    near = np.flatnonzero(~(away - ball - 2 * blur > most))
+    found = [none]
+    for at in (near[i : i + 512] for i in range(0, len(near), 512)):
+        d = vv[None] + qq[at, None] - 2 * (cq[at] @ cv.T)
+        reach = away[at] + ball
+        error = unit * reach**2 + 4 * blur[at] * reach + 4 * blur[at] ** 2
+        limit = most[at] ** 2
+        if d.shape[1] > keep:
+            limit = np.minimum(limit, np.partition(d, keep - 1, axis=1)[:, keep - 1] + error)
+        a, b = np.nonzero(~(d > (limit + error)[:, None]))
+        for i in range(0, len(a), 100_000):
+            x, y = at[a[i : i + 100_000]], b[i : i + 100_000]
+            far = np.sqrt(squares(v[y], q[x]))
+            fits = far <= most[x]
+            found.append((x[fits], y[fits], far[fits]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _searched(points: DataFrame, asked: DataFrame, keep: int) -> DataFrame:
+    """query, rep, score: each query's `keep` nearest of all points, or more; asked has query, asked (its vector) and most.
+
+    Queries are dealt over passes of about ASKED, so what a pass broadcasts does not grow. A task keeps `keep` a query.
+    """
+    sc, schema = points.sparkSession.sparkContext, pa.schema([("query", pa.int64()), ("rep", pa.int64()), ("score", pa.float64())])
+    passes = -(-asked.count() // ASKED)
+    found = []
+    for n in range(passes):
+        some = asked.where(F.pmod(F.xxhash64("query"), F.lit(passes)) == n).toPandas()
+        if not len(some):
+            continue
+        shared = sc.broadcast((some["query"].to_numpy(np.int64), np.array(some["asked"].to_list(), np.float64), some["most"].to_numpy(np.float64)))
+
+        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, q, most = shared.value
+            most, held = most.copy(), (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+            for batch in batches:
+                reps = batch.column(0).to_numpy()
+                for i in range(0, batch.num_rows, TOGETHER):
+                    row, near, far = closest(_vectors(batch.column(1).slice(i, TOGETHER)), q, most, keep)
+                    if not len(row):
+                        continue
+                    row, rep, far = (np.concatenate(x) for x in zip(held, (row, reps[i : i + TOGETHER][near], far), strict=True))
+                    order = np.lexsort((rep, far, row))
+                    row, rep, far = row[order], rep[order], far[order]
+                    place = np.arange(len(row)) - np.searchsorted(row, row)
+                    full = place == keep - 1
+                    most[row[full]] = np.minimum(most[row[full]], far[full])
+                    held = tuple(x[place < keep] for x in (row, rep, far))
+            if len(held[0]):
+                yield pa.record_batch([pa.array(ids[held[0]]), pa.array(held[1]), pa.array(held[2])], schema=schema)
+
+        found.append(written(points.select("rep", "vector").mapInArrow(search, "query long, rep long, score double")))
+        shared.unpersist()
+    return reduce(DataFrame.union, found)
+
+
 def nearest(vectors: DataFrame, k: int = 10, every: int = 100, curves: int = CURVES, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each row whose id is divisible by `every`, by Euclidean distance.
+    """query_id, rank, vec_id, score: the k nearest of each row whose id is divisible by `every`, by Euclidean distance.
 
     Equal vectors are one point that holds its k + 1 least ids, so copies cost nothing and ties go to the smaller id. Every
     point lies on `curves` Hilbert curves of randomly turned and shifted projections, fitted on SAMPLE vectors. A query
     meets its block and both neighbours on each curve by half-precision codes; what the curves name merges and is reranked
-    on original vectors in double precision.
+    on original vectors in double precision. The distance of the last of those is a bound within which the query then meets
+    all points, in blocks of which only those wholly beyond the bound are skipped: the result is exact at every size.
     Defined results: null, empty, zero vectors, those with null or non-finite components and those of another length than
     most of the sample take no part; neither do null ids. Rows that repeat an id and vector are one candidate. With fewer
     candidates than k a query has them all; an empty table gives an empty table.
@@ -160,7 +256,8 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, curves: int = CUR
     points = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1).groupBy("vector").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     asked = rows.where(F.col("id") % every == 0)
     wanted = asked.select(F.col("vector").alias("asked")).distinct()
-    points = written(points.join(wanted, F.col("vector") == F.col("asked"), "left").select(F.col("ids")[0].alias("rep"), "ids", F.col("asked").isNotNull().alias("wanted"), "vector"))
+    points = points.join(wanted, F.col("vector") == F.col("asked"), "left").select(F.col("ids")[0].alias("rep"), "ids", F.col("asked").isNotNull().alias("wanted"), "vector")
+    points = written(_along(points, fitted))
 
     found = _named(_places(points, fitted)).groupBy("query", "rep").agg(F.min("near").alias("near"))
     found = found.withColumn("n", F.row_number().over(W.partitionBy("query").orderBy("near", "rep"))).where(F.col("n") <= RERANKED)
@@ -170,6 +267,11 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, curves: int = CUR
     close = pairs.join(query, "query").join(points.select("rep", "ids", "vector"), "rep").select("query", "ids", far.alias("score"))
     close = close.select("query", "score", F.explode("ids").alias("vec_id"))
     order = W.partitionBy("query").orderBy("score", "vec_id")
+    bound = close.withColumn("n", F.row_number().over(order)).where(F.col("n") == k + 1).select("query", (F.col("score") * (1 + 1e-12)).alias("most"))
+    bounded = written(query.join(bound, "query", "left").withColumn("most", F.coalesce("most", F.lit(float("inf")))))
+    if bounded.isEmpty():
+        return spark.createDataFrame([], out)
+    close = _searched(points, bounded, k + 1).join(points.select("rep", "ids"), "rep").select("query", "score", F.explode("ids").alias("vec_id"))
     close = close.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).select("query", "vec_id", "score")
 
     mine = asked.join(query, F.col("vector") == F.col("asked")).select(F.col("id").alias("query_id"), "query")

@@ -193,6 +193,28 @@ def test_nearest(spark):
     assert [(r.query_id, r.rank) for r in sorted(few)] == [(0, 1), (0, 2)]
 
 
+def ten_nearest(spark, v, **options):
+    """Queries, and those whose ten neighbours are exactly brute force's."""
+    got = defaultdict(list)
+    for r in sorted(ann.nearest(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>"), **options).collect()):
+        got[r.query_id].append(r.vec_id)
+    right = 0
+    for q, found in got.items():
+        d = np.sqrt(ann.squares(v, np.broadcast_to(v[q], v.shape)))
+        d[q] = np.inf
+        right += found == np.lexsort((np.arange(len(v)), d))[:10].tolist()
+    return len(got), right
+
+
+def test_nearest_outside_the_curves_windows(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 16)
+    monkeypatch.setattr(ann, "ASKED", 20)
+    draw = np.random.default_rng(1)
+    spread, centres = draw.normal(size=(3000, 24)), 20 * draw.normal(size=(30, 24))
+    assert ten_nearest(spark, spread, curves=1) == (30, 30)
+    assert ten_nearest(spark, centres[np.arange(3000) % 30] + spread, curves=1) == (30, 30)
+
+
 def test_hilbert_steps_are_of_one():
     grid = np.stack(np.meshgrid(range(8), range(8), range(8)), axis=-1).reshape(-1, 3)
     order = grid[np.argsort(ann.hilbert(grid, 3))]
