@@ -67,7 +67,7 @@ class Curves:
         points = np.einsum("nd,cda->cna", sample - mean, turn)
         low, high = np.quantile(points, [0.005, 0.995], axis=1)
         room = np.maximum(high - low, 1e-12)
-        return cls(mean, max(1e-30, float(np.abs(sample).mean())), turn, low - room / 2 * draw.random(low.shape), 1.5 * room)
+        return cls(mean, max(1e-30, float(np.abs(sample - mean).mean())), turn, low - room / 2 * draw.random(low.shape), 1.5 * room)
 
     def keys(self, v: np.ndarray) -> Iterator[np.ndarray]:
         for turn, low, span in zip(self.turn, self.low, self.span, strict=True):
@@ -81,7 +81,7 @@ def _vectors(column: pa.Array) -> np.ndarray:
 
 
 def _places(reps: DataFrame, fitted: Curves) -> DataFrame:
-    """rep, wanted, code (half-precision vector), curve, and the block and rank of its place on that curve.
+    """rep, wanted, code (half-precision vector less the mean), curve, and the block and rank of its place on that curve.
 
     Keys are range-partitioned and sorted in Spark. Rows before a partition's are counted to number a curve's rows from 0,
     so a block holds BLOCK rows, however many share a key.
@@ -93,7 +93,7 @@ def _places(reps: DataFrame, fitted: Curves) -> DataFrame:
         for batch in batches:
             for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
                 v = _vectors(part.column(2))
-                code = pa.array([x.tobytes() for x in np.clip(v / own.scale, -6e4, 6e4).astype(np.float16)], pa.binary())
+                code = pa.array([x.tobytes() for x in np.clip((v - own.mean) / own.scale, -6e4, 6e4).astype(np.float16)], pa.binary())
                 for c, k in enumerate(own.keys(v)):
                     yield pa.record_batch([part.column(0), part.column(1), code, pa.array(np.full(len(v), c, np.int32)), pa.array(k)], names=["rep", "wanted", "code", "curve", "key"])
 

@@ -215,6 +215,12 @@ def test_nearest_outside_the_curves_windows(spark, monkeypatch):
     assert ten_nearest(spark, centres[np.arange(3000) % 30] + spread, curves=1) == (30, 30)
 
 
+def test_nearest_in_a_tight_group(spark):
+    draw = np.random.default_rng(2)
+    tight = np.where(np.arange(900)[:, None] < 300, 1 + 1e-5 * draw.normal(size=(900, 16)), draw.normal(size=(900, 16)))
+    assert ten_nearest(spark, 10_000 + tight) == (9, 9)
+
+
 def test_hilbert_steps_are_of_one():
     grid = np.stack(np.meshgrid(range(8), range(8), range(8)), axis=-1).reshape(-1, 3)
     order = grid[np.argsort(ann.hilbert(grid, 3))]
