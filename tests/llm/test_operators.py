@@ -146,6 +146,38 @@ def test_lm_is_a_distribution_and_learns(monkeypatch):
     assert whole > odd  # texts of even subwords, or of odd ones, are likelier than a mixture
 
 
+def test_lm_learns_from_rows_outside_its_sample(spark, monkeypatch):
+    """Each word has one that follows it: the more rows, the more of these are known, though the sample is of ten rows."""
+    monkeypatch.setattr(lm, "SAMPLE", 10)
+    monkeypatch.setattr(lm, "STEPS", 100)
+    draw = np.random.default_rng(0)
+    follows, texts = draw.permutation(400), []
+    for k in range(900):
+        chain = [int(draw.integers(0, 400))]
+        while len(chain) < 12:
+            chain.append(int(follows[chain[-1]]))
+        texts.append((k, " ".join(f"{'abcdefghijklmnopqrst'[x // 20]}{'abcdefghijklmnopqrst'[x % 20]}" for x in chain)))
+
+    def held_out(rows):
+        got = [r for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.held_out and r.doc_id < 60]
+        return sum(r.score for r in got) / sum(r.n_tokens for r in got)
+
+    assert held_out(texts) > held_out(texts[:60]) + 0.3
+
+
+def test_lm_mixed_with_counts_is_a_distribution(monkeypatch):
+    monkeypatch.setattr(lm, "STEPS", 50)
+    draw = np.random.default_rng(0)
+    texts = [draw.integers(0, 1500, 40).astype(np.int32) for _ in range(100)]
+    model = lm.train(texts, np.bincount(np.concatenate([*texts, [2000]]), minlength=2001))
+    n = lm.CLASSES * lm.MEMBERS + 1
+    counts = np.concatenate([draw.poisson(0.5, n * n), (draw.poisson(0.2, (lm.CLASSES + 1, 2001)) * (model.slot == n - 1)).ravel()])
+    model.seen = lm.Seen.fitted(model, counts, texts, 2000)
+    given = np.concatenate([[2000], texts[0][: lm.WINDOW - 1]])[None]
+    total = sum(np.exp(model.log_probs(given, np.full((1, lm.WINDOW), k), np.ones((1, lm.WINDOW), bool))) for k in range(2001))
+    assert total == pytest.approx(np.ones(lm.WINDOW), abs=1e-3)
+
+
 def test_windows_score_each_once():
     size = np.array([1, 5, 16, 17, 40])
     at, own = lm.windows(size)
