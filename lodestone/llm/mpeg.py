@@ -229,17 +229,25 @@ def _frame_head(rate: int, padding: int) -> bytes:
 _SIZES = [1152 // 8 * k * 1000 // STORED_HERTZ for k in STORED_KBITS]
 _HEADS = {(r, 0): _frame_head(r, 0) for r in range(1, 15)}
 _BODY = 4 + 2 + STORED_SIDE
+#: Zero bytes at least at the end of a stored file: as many as the longest tag that is looked for there.
+_QUIET = 128
 
 
 def store(payload: bytes) -> bytes:
-    """An MPEG audio file that holds the payload: an ID3v2 tag with its length, a Xing table, and its frames."""
+    """An MPEG audio file that holds the payload: an ID3v2 tag with its length, a Xing table, and its frames.
+
+    The last frame ends with _QUIET zero bytes at least, so no payload stands where parse() looks for a tag's mark.
+    """
     note = b"\x00payload\x00" + str(len(payload)).encode()
     tag = b"TXXX" + len(note).to_bytes(4, "big") + b"\x00\x00" + note
     room = _SIZES[14] - _BODY
     frames = []
-    for at in range(0, len(payload), room):
-        part = payload[at : at + room]
-        rate = next(r for r in range(1, 15) if _SIZES[r] - _BODY >= len(part))
+    parts = [payload[at : at + room] for at in range(0, len(payload), room)]
+    if not parts or len(parts[-1]) + _QUIET > room:
+        parts.append(b"")
+    for k, part in enumerate(parts):
+        least = len(part) + _QUIET * (k + 1 == len(parts))
+        rate = next(r for r in range(1, 15) if _SIZES[r] - _BODY >= least)
         frames.append(_HEADS[rate, 0] + part + bytes(_SIZES[rate] - _BODY - len(part)))
     audio, table_size = b"".join(frames), _SIZES[6]
     ends = np.cumsum([len(f) for f in frames])
@@ -251,10 +259,13 @@ def store(payload: bytes) -> bytes:
 
 
 def load(media: bytes, s: Stream | None = None) -> bytes:
-    """The payload that store() put into a file."""
+    """The payload that store() put into a file; an error if less than its noted length is there."""
     s = s or parse(media)
     n = int(s.tags["TXXX"].split(b"\x00")[2])
-    return b"".join(media[at + _BODY : at + h.size] for at, h in s.frames)[:n]
+    back = b"".join(media[at + _BODY : at + h.size] for at, h in s.frames)[:n]
+    if len(back) != n:
+        raise ValueError(f"{len(back)} of {n} payload bytes are there")
+    return back
 
 
 def describe(s: Stream) -> str:

@@ -291,6 +291,19 @@ def test_mpeg(docs):
         assert hashlib.sha256(mpeg.load(r.media)).hexdigest() == r.payload_sha256 and r.payload_bytes % 64 == 0
 
 
+def test_mpeg_payload_is_no_tag(spark):
+    texts = []
+    for n in (1024, 1344, 1408, 2816):
+        for mark in ("TAG", "APETAGEX" + "\0" * 4 + "@" + "\0" * 11):
+            texts += ["x" * at + mark + "y" * (n - at - len(mark)) for at in range(n - 200, n - len(mark))]
+    rows = mpeg.digest(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), with_media=True).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert mpeg.load(r.media) == texts[r.doc_id].encode() and r.payload_bytes == len(texts[r.doc_id]) and "skipped=0;tags=ID3v2+Xing" in r.feature
+    with pytest.raises(ValueError):
+        mpeg.load(rows[0].media[:-5])
+
+
 def test_odd_rows(spark, odd, labels):
     empty = odd.limit(0)
     for f in (bpe.encode, lm.score, mixing.mix, mpeg.digest, minhash.near_duplicates, substring.remove_duplicates, licenses.scan, lambda d: toxicity.score(d, labels), lambda d: quality.score(d, labels)):
