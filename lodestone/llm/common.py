@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: A word, as the contracts have it: a run of anything but space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Texts of one Arrow batch are worked on in slices of about so many characters.
 _ODD1, _ODD2, _ODD3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 _HALF = np.uint64(32)
 
@@ -23,6 +22,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """name, with as many underscores before it as make it none of columns (Spark's names ignore case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def without(columns: list[str], *names: str) -> list[str]:
+    """columns that are none of names, whatever their case."""
+    return [c for c in columns if c.lower() not in names]
+
+
 @cache
 def _own_dir() -> str:
     return tempfile.mkdtemp(prefix="lodestone-")
