@@ -39,13 +39,17 @@ class Codec:
     def __init__(self, definition: str) -> None:
         model = (whole := json.loads(definition))["model"]
         self.ids: dict[str, int] = model["vocab"] | {x["content"]: x["id"] for x in whole["added_tokens"]}
-        self.strings = {v: k for k, v in self.ids.items()}
+        # The inverse of ids, by number: the vocabulary's strings, and the numbers in decimal digits.
+        self.strings = [""] * (1 + max(self.ids.values()))
+        for string, k in self.ids.items():
+            self.strings[k] = string
+        self.decimal = [*map(str, range(len(self.strings)))]
         self.rank = {tuple(x if isinstance(x, list) else x.split(" ")): i for i, x in enumerate(model["merges"])}
         self.end: str = model["end_of_word_suffix"]
         self.special = regex.compile("(" + "|".join(regex.escape(x["content"]) for x in whole["added_tokens"]) + ")")
         self.pieces = regex.compile(next(x for x in whole["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"), regex.V1)
         self.letters = byte_letters()
-        self.seen: dict[str, tuple[str, str, int]] = {}
+        self.seen: dict[str, tuple[int, ...]] = {}
 
     def merge(self, piece: str) -> list[str]:
         """Vocabulary strings of one piece.
@@ -74,37 +78,34 @@ class Codec:
                 heapq.heappush(queue, (r, h, part[h], part[i]))
         return [x for x in part if x is not None and x in self.ids]
 
-    def chunk(self, chunk: str) -> tuple[str, str, int]:
-        """Ids, vocabulary strings (each joined by spaces) and their number, for text that no white space splits."""
-        tokens = [t for piece in self.pieces.findall(chunk) for t in self.merge(piece)]
-        got = " ".join(str(self.ids[t]) for t in tokens), " ".join(tokens), len(tokens)
+    def chunk(self, chunk: str) -> tuple[int, ...]:
+        """Ids of text that no white space splits."""
+        got = tuple(self.ids[t] for piece in self.pieces.findall(chunk) for t in self.merge(piece))
         if len(chunk) <= 64:
             if len(self.seen) >= REMEMBER:
                 self.seen.clear()
             self.seen[chunk] = got
         return got
 
-    def encode(self, text: str) -> tuple[str, str, int]:
-        """Ids and vocabulary strings of a text, each joined by spaces, and their number."""
-        ids, strings, n, seen = [], [], 0, self.seen
+    def encode(self, text: str) -> list[int]:
+        out, seen = [], self.seen
         for k, part in enumerate(self.special.split(text) if "<|" in text else (text,)):
             if k % 2:
-                ids.append(str(self.ids[part]))
-                strings.append(part)
-                n += 1
+                out.append(self.ids[part])
                 continue
             part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
             for chunk in regex.split(r"\p{White_Space}+", part) if regex.search("[\x1c-\x1f]", part) else part.split():
-                got = seen.get(chunk) or self.chunk(chunk)
-                if got[2]:
-                    ids.append(got[0])
-                    strings.append(got[1])
-                    n += got[2]
-        return " ".join(ids), " ".join(strings), n
+                got = seen.get(chunk)
+                out += self.chunk(chunk) if got is None else got
+        return out
 
     def decode(self, ids: list[int]) -> str:
-        """Vocabulary strings in order; without a decoder in the definition, a space stands between them."""
-        return " ".join(self.strings[i] for i in ids)
+        """Vocabulary strings of ids in order; without a decoder in the definition, a space stands between them."""
+        return " ".join(map(self.strings.__getitem__, ids))
+
+    def written(self, ids: list[int]) -> str:
+        """Decimal ids, one space between them."""
+        return " ".join(map(self.decimal.__getitem__, ids))
 
 
 @lru_cache(2)
@@ -115,9 +116,11 @@ def codec(definition: str) -> Codec:
 def encode(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row of docs (doc_id, text; other columns are not read).
 
-    The vocabulary file, of fixed size, is read on the driver and broadcast. Each text is encoded as a whole in one task
-    and its ids are decoded again. with_ids adds the ids themselves (array<int>) and the decoded text.
-    Defined results: a null or empty text has no ids; rows that repeat or lack a doc_id are encoded like any other.
+    The vocabulary file, of fixed size, is read on the driver and broadcast. Each text is encoded as a whole in one task;
+    the decoded text is made from the integer ids alone. with_ids adds the ids themselves (array<int>) and the decoded text.
+    Defined results: a null or empty text has no ids and decodes to an empty text; rows that repeat or lack a doc_id are
+    encoded like any other; bytes that are no UTF-8 are read as U+FFFD; other columns, whatever their names, are not
+    returned. An empty table gives an empty table.
     """
     with open(path or default_vocabulary()) as f:
         definition = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -128,9 +131,10 @@ def encode(docs: DataFrame, path: str | None = None, with_ids: bool = False) ->
         for batch in batches:
             out = []
             for text in texts_of(batch):
-                ids, decoded, n = own.encode(text.decode() if text else "")
-                row = n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
-                out.append((*row, [*map(int, ids.split())], decoded) if with_ids else row)
+                ids = own.encode(text.decode("utf-8", "replace") if text else "")
+                decoded = own.decode(ids)
+                row = len(ids), hashlib.sha256(own.written(ids).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+                out.append((*row, ids, decoded) if with_ids else row)
             if out:
                 yield pa.record_batch([batch.column(0), *(pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), list(schema)[1:], strict=True))], schema=schema)
 
