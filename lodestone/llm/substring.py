@@ -169,7 +169,7 @@ def remove_duplicates(docs: DataFrame, window: int = 50, with_text: bool = False
             for doc_id, spans, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), texts_of(batch), strict=True):
                 left, n = _without(spans, words(text))
                 left = b" ".join(left)
-                out.append((doc_id, key, n, hashlib.sha256(left).digest(), left.decode() if with_text else None))
+                out.append((doc_id, key, n, hashlib.sha256(left).digest(), left.decode("utf-8", "replace") if with_text else None))
             if out:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()), strict=True)], names=["doc_id", "row_key", "n", "left_sha", "left_text"])
 
