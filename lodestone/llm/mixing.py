@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, table, written
+from .common import WORD, quoted, table, unused, without, written
 
 #: Slices of the order within a source. Only the slice in which a source's need ends is sorted.
 SLICES = 4096
+#: Size classes to a doubling of the size: documents of a class have the same chance.
+STEPS = 4
+#: Rows of a plan that are broadcast; a longer plan is joined by shuffle.
+BROADCAST = 200_000
 
 
 def targets(sized: DataFrame, weights: int = 3, most: int = 3) -> DataFrame:
@@ -29,54 +33,96 @@ def targets(sized: DataFrame, weights: int = 3, most: int = 3) -> DataFrame:
     return stop.select("source", "source_size", F.when(F.col("ratio") <= F.col("level"), F.lit(most) * F.col("source_size").cast("double")).otherwise(F.col("weight") * F.col("level")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: int = 3, most: int = 3, seed: int = 4) -> DataFrame:
-    """docs with size, source_size, target, copies and taken (size * copies) for each row.
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """df, of no more than so many rows, to be broadcast if these are few."""
+    return F.broadcast(df) if rows <= BROADCAST else df
 
-    target / source_size is how many copies of each document of a source are wanted. Its whole part is allocated for
-    certain; the rest is the inclusion chance p of a Pareto order sample: by U/(1-U) / (p/(1-p)), with U a hash of the row,
-    the least are taken until the source's need in words is filled as nearly as whole documents can. Chances differ between
-    sources and are equal within one, so no text of a source is preferred to another.
 
-    Within a source the rank grows with U, so slices of U are slices of the order. Words are summed by source and slice
-    (pre-aggregated), and only the slice in which the need ends is sorted: no source is gathered in one task.
-    Defined results: a null text has size 0, and 0 words taken; null sources are one source; columns of docs named like
-    those added are replaced. Rows of equal doc_id and text tie, and are all taken or all left. Reruns agree. An empty
+def chances(classes: DataFrame, goals: DataFrame, lean: float) -> DataFrame:
+    """name, class, p: a document's chance of one more copy, by source and size class.
+
+    A chance is a level times the size to the power `lean`, and 1 at most; a source's level makes the words that its chances
+    promise, p * size summed over its documents, equal its need. Classes are few, so a source's window is short.
+    """
+    rows = classes.join(goals, F.col("source").eqNullSafe(F.col("name"))).where("need > 0")
+    rows = rows.withColumn("g", F.pow(F.lit(2.0), F.col("class") * (lean / STEPS)))
+    # Classes with the greatest g are the first whose chance is certain.
+    down = W.partitionBy("name").orderBy(F.desc("g"), F.desc("class"))
+    above = F.coalesce(F.sum("words").over(down.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    below = F.sum(F.col("words") * F.col("g")).over(down.rowsBetween(W.currentRow, W.unboundedFollowing))
+    rows = rows.withColumn("level", (F.col("need") - above) / below)
+    # The first class whose chance is no more than 1 has the source's level.
+    fits = F.when(F.col("level") * F.col("g") <= 1, F.struct((-F.col("g")).alias("first"), "level"))
+    level = F.min(fits).over(W.partitionBy("name"))["level"]
+    return rows.select("name", "class", F.least(F.lit(1.0), F.coalesce(level, F.lit(float("inf"))) * F.col("g")).alias("p"))
+
+
+def mix(docs: DataFrame, keep: list[str] | None = None, weights: int = 3, most: int = 3, lean: float = 0.5, seed: int = 4) -> DataFrame:
+    """keep (all columns of docs by default), size, source_size, target, copies and taken (size * copies) for each row.
+
+    target / source_size is how many copies of a source's words are wanted. The whole part goes to each document for
+    certain. What is still needed is a Pareto order sample with unequal chances: documents rank by U/(1-U) / (p/(1-p)),
+    where U is a hash of the row and p its inclusion chance, which grows with the size (see chances; lean 0: all equal),
+    and the least are taken. The sample is of fixed size in words, the unit of the targets: it ends where the source's need
+    is filled as nearly as whole documents can. The chances promise that need, so it ends near rank 1, and a document is
+    taken about as often as p says. A chance of 1 ranks first.
+
+    Words are summed by source and slice of the order (pre-aggregated), and only the slice in which the need ends is
+    sorted: no source is gathered in one task. Texts are read once; what follows reads the columns kept.
+    Defined results: a null text has size 0, and 0 words taken; null sources are one source; columns kept that are named
+    like those added are replaced. Rows of equal doc_id and text tie, and are all taken or all left. Reruns agree. An empty
     table gives an empty table.
     """
-    names = [c for c in docs.columns if c not in {"size", "source_size", "target", "copies", "taken"}]
+    rest = without(keep or docs.columns, "size", "source_size", "target", "copies", "taken")
+    name = {c: unused(c, rest) for c in ("own_source", "own_size", "u", "class", "name", "n", "p", "of", "all", "part", "ends")}
     u = (F.xxhash64(F.lit(seed), "doc_id", "text").bitwiseAND(F.lit((1 << 52) - 1)) + F.lit(0.5)) / F.lit(float(1 << 52))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    slim = written(docs.select("source", size.alias("size"), u.alias("u"))).withColumn("slice", F.floor(F.col("u") * SLICES))
-    slices = written(slim.groupBy("source", "slice").agg(F.sum("size").alias("words")))
+    own_size, own_source, own_class, own_u = (name[c] for c in ("own_size", "own_source", "class", "u"))
+    rows = docs.select(*map(quoted, rest), F.col("source").alias(own_source), size.alias(own_size), u.alias(own_u))
+    rows = written(rows.withColumn(own_class, F.floor(F.log2(F.greatest(F.col(own_size), F.lit(1)).cast("double")) * STEPS).cast("int")))
 
-    goals = targets(slices.select("source", F.col("words").alias("size")), weights, most)
+    slim = rows.select(F.col(own_source).alias("source"), F.col(own_size).alias("size"), F.col(own_u).alias("u"), F.col(own_class).alias("class"))
+    classes = written(slim.groupBy("source", "class").agg(F.sum("size").alias("words")))
+    goals = targets(classes.select("source", F.col("words").alias("size")), weights, most)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     goals = goals.withColumn("whole", whole).withColumn("need", F.col("target") - F.col("whole") * F.col("source_size"))
-    chance = F.col("need") / F.greatest(F.lit(1), F.col("source_size"))
-    goals = goals.withColumn("p", F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), chance))).withColumnRenamed("source", "name")
-
+    goals = written(goals.withColumnRenamed("source", "name"))
+    chance = written(chances(classes, goals, lean))
+    many, most_chances = goals.count(), chance.count()
+
+    def odds(u: str, p: str) -> F.Column:
+        """The rank: a chance of 1 has odds without bound, and comes first."""
+        return F.when(F.col(p) >= 1, F.lit(0.0)).otherwise(F.col(u) / (1 - F.col(u)) / (F.col(p) / (1 - F.col(p))))
+
+    same = F.col("source").eqNullSafe(F.col("name"))
+    ranked = slim.join(_small(chance.withColumnRenamed("class", "of"), most_chances), same & (F.col("class") == F.col("of")))
+    ranked = ranked.select("source", "size", odds("u", "p").alias("rank"))
+    place = F.floor(F.col("rank") / (1 + F.col("rank")) * SLICES).alias("slice")
+    slices = ranked.groupBy("source", place).agg(F.sum("size").alias("words"))
     run = W.partitionBy("source").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
     before = slices.withColumn("before", F.coalesce(F.sum("words").over(run), F.lit(0)))
-    known = F.col("source").eqNullSafe(F.col("name"))
-    cut = before.join(goals, known).where("before < need AND before + words >= need").select("name", "p", "need", "before", F.col("slice").alias("at"))
-    rank = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
-    last = slim.join(cut, known & (F.col("slice") == F.col("at"))).withColumn("rank", rank)
+    cut = before.join(_small(goals, many), same).where("before < need AND before + words >= need").select("name", "need", "before", F.col("slice").alias("at"))
+    cut = written(cut)
+    last = ranked.withColumn("slice", place).join(_small(cut, many), same & (F.col("slice") == F.col("at")))
     up = W.partitionBy("source").orderBy("rank").rangeBetween(W.unboundedPreceding, W.currentRow)
     last = last.withColumn("upto", F.col("before") + F.sum("size").over(up))
-    tied = last.groupBy("source", "need", "before", "rank").agg(F.max("upto").alias("upto"), F.sum("size").alias("own"))
-    # Of the rows that tie at a rank, the middle lies within the need: the mix ends as near to it as it can.
+    tied = last.groupBy("source", "need", "rank").agg(F.max("upto").alias("upto"), F.sum("size").alias("own"))
+    # Of the rows that tie at a rank, the middle lies within the need: the mix ends as near to it as it can. Where no row of
+    # the slice does, the limit lies below all of them.
     ends = tied.groupBy("source").agg(F.max(F.when(F.col("upto") - F.col("own") / 2 <= F.col("need"), F.col("rank"))).alias("limit"))
-    ends = ends.select(F.col("source").alias("ended"), "limit")
-    cut = cut.select(F.col("name").alias("cut_name"), "at")
-    plan = goals.join(cut, F.col("name").eqNullSafe(F.col("cut_name")), "left").join(ends, F.col("name").eqNullSafe(F.col("ended")), "left")
-    plan = plan.select(*(F.col(c).alias(f"_{c}") for c in ("name", "source_size", "target", "whole", "p", "at", "limit")))
-
-    rows = docs.select(*names, size.alias("size"), u.alias("_u")).join(plan, F.col("source").eqNullSafe(F.col("_name")))
-    at, rank = F.floor(F.col("_u") * SLICES), (F.col("_u") / (1 - F.col("_u"))) / (F.col("_p") / (1 - F.col("_p")))
-    more = F.coalesce((at < F.col("_at")) | (at == F.col("_at")) & (rank <= F.col("_limit")), F.lit(False))
-    rows = rows.withColumn("copies", (F.col("_whole") + more.cast("int")).cast("int"))
-    return rows.select(*names, "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    ends = cut.join(ends, F.col("name").eqNullSafe(F.col("source"))).select(F.col("name").alias("cut_name"), "at", "limit")
+    # A need that all ranked words don't fill (by rounding) has no cut: then all are taken.
+    plan = goals.join(ends, F.col("name").eqNullSafe(F.col("cut_name")), "left").withColumn("all", F.col("cut_name").isNull() & F.col("at").isNull() & (F.col("need") > 0))
+    plan = plan.select(F.col("name").alias(name["name"]), F.struct("source_size", "target", "whole", "need", "at", "limit", "all").alias(name["part"]))
+    chance = chance.select(F.col("name").alias(name["n"]), F.col("class").alias(name["of"]), F.col("p").alias(name["p"]))
+    out = rows.join(_small(plan, many), F.col(own_source).eqNullSafe(F.col(name["name"])))
+    out = out.join(_small(chance, most_chances), F.col(own_source).eqNullSafe(F.col(name["n"])) & (F.col(own_class) == F.col(name["of"])), "left")
+    part, rank = F.col(name["part"]), odds(own_u, name["p"])
+    at = F.floor(rank / (1 + rank) * SLICES)
+    more = F.coalesce((part["need"] > 0) & (part["all"] | (at < part["at"]) | (at == part["at"]) & (rank <= part["limit"])), F.lit(False))
+    copies = (part["whole"] + more.cast("int")).cast("int")
+    return out.select(*map(quoted, rest), F.col(own_size).alias("size"), part["source_size"].alias("source_size"), part["target"].alias("target"), copies.alias("copies"), (F.col(own_size) * copies).alias("taken"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
