@@ -20,14 +20,27 @@ def without(tokens: Column, stop: list[str]) -> Column:
     return F.filter(tokens, lambda t: ~t.isin(*stop)) if stop else tokens
 
 
-def without_stop_words(rows: DataFrame, stop: DataFrame, tokens: str = "tokens") -> DataFrame:
-    """As `without`, for a stop table of any size (column word): an anti join that Spark broadcasts only if it is small."""
-    rest = [c for c in rows.columns if c != tokens]
-    one = rows.withColumn("_row", F.monotonically_increasing_id())
-    each = one.select("_row", F.posexplode(tokens).alias("_at", "_word"))
-    kept = each.join(stop.select(F.col("word").alias("_word")), "_word", "left_anti")
-    kept = kept.groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_word"))), lambda x: x["_word"]).alias("_kept"))
-    return one.join(kept, "_row", "left").select(*rest, F.coalesce("_kept", F.array().cast("array<string>")).alias(tokens))
+#: Stop words that are broadcast, at most; a longer table is joined by shuffle.
+BROADCAST = 100_000
+
+
+def without_stop_words(rows: DataFrame, stop: DataFrame, key: str, tokens: str = "tokens") -> DataFrame:
+    """As `without`, for a stop table of any size (column word); key: a column of rows that tells them apart.
+
+    A short table, by its counted size, becomes one broadcast array, and rows are filtered where they are. A longer one is
+    joined by word, and its rows' tokens are put together again by key. Null tokens stay null.
+    """
+    words = stop.select("word").where("word IS NOT NULL").distinct()
+    if words.limit(BROADCAST + 1).count() <= BROADCAST:
+        whole = words.agg(F.collect_list("word").alias("_stop"))
+        # array_intersect hashes the long list once a row; what a row holds of it is short.
+        kept = F.transform(F.array(F.array_intersect(tokens, "_stop")), lambda own: F.filter(tokens, lambda t: ~F.array_contains(own, t)))[0]
+        return rows.crossJoin(F.broadcast(whole)).select(*[kept.alias(c) if c == tokens else F.col(c) for c in rows.columns])
+    each = rows.select(F.col(key).alias("_key"), F.posexplode(tokens).alias("_at", "_word"))
+    kept = each.join(words.select(F.col("word").alias("_word")), "_word", "left_anti")
+    kept = kept.groupBy("_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_word"))), lambda x: x["_word"]).alias("_kept"))
+    own = F.when(F.col(tokens).isNotNull(), F.coalesce("_kept", F.array().cast("array<string>")))
+    return rows.join(kept, F.col(key) == F.col("_key"), "left").select(*[own.alias(c) if c == tokens else F.col(c) for c in rows.columns])
 
 
 def joined(tokens: Column) -> Column:

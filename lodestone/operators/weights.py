@@ -1,56 +1,92 @@
-"""Term weights of labelled documents, and their vectors as lines of text."""
+"""Term weights of labelled documents, and their vectors as lines of text.
+
+Documents are dealt over tasks by doc_id before their tokens become rows, so that counts, sizes and lines of a document need
+no further shuffle; only document frequencies, summed within tasks first, are shuffled by feature.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone.operators.shared import written
+
+#: Features of a vocabulary that is broadcast, at most. Larger ones are joined by shuffle, a feature's rows salted.
+BROADCAST, SALT = 500_000, 32
+
+
+def parsed(line: Column) -> Column:
+    """Tokens of a comma-separated line; null for a line of one character or none, which is no document."""
+    return F.when(F.length(line) > 1, F.filter(F.split(line, ","), lambda x: x != ""))
+
 
 def terms(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
     """doc_id, label, feature for each non-empty token."""
-    return docs.select("doc_id", "label", F.explode(tokens).alias("feature")).where("feature <> ''")
+    # explode_outer, since Spark puts a filter by the array's size below explode, and makes the tokens twice for it.
+    return docs.select("doc_id", "label", F.explode_outer(tokens).alias("feature")).where("feature <> ''")
 
 
 def term_counts(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
     """doc_id, label, feature, n."""
-    return terms(docs, tokens).groupBy("doc_id", "label", "feature").agg(F.count("*").alias("n"))
+    return terms(docs.repartition("doc_id"), tokens).groupBy("doc_id", "label", "feature").agg(F.count("*").alias("n"))
 
 
-def doc_freq(counts: DataFrame) -> DataFrame:
+def doc_freq(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
     """feature, df: labelled documents (not 0) that contain it."""
-    return counts.where("label <> 0").groupBy("feature").agg(F.count("*").alias("df"))
+    some = docs.where("label <> 0").select("doc_id", "label", F.array_distinct(tokens).alias("tokens"))
+    return terms(some).groupBy("feature").agg(F.count("*").alias("df"))
 
 
-def tf(counts: DataFrame) -> DataFrame:
-    """counts with tf: a feature's share of its document's tokens."""
-    size = counts.groupBy("doc_id").agg(F.sum("n").alias("size"))
-    return counts.join(size, "doc_id").withColumn("tf", F.col("n") / F.col("size")).drop("size")
+def tf(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """doc_id, label, feature, n and tf, a feature's share of its document's tokens."""
+    size = W.partitionBy("doc_id")
+    return term_counts(docs, tokens).withColumn("tf", F.col("n") / F.sum("n").over(size))
 
 
-def vocabulary(counts: DataFrame, least: int = 2) -> DataFrame:
+def vocabulary(docs: DataFrame, tokens: str = "tokens", least: int = 2) -> DataFrame:
     """feature, df, idx (from 1, by feature) of features that `least` labelled documents share.
 
     Numbers are places within ranges of features plus the sizes of the ranges before, so no task sorts the whole list.
     """
-    kept = doc_freq(counts).where(F.col("df") >= least)
+    kept = written(doc_freq(docs, tokens).where(F.col("df") >= least))
     lead = kept.withColumn("part", F.substring("feature", 1, 2))
     before = lead.groupBy("part").agg(F.count("*").alias("many")).withColumn("before", F.coalesce(F.sum("many").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     nth = F.row_number().over(W.partitionBy("part").orderBy("feature"))
     return lead.withColumn("nth", nth).join(before.select("part", "before"), "part").select("feature", "df", (F.col("before") + F.col("nth")).cast("int").alias("idx"))
 
 
-def weights(docs: DataFrame, scheme: str = "tfidf", tokens: str = "tokens", least: int = 2) -> DataFrame:
-    """doc_id, label, feature, w (to 4 decimals); scheme: binary, tf or tfidf = tf * ln(all documents / df)."""
-    counts = term_counts(docs, tokens)
-    known = doc_freq(counts).where(F.col("df") >= least)
+def _known(rows: DataFrame, known: DataFrame, how: str = "inner") -> DataFrame:
+    """rows joined with known (a written table) by feature: a broadcast if it is small; else by feature and a salt of doc_id,
+    since a common word has a row for almost every document."""
+    if known.count() <= BROADCAST:
+        return rows.join(F.broadcast(known), "feature", how)
+    salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int")).join(salted, ["feature", "salt"], how).drop("salt")
+
+
+def _weight(scheme: str, n_docs: int) -> Column:
+    """From n, size and df, to 4 decimals: binary, tf or tfidf = tf * ln(all documents / df)."""
     if scheme == "binary":
-        return counts.join(known, "feature").select("doc_id", "label", "feature", F.lit(1).alias("w"))
-    rows = tf(counts).join(known, "feature")
-    if scheme == "tf":
-        return rows.select("doc_id", "label", "feature", F.round("tf", 4).alias("w"))
-    rows = rows.crossJoin(docs.agg(F.count("*").alias("n_docs")))
-    return rows.select("doc_id", "label", "feature", F.round(F.col("tf") * F.log(F.col("n_docs") / F.col("df")), 4).alias("w"))
+        return F.lit(1)
+    share = F.col("n") / F.col("size")
+    return F.round(share if scheme == "tf" else share * F.log(F.lit(n_docs) / F.col("df")), 4)
+
+
+def _sized(docs: DataFrame, tokens: str) -> DataFrame:
+    """doc_id, label, feature, n, size, a row for each feature of a document and, for one without tokens, a row without feature."""
+    rows = docs.select("doc_id", "label", F.explode_outer(tokens).alias("feature"))
+    counts = rows.groupBy("doc_id", "label", "feature").agg(F.count("*").alias("n"))
+    words = F.when(F.col("feature") != "", F.col("n"))
+    return counts.withColumn("size", F.sum(words).over(W.partitionBy("doc_id")))
+
+
+def weights(docs: DataFrame, scheme: str = "tfidf", tokens: str = "tokens", least: int = 2) -> DataFrame:
+    """doc_id, label, feature, w (to 4 decimals); scheme: binary, tf or tfidf."""
+    known = written(doc_freq(docs, tokens).where(F.col("df") >= least))
+    n_docs = docs.count() if scheme == "tfidf" else 0
+    rows = term_counts(docs, tokens) if scheme == "binary" else _sized(docs.repartition("doc_id"), tokens)
+    return _known(rows, known).select("doc_id", "label", "feature", _weight(scheme, n_docs).alias("w"))
 
 
 def class_counts(docs: DataFrame) -> DataFrame:
@@ -58,13 +94,18 @@ def class_counts(docs: DataFrame) -> DataFrame:
 
 
 def vector_lines(docs: DataFrame, scheme: str = "tf", tokens: str = "tokens", least: int = 2) -> DataFrame:
-    """doc_id, label, line: `label idx:w ... # feature,...`, indexed features by index, then all features by name."""
-    counts = term_counts(docs, tokens)
-    rows = weights(docs, scheme, tokens, least).join(vocabulary(counts, least).select("feature", "idx"), "feature")
-    text = F.lit("1") if scheme == "binary" else F.format_string("%.4f", F.col("w"))
-    pairs = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", F.concat_ws(":", F.col("idx").cast("string"), text).alias("pair")))).alias("pairs"))
-    names = counts.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("feature")), ",").alias("names"))
+    """doc_id, label, line: `label idx:w ... # feature,...`, indexed features by index, then all features by name.
+
+    docs are read twice: for the vocabulary, and for the lines. doc_id is meant to be distinct.
+    """
+    known = written(vocabulary(docs, tokens, least))
+    n_docs = docs.count() if scheme == "tfidf" else 0
+    rows = _known(_sized(docs.repartition("doc_id"), tokens), known, "left")
+    w = _weight(scheme, n_docs)
+    text = F.lit("1") if scheme == "binary" else F.format_string("%.4f", w)
+    pair = F.when(F.col("idx").isNotNull(), F.struct("idx", F.concat_ws(":", F.col("idx").cast("string"), text).alias("pair")))
+    name = F.when(F.col("feature") != "", F.col("feature"))
+    rows = rows.groupBy("doc_id", "label").agg(F.array_sort(F.collect_list(pair)).alias("pairs"), F.array_sort(F.collect_list(name)).alias("names"))
     sign = F.when(F.col("label") > 0, F.lit("+1")).otherwise(F.col("label").cast("string"))
-    out = docs.select("doc_id", "label").join(pairs, "doc_id", "left").join(names, "doc_id", "left")
-    line = F.concat_ws(" ", sign, F.array_join(F.transform("pairs", lambda p: p["pair"]), " "), F.lit("#"), F.coalesce("names", F.lit("")))
-    return out.select("doc_id", "label", line.alias("line"))
+    pairs = F.when(F.size("pairs") > 0, F.array_join(F.transform("pairs", lambda p: p["pair"]), " "))
+    return rows.select("doc_id", "label", F.concat_ws(" ", sign, pairs, F.lit("#"), F.array_join("names", ",")).alias("line"))

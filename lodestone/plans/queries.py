@@ -180,6 +180,24 @@ def cross_three(spark, d):
     return R.product([r.select(F.col("r_name").alias("r1")), t(spark, d, "nation").select("n_name"), r.select(F.col("r_name").alias("r2"))])
 
 
+@query("SELECT p_partkey, s_suppkey FROM part, supplier WHERE p_size = s_nationkey AND (p_size < 5 OR s_acctbal > 5000 AND p_brand = 'Brand#2')")
+def join_or_tree(spark, d):
+    p, s = t(spark, d, "part"), t(spark, d, "supplier")
+    either = R.any_of(p.p_size < 5, R.all_of(s.s_acctbal > 5000, p.p_brand == "Brand#2"))
+    return R.join_on(p, s, p.p_size == s.s_nationkey, either).select("p_partkey", "s_suppkey")
+
+
+@query("SELECT n_name, r_name FROM nation, region WHERE n_regionkey = r_regionkey OR n_nationkey < 3 AND r_name > 'B'")
+def join_or_only(spark, d):
+    n, r = t(spark, d, "nation"), t(spark, d, "region")
+    return R.join_on(n, r, R.any_of(n.n_regionkey == r.r_regionkey, R.all_of(n.n_nationkey < 3, r.r_name > "B"))).select("n_name", "r_name")
+
+
+@query("SELECT r_name FROM region WHERE 2 * 3 = 6 AND NOT 'a' = 'b'")
+def filter_constants(spark, d):
+    return t(spark, d, "region").where("2 * 3 = 6 AND NOT 'a' = 'b'").select("r_name")
+
+
 # Tables
 
 
@@ -187,7 +205,7 @@ def cross_three(spark, d):
 def insert_values(spark, d):
     own = Tables(spark)
     own.create("insert_values_own", {"s_suppkey": "int", "s_name": "str20"})
-    own.insert_from("insert_values_own", t(spark, d, "supplier").where("s_suppkey < 10"))
+    own.insert_from("insert_values_own", t(spark, d, "supplier").where("s_suppkey < 10").select("s_suppkey", "s_name"))
     return own.insert("insert_values_own", ["s_name", "s_suppkey"], ("new one", 100001), ("new two", 100002))
 
 
@@ -231,7 +249,11 @@ def create_drop_list(spark, d):
     return spark.createDataFrame([(x,) for x in own.names()], "table_name string")
 
 
-@query()
+def _upto(n: int, k: int) -> str:
+    return f"((((id + {1009 + 97 * k}) * 48271 + 11) % 2147483647 * 48271 + {k}) % 2147483647 // 97 % {n})::INT"
+
+
+@query(f"SELECT {_upto(200, 1)} AS sid, {_upto(100, 2)} AS homework, 'stt' || {_upto(10, 3)} AS grade, {_upto(50, 4)} AS project, {_upto(5, 5)} AS exam FROM range(100000) r(id)")
 def gen_random_table(spark, d):
     return random_table(spark, 100_000)
 
@@ -255,7 +277,7 @@ def url_stopwords(spark, d):
 def url_stop_table(spark, d):
     stop = spark.createDataFrame([(x,) for x in STOP], "word string")
     rows = t(spark, d, "pages").select("page_id", urls.url_tokens(F.col("url")).alias("tokens"))
-    return urls.without_stop_words(rows, stop).select("page_id", urls.joined(F.col("tokens")).alias("tokens"))
+    return urls.without_stop_words(rows, stop, "page_id").select("page_id", urls.joined(F.col("tokens")).alias("tokens"))
 
 
 @query(f"WITH {DOCS} SELECT doc_id, label, feature, n FROM counts")
@@ -265,17 +287,17 @@ def term_counts(spark, d):
 
 @query(f"WITH {DOCS} SELECT doc_id, label, feature, round(tf, 4) AS tf FROM tf")
 def term_frequencies(spark, d):
-    return WT.tf(WT.term_counts(labelled(spark, d))).select("doc_id", "label", "feature", F.round("tf", 4).alias("tf"))
+    return WT.tf(labelled(spark, d)).select("doc_id", "label", "feature", F.round("tf", 4).alias("tf"))
 
 
 @query(f"WITH {DOCS} SELECT feature, df FROM df")
 def doc_freq(spark, d):
-    return WT.doc_freq(WT.term_counts(labelled(spark, d)))
+    return WT.doc_freq(labelled(spark, d))
 
 
 @query(f"WITH {DOCS} SELECT feature, df, idx FROM vocab")
 def vocabulary(spark, d):
-    return WT.vocabulary(WT.term_counts(labelled(spark, d)))
+    return WT.vocabulary(labelled(spark, d))
 
 
 @query(f"WITH {DOCS} SELECT doc_id, label, feature, 1 AS w FROM counts JOIN vocab USING (feature)")
@@ -339,36 +361,94 @@ def xml_unescape(spark, d):
     return t(spark, d, "pages").select("page_id", xml.unescape(F.col("html")).alias("plain"))
 
 
-@query("SELECT p_partkey, p_brand AS brand FROM part")
+@query("SELECT page_id, replace(replace(replace(replace(regexp_replace(html, '&([A-Za-z#_:][A-Za-z0-9_:.-]*;)', chr(1) || '\\1', 'g'), '&', '&amp;'), chr(1), '&'), '<', '&lt;'), '>', '&gt;') AS escaped FROM pages")
+def xml_escape_references(spark, d):
+    return t(spark, d, "pages").select("page_id", xml.escape(F.col("html"), keep_references=True).alias("escaped"))
+
+
+@query("SELECT p_partkey, p_name || ' &quot;a&quot; &amp; &apos;b&apos; &lt;c&gt;' AS escaped FROM part")
+def xml_escape_quotes(spark, d):
+    return t(spark, d, "part").select("p_partkey", xml.escape(F.concat("p_name", F.lit(" \"a\" & 'b' <c>")), quotes=True).alias("escaped"))
+
+
+@query("SELECT p_partkey, p_name || ' é < \"' AS plain FROM part")
+def xml_unescape_html(spark, d):
+    return t(spark, d, "part").select("p_partkey", xml.unescape_html(F.concat("p_name", F.lit(" &eacute; &#60; &#x22;"))).alias("plain"))
+
+
+@query("SELECT p_partkey, p_brand AS brand, p_name || ' > it''s & so' AS note, p_type || ' \"x\"' AS other, p_size::VARCHAR AS bare FROM part")
 def xml_attr(spark, d):
-    built = xml.element("part", xml.escape(F.col("p_name")), brand=F.col("p_brand"))
-    return t(spark, d, "part").select("p_partkey", xml.attribute(built, "part", "brand").alias("brand"))
+    # Decoys: a longer tag name, tags in a comment and in CDATA, a name within a value, quotes of the other kind, > in values.
+    decoys = F.lit("<part-list brand='no'/><!-- <part brand='no'/> --><![CDATA[<part brand='no'>]]>")
+    text = F.concat(F.lit("<a>"), decoys, F.lit("<part other='"), F.col("p_type"), F.lit(" \"x\"' hint=\" brand='no'\" note=\""), F.col("p_name"), F.lit(" > it's &amp; so\" brand='"), F.col("p_brand"), F.lit("' bare="), F.col("p_size").cast("string"), F.lit(">x</part></a>"))
+    return t(spark, d, "part").select("p_partkey", *(xml.attribute(text, "part", k).alias(k) for k in ("brand", "note", "other", "bare")))
 
 
-@query("SELECT page_id, array_to_string(regexp_extract_all(html, '<([A-Za-z_:][A-Za-z0-9_.:-]*)', 1), ',') AS tags FROM pages")
+@query("SELECT page_id, array_to_string(list_filter(list_transform(string_split(regexp_replace(html, '<!--.*?-->|<!\\[CDATA\\[.*?\\]\\]>|<\\?.*?\\?>|<![^>]*>', '', 'gs'), '<')[2:], lambda x: regexp_extract(x, '^([A-Za-z_:][^\\s/>]*)[^<]*>', 1)), lambda x: x <> ''), ',') AS tags FROM pages")
 def xml_elements(spark, d):
     return t(spark, d, "pages").select("page_id", urls.joined(xml.elements(F.col("html"))).alias("tags"))
 
 
-@query("SELECT p_partkey, p_name AS name FROM part")
+@query("SELECT p_partkey, 'a,part' || p_size || ',b,c,part,d' AS tags FROM part")
+def xml_walk(spark, d):
+    size, key = F.col("p_size").cast("string"), F.col("p_partkey").cast("string")
+    text = F.concat(F.lit("<?xml version='1.0'?><!DOCTYPE a><a><!-- <no> --><![CDATA[<no>]]><part"), size, F.lit(" k=\"x > <no>\"><b/><c x='>'>1 &lt; 2</c></part"), size, F.lit("><part n="), key, F.lit("><d/></part></a>"))
+    return t(spark, d, "part").select("p_partkey", urls.joined(xml.elements(text)).alias("tags"))
+
+
+@query("SELECT p_partkey, p_name AS name, p_brand || ' & ' || p_type AS second, 2 AS many, p_brand AS torn FROM part")
 def xml_find(spark, d):
-    built = xml.element("parts", xml.element("part", xml.element("name", xml.escape(F.col("p_name")))))
-    return t(spark, d, "part").select("p_partkey", xml.find(built, "parts/part/name")[0].alias("name"))
+    one = xml.element("part", xml.element("name", xml.escape(F.col("p_name"))))
+    two = xml.element("part", xml.element("name", xml.cdata(F.col("p_brand")), xml.escape(F.concat(F.lit(" & "), "p_type"))))
+    built = xml.element("parts", xml.element("names", F.lit("no")), one, two)
+    # Ill formed: an element that nothing closes, a lone end tag, and no end of the whole.
+    torn = F.concat(F.lit("<parts><lost><part></x><name>"), F.col("p_brand"), F.lit("</name></part></parts><rest>"))
+    names = xml.find(built, "parts/part/name")
+    return t(spark, d, "part").select("p_partkey", names[0].alias("name"), names[1].alias("second"), F.size(names).alias("many"), F.get(xml.find(torn, "parts/part/name"), F.lit(0)).alias("torn"))
+
 
+_HEAD, _TAIL = "'<parts><part brand=\"' || p_brand || '\">'", "'</part><part>x</part></parts>'"
+_A = "'<a>' || p_name || '</a>'"
 
-@query("SELECT p_partkey, true AS whole, false AS cut FROM part")
+
+@query(f"""SELECT p_partkey, {_HEAD} || '<b/>' || {_TAIL} AS removed, {_HEAD} || {_A} || '<b>1 &lt; 2</b>' || {_TAIL} AS data,
+  '<parts><part brand="it&apos;s">' || {_A} || '<b/>' || {_TAIL} AS changed, '<parts><part brand="' || p_brand || '" size="' || p_size || '">' || {_A} || '<b/>' || {_TAIL} AS added,
+  {_HEAD} || {_A} || '<b/><c>' || p_size || '</c>' || {_TAIL} AS appended, {_HEAD} || {_A} || '<b><c/></b>' || {_TAIL} AS nested FROM part""")
+def xml_edit(spark, d):
+    text = xml.element("parts", xml.element("part", xml.element("a", F.col("p_name")), F.lit("<b/>"), brand=F.col("p_brand")), xml.element("part", F.lit("x")))
+    size = F.col("p_size").cast("string")
+    made = {
+        "removed": xml.remove_element(text, "parts/part/a"), "data": xml.set_data(text, "parts/part/b", F.lit("1 < 2")), "changed": xml.set_attribute(text, "parts/part", "brand", F.lit("it's")),
+        "added": xml.set_attribute(text, "parts/part", "size", size), "appended": xml.add_child(text, "parts/part", xml.element("c", size)), "nested": xml.add_child(text, "parts/part/b", F.lit("<c/>")),
+    }
+    return t(spark, d, "part").select("p_partkey", *(v.alias(k) for k, v in made.items()))
+
+
+@query("SELECT p_partkey, true AS whole, false AS cut, NULL::VARCHAR AS none, 'mismatched tag: line 1, column ' || (8 + length(p_brand)) AS fault FROM part")
 def xml_well_formed(spark, d):
     built = xml.element("part", xml.cdata(F.col("p_name")), brand=F.col("p_brand"))
-    return t(spark, d, "part").select("p_partkey", xml.well_formed(built).alias("whole"), xml.well_formed(F.concat(built, F.lit("<"))).alias("cut"))
+    wrong = F.concat(F.lit("<a><b>"), F.col("p_brand"), F.lit("</a>"))
+    return t(spark, d, "part").select("p_partkey", xml.well_formed(built).alias("whole"), xml.well_formed(F.concat(built, F.lit("<"))).alias("cut"), xml.fault(built).alias("none"), xml.fault(wrong).alias("fault"))
 
 
-@query("SELECT p_partkey, k.kind, k.name, k.value, k.depth FROM part, (VALUES ('element', 'part', 'x', 0), ('cdata', NULL, 'y', 1)) k(kind, name, value, depth)".replace("k.value", "CASE k.kind WHEN 'cdata' THEN p_name ELSE 'brand=\"' || p_brand || '\"' END AS value"))
+@query("""SELECT p_partkey, k.kind, k.name, CASE k.value WHEN 'brand' THEN 'brand="' || p_brand || '"' WHEN 'name' THEN p_name ELSE k.value END AS value, k.depth FROM part, (VALUES ('element', 'part', 'brand', 0), ('cdata', NULL, 'name', 1),
+  ('comment', NULL, ' c ', 1), ('element', 'lost', '', 1), ('text', NULL, 'a & b', 1), ('pi', 'go', 'on now', 1), ('element', 'b', '', 1), ('text', NULL, 'x', 2)) k(kind, name, value, depth)""")
 def xml_nodes(spark, d):
-    built = xml.element("part", xml.cdata(F.col("p_name")), brand=F.col("p_brand"))
+    built = xml.element("part", xml.cdata(F.col("p_name")), F.lit("<!-- c --><lost>a &amp; b<?go on now?></no><b>x</b>"), brand=F.col("p_brand"))
     rows = t(spark, d, "part").select("p_partkey", F.explode(xml.nodes(built)).alias("k"))
     return rows.select("p_partkey", "k.kind", "k.name", "k.value", "k.depth")
 
 
+@query("SELECT p_partkey, 'UTF-8' AS plain, 'UTF-16LE' AS wide, 'ISO-8859-1' AS latin, '<a>é ' || p_name || '</a>' AS back, true AS utf8, false AS other FROM part")
+def xml_bytes(spark, d):
+    text = F.concat(F.lit("<a>é "), F.col("p_name"), F.lit("</a>"))
+    latin, wide = F.encode(F.concat(F.lit("<?xml version='1.0' encoding='iso-8859-1'?>"), text), "ISO-8859-1"), F.encode(text, "UTF-16LE")
+    rows = t(spark, d, "part").select("p_partkey", text.alias("text"), F.encode(text, "UTF-8").alias("bytes"), latin.alias("latin"), wide.alias("wide"))
+    back = xml.decoded(xml.encoded("text", F.lit("UTF-16BE")), F.lit("UTF-16BE"))
+    found = {k: xml.encoding_of(F.col(c)) for k, c in (("plain", "bytes"), ("wide", "wide"), ("latin", "latin"))}
+    return rows.select("p_partkey", *(v.alias(k) for k, v in found.items()), back.alias("back"), xml.is_utf8(F.col("bytes")).alias("utf8"), xml.is_utf8(F.col("latin")).alias("other"))
+
+
 @query("SELECT page_id, nullif(regexp_extract(html, '(?i)(?:<\\?xml[^>]*\\bencoding|<meta[^>]*\\bcharset)\\s*=\\s*[\"'']?([A-Za-z0-9_.-]+)', 1), '') AS encoding FROM pages")
 def xml_encoding(spark, d):
     return t(spark, d, "pages").select("page_id", xml.declared_encoding(F.col("html")).alias("encoding"))

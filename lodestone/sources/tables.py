@@ -54,8 +54,10 @@ class Tables:
         return self.insert_from(name, new)
 
     def insert_from(self, name: str, rows: DataFrame) -> DataFrame:
-        """The rows of a query, by column name; columns that it lacks are null."""
+        """The rows of a query, by column name; columns that it lacks are null, and those that the table lacks are an error."""
         old = self[name]
+        if more := [c for c in rows.columns if c not in old.columns]:
+            raise ValueError(f"table {name} has no column {more[0]}")
         new = [(F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in old.dtypes]
         return self._put(name, old.union(rows.select(*new)))
 
@@ -73,7 +75,9 @@ def random_table(spark: SparkSession, rows: int, seed: int = 1, partitions: int
     """sid 0-199, homework 0-99, grade stt0-stt9, project 0-49, exam 0-4; the same rows for a seed however it is split."""
 
     def upto(n: int, k: int) -> Column:
-        return F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "id"), F.lit(n)).cast("int")
+        # Two steps of a congruential generator on the row's number: arithmetic that any SQL engine has.
+        x = F.pmod((F.col("id") + F.lit(1009 * seed + 97 * k)) * F.lit(48271) + F.lit(11), F.lit(2147483647))
+        return ((F.pmod(x * F.lit(48271) + F.lit(k), F.lit(2147483647)) / F.lit(97)).cast("long") % n).cast("int")
 
     ids = spark.range(0, rows, 1, partitions) if partitions else spark.range(rows)
     return ids.select(upto(200, 1).alias("sid"), upto(100, 2).alias("homework"), F.concat(F.lit("stt"), upto(10, 3)).alias("grade"), upto(50, 4).alias("project"), upto(5, 5).alias("exam"))

@@ -11,6 +11,7 @@ from lodestone.functions import urls, xml
 from lodestone.operators import relational as R
 from lodestone.operators import weights as WT
 from lodestone.sources import text
+from lodestone.sources import xml as xml_files
 from lodestone.sources.tables import Tables, random_table
 
 DATA = "/root/testdata/sf0.001"
@@ -72,12 +73,104 @@ def test_text_files(spark, tmp_path):
     assert len(list(tmp_path.glob("positive/*.data"))) == 1
 
 
+def one(spark, x, *columns):
+    return tuple(spark.createDataFrame([(x,)], "x string").select(*columns).first())
+
+
+def X():
+    return F.col("x")
+
+
 def test_xml(spark):
-    df = spark.createDataFrame([('<A href=/path/ t="x&lt;y">ok<B/><C>1</C></A>',)], "x string")
-    row = df.select(xml.attribute(F.col("x"), "A", "href"), xml.attribute(F.col("x"), "A", "t"), xml.elements(F.col("x")), xml.well_formed(F.col("x"))).first()
-    assert tuple(row) == ("/path/", "x&lt;y", ["A", "B", "C"], False)
-    assert df.select(xml.cdata(F.lit("a]]>a"))).first()[0] == "<![CDATA[a]]]]><![CDATA[>a]]>"
-    assert df.select(xml.unescape_html(F.lit("&eacute;&#65;&#x42;&amp;"))).first()[0] == "éAB&"
+    x = '<A href=/path/ t="x&lt;y">ok<B/><C>1</C></A>'
+    assert one(spark, x, xml.attribute(X(), "A", "href"), xml.attribute(X(), "A", "t"), xml.elements(X()), xml.well_formed(X())) == ("/path/", "x<y", ["A", "B", "C"], False)
+    assert one(spark, "a]]>a", xml.cdata(X())) == ("<![CDATA[a]]]]><![CDATA[>a]]>",)
+    assert one(spark, "&eacute;&#65;&#x42;&amp;", xml.unescape_html(X())) == ("éAB&",)
+    assert one(spark, "a & b &amp; &#65; &x y; <", xml.escape(X(), keep_references=True)) == ("a &amp; b &amp; &#65; &amp;x y; &lt;",)
+
+
+def test_xml_attributes(spark):
+    x = """<H g1=">" g2='>' d="d'd" s='s"s'/>"""
+    assert one(spark, x, *(xml.attribute(X(), "H", k) for k in ("g1", "g2", "d", "s", "none"))) == (">", ">", "d'd", 's"s', None)
+    assert one(spark, '<A-B h="1"/><A h="2"/>', xml.attribute(X(), "A", "h")) == ("2",)
+    assert one(spark, None, xml.attribute(X(), "A", "h"), xml.elements(X()), xml.find(X(), "A"), xml.nodes(X()), xml.well_formed(X()), xml.fault(X())) == (None,) * 6
+    assert one(spark, "", xml.attribute(X(), "A", "h"), xml.elements(X()), xml.find(X(), "A"), xml.nodes(X())) == (None, [], [], [])
+
+
+def test_xml_walk_and_find(spark):
+    x = "<A><B><C/><C/><C><D/></C></B><B><C/></B></A>"
+    assert "".join(one(spark, x, xml.elements(X()))[0]) == "".join(n.name for n in one(spark, x, xml.nodes(X()))[0]) == "ABCCCDBC"
+    assert one(spark, "<R><N>A</N><Name>B</Name><Na>C</Na><Nam>D</Nam></R>", xml.find(X(), "R/Name"), xml.find(X(), "R/Nam"), xml.find(X(), "R/X")) == (["B"], ["D"], [])
+    assert one(spark, "<R><C><![CDATA[a]]>]]&gt;<![CDATA[a]]></C></R>", xml.find(X(), "R/C")) == (["a]]>a"],)
+    assert one(spark, "<a><!-- <b> --><![CDATA[<c>]]></a>", xml.elements(X())) == (["a"],)
+    assert one(spark, "<a><p>1<p>2</a><b>x</c></b>", xml.find(X(), "b"), xml.elements(X())) == (["x"], ["a", "p", "p", "b"])
+    rows = spark.createDataFrame([("<a>1</a>",), ("<a>2",), ("<<>a</b>",)], "x string")
+    assert [r[0] for r in rows.select(xml.find(X(), "a")).collect()] == [["1"], [""], []]
+
+
+def test_xml_edits(spark):
+    x = "<A><B k='v'>1</B><B/></A>"
+    got = one(spark, x, xml.remove_element(X(), "A/B"), xml.set_data(X(), "A/B", F.lit("a<b")), xml.set_attribute(X(), "A/B", "k", F.lit('"')), xml.add_child(X(), "A", F.lit("<C/>")), xml.add_child(X(), "A", F.lit("<C/>"), first=True), xml.remove_element(X(), "A/Z"))
+    assert got == ("<A><B/></A>", "<A><B k='v'>a&lt;b</B><B/></A>", "<A><B k=\"&quot;\">1</B><B/></A>", "<A><B k='v'>1</B><B/><C/></A>", "<A><C/><B k='v'>1</B><B/></A>", x)
+    assert one(spark, "<A x='k=1'/>", xml.set_attribute(X(), "A", "k", F.lit("2")), xml.set_data(X(), "A", F.lit("d"))) == ("<A x='k=1' k=\"2\"/>", "<A x='k=1'>d</A>")
+    assert one(spark, "<A/>", xml.set_data(X(), "A", F.lit(None).cast("string"))) == ("<A/>",)
+
+
+def test_xml_files(spark, tmp_path):
+    given = {"a": "<a>é</a>".encode("utf-8-sig"), "b": "\ufeff<a>é</a>".encode("utf-16-le"), "c": "<?xml version='1.0' encoding='windows-1252'?><a>é €</a>".encode("cp1252"), "d": "<a>é</a>".encode("latin-1")}
+    for k, v in given.items():
+        (tmp_path / f"{k}.xml").write_bytes(v)
+    got = {r.path[-5]: (r.encoding, r.text) for r in xml_files.load(spark, str(tmp_path / "*.xml")).collect()}
+    assert got["a"] == ("UTF-8", "<a>é</a>") and got["b"] == ("UTF-16LE", "<a>é</a>") and got["d"] == ("ISO-8859-1", "<a>é</a>")
+    assert got["c"][0] == "WINDOWS-1252" and got["c"][1].endswith("<a>é €</a>")
+    xml_files.save(spark.createDataFrame([("one", "<a>é\n</a>")], "name string, text string"), str(tmp_path / "out"))
+    assert [r.text for r in xml_files.load(spark, str(tmp_path / "out/name=one/*.txt")).collect()] == ["<a>é\n</a>\n"]
+
+
+def test_token_files(spark, tmp_path):
+    urls_ = spark.createDataFrame([(1, ["a", "b"]), (-1, ["c"]), (0, ["d", "a"]), (0, [])], "label int, tokens array<string>")
+    text.write_tokens(urls_, str(tmp_path / "out"))
+    for name in ("positive", "negative", "predict"):
+        (tmp_path / "in" / name).mkdir(parents=True)
+        lines = sorted(r[0] for r in spark.read.text(str(tmp_path / "out" / name)).collect())
+        (tmp_path / "in" / name / "x.data").write_text("\n".join([*lines, "x", ",,b,,b"]) + "\n")
+    got = sorted((r.label, r.tokens) for r in text.token_documents(spark, str(tmp_path / "in")).collect())
+    assert got == sorted([(1, ["a", "b"]), (1, ["b", "b"]), (0, ["d", "a"]), (0, ["b", "b"]), (-1, ["b", "b"])])  # "c" and "x" are one character
+    ids = [sorted(r.doc_id for r in text.labelled_lines(spark, str(tmp_path / "in"), "data").repartition(n).collect()) for n in (1, 5)]
+    assert ids[0] == ids[1] and len({*ids[0]}) == len(ids[0])
+    (tmp_path / "stop.txt").write_text("The\nAND\n\nthe\n")
+    assert sorted(r.word for r in text.stop_words(spark, str(tmp_path / "stop.txt")).collect()) == ["and", "the"]
+
+
+def test_stop_tables_of_any_size(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, ["a", "b", "a", "c"]), (2, []), (3, None), (4, ["b"])], "k int, tokens array<string>")
+    stop = spark.createDataFrame([("b",), ("x",), (None,), ("b",)], "word string")
+    want = [(1, ["a", "a", "c"]), (2, []), (3, None), (4, [])]
+    for most in (100, 0):
+        monkeypatch.setattr(urls, "BROADCAST", most)
+        assert sorted((r.k, r.tokens) for r in urls.without_stop_words(rows, stop, "k").collect()) == want
+
+
+def test_weights_of_any_vocabulary(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, k % 3 - 1, ["a", "b", "a"][: k % 4] + ["é", "", f"x{k % 5}"]) for k in range(40)] + [(99, 0, []), (100, 1, None)], "doc_id int, label int, tokens array<string>")
+    want = [sorted(f(rows).collect()) for f in (WT.weights, WT.vector_lines)]
+    monkeypatch.setattr(WT, "BROADCAST", 0)
+    assert [sorted(f(rows).collect()) for f in (WT.weights, WT.vector_lines)] == want
+    assert {r.doc_id: r.line for r in want[1] and WT.vector_lines(rows).where("doc_id > 98").collect()} == {99: "0 # ", 100: "+1 # "}
+
+
+def test_vector_lines_read_documents_twice(spark):
+    from lodestone.plans.queries import QUERIES
+
+    plan = QUERIES["vector_lines"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("documents.parquet") <= 1 and plan.count("SortMergeJoin") <= 1
+
+
+def test_rows_that_a_table_lacks_columns_for(spark):
+    own = Tables(spark)
+    own.create("tl_own", {"a": "int"})
+    with pytest.raises(ValueError, match="no column b"):
+        own.insert_from("tl_own", spark.createDataFrame([(1, 2)], "a int, b int"))
 
 
 def test_entry_without_the_corpus_operators():
