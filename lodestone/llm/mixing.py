@@ -50,7 +50,8 @@ def chances(classes: DataFrame, goals: DataFrame, lean: float) -> DataFrame:
     down = W.partitionBy("name").orderBy(F.desc("g"), F.desc("class"))
     above = F.coalesce(F.sum("words").over(down.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     below = F.sum(F.col("words") * F.col("g")).over(down.rowsBetween(W.currentRow, W.unboundedFollowing))
-    rows = rows.withColumn("level", (F.col("need") - above) / below)
+    # Without words below there is no level: a class of no words takes all or nothing at no cost.
+    rows = rows.withColumn("level", F.try_divide(F.col("need") - above, below))
     # The first class whose chance is no more than 1 has the source's level.
     fits = F.when(F.col("level") * F.col("g") <= 1, F.struct((-F.col("g")).alias("first"), "level"))
     level = F.min(fits).over(W.partitionBy("name"))["level"]
