@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +15,8 @@ from .common import grams, hashed, least_at, per_row, signed, table, texts_of, w
 
 #: Words in an anchor. Every window picks the anchor with the least hash among those it holds.
 ANCHOR = 16
-#: A reference block's parse index holds the windows of at most about so many occurrences of an anchor; an anchor with more has several blocks.
-BLOCK = 20_000
+#: A reference block holds about so many occurrences of an anchor at most; an anchor with more has several blocks.
+BLOCK = 4_000
 
 
 def _picked(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -40,12 +41,16 @@ def summaries(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(per_row(make, ["doc_id", "row_key"], schema), "doc_id long, row_key long, n_words long, sha binary, anchors array<long>")
 
 
+_SEGMENTS = pa.schema([("anchor", pa.int64()), ("block", pa.int32()), ("segment", pa.int64()), ("doc_id", pa.int64()), ("row_key", pa.int64()), ("at", pa.int32()), ("words", pa.binary()), ("seeds", pa.binary())])
+
+
 def occurrences(texts: DataFrame, window: int) -> DataFrame:
-    """For each place where a text's windows pick a shared anchor: the windows' places relative to it and their hashes.
+    """A row for each place where windows of a text pick a shared anchor: the words of these windows (a segment), the place
+    of the first, and a hash of the segment.
 
-    An anchor that occurs very often is cut into blocks by the windows' hashes, so equal windows meet in one block.
+    An anchor that occurs very often has several blocks. A segment goes to each block in which one of its windows belongs,
+    by the window's hash, so equal windows meet in one; seeds has the places of those windows (empty: all).
     """
-    schema = pa.schema([("anchor", pa.int64()), ("block", pa.int32()), ("doc_id", pa.int64()), ("row_key", pa.int64()), ("at", pa.int32()), ("places", pa.binary()), ("windows", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,61 +71,116 @@ def occurrences(texts: DataFrame, window: int) -> DataFrame:
                 starts = np.flatnonzero(known[where] == v[at])
                 if not len(starts):
                     continue
-                full, at, where = grams(h, window)[starts], at[starts], where[starts]
-                place = (at - starts).astype(np.uint8)
+                at, where = at[starts], where[starts]
+                whole, ends = b" ".join(w), np.cumsum([len(x) + 1 for x in w])
                 edge = np.flatnonzero(np.diff(at)) + 1
                 for a, b in zip([0, *edge], [*edge, len(at)], strict=True):
-                    p, x, f = int(at[a]), place[a:b], full[a:b]
-                    anchor, blocks = int(signed(v[p : p + 1])[0]), -(-int(count[where[a]]) // BLOCK)
+                    first, last = int(starts[a]), int(starts[b - 1]) + window
+                    part = whole[ends[first] - len(w[first]) - 1 : ends[last - 1] - 1]
+                    anchor, blocks = int(signed(v[at[a] : at[a] + 1])[0]), -(-int(count[where[a]]) // BLOCK)
                     if blocks == 1:
-                        out.append((anchor, 0, doc_id, key, p, x.tobytes(), f.tobytes()))
+                        out.append((anchor, 0, _name(part, b""), doc_id, key, first, part, b""))
                         continue
-                    own = (f % np.uint64(blocks)).astype(np.int64)
-                    out += [(anchor, int(k), doc_id, key, p, x[own == k].tobytes(), f[own == k].tobytes()) for k in np.unique(own)]
+                    own = grams(h[first:last], window) % np.uint64(blocks)
+                    for k in np.unique(own).tolist():
+                        seeds = np.flatnonzero(own == k).astype(np.uint16).tobytes()
+                        out.append((anchor, k, _name(part, seeds), doc_id, key, first, part, seeds))
                 if len(out) > 20_000:
-                    yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema)], schema=schema)
+                    yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SEGMENTS)], schema=_SEGMENTS)
                     out = []
             if out:
-                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema)], schema=schema)
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SEGMENTS)], schema=_SEGMENTS)
+
+    return texts.mapInArrow(cut, "anchor long, block int, segment long, doc_id long, row_key long, at int, words binary, seeds binary")
 
-    return texts.mapInArrow(cut, "anchor long, block int, doc_id long, row_key long, at int, places binary, windows binary")
 
+def _name(part: bytes, seeds: bytes) -> int:
+    return int(signed(np.array([xxhash.xxh3_64_intdigest(part + b" " + seeds)], np.uint64))[0])
 
-def factors(segments: DataFrame) -> DataFrame:
-    """The relative Lempel-Ziv parse of each distinct segment against the block of its anchor.
 
-    Segments come by least document. A block's index has, for each window met so far, the document that first held it. A
-    factor runs as long as its windows stand in one earlier document; where it ends, the parse goes on with the next window,
-    which overlaps the factor by all but one word, so no window across a boundary is missed. New windows join the index.
-    Returns anchor, block, segment and factors (first window's index, windows, source document).
+class Reference:
+    """An indexed reference block: segments in the order of their least document, and where each window first stands.
+
+    The index is by a hash of the window; what it finds counts only if the words are the same.
+    """
+
+    def __init__(self, window: int) -> None:
+        self.window, self.index = window, {}
+        self.segments: list[tuple[bytes, list[bytes], list[int], int]] = []
+
+    def find(self, window: bytes) -> tuple[int, tuple[int, int] | None]:
+        """The window's number in the index, and its segment and place if it is there."""
+        number = hash(window)
+        while (found := self.index.get(number)) is not None:
+            whole, _, begin, _ = self.segments[found[0]]
+            if whole[begin[found[1]] : begin[found[1] + self.window] - 1] == window:
+                break
+            number += 1  # another window of the same hash
+        return number, found
+
+    def parse(self, whole: bytes, seeds: bytes, least: int) -> list[tuple[int, int, int]]:
+        """Greedy factors of a segment against the block: first word, length in words, and the document they come from.
+
+        A factor begins at a window that an earlier document holds, and goes on as long as that document's segment has the
+        same words: `window` words at least. The parse goes on at the boundary, with the first window that the factor does
+        not hold whole, so that a window across it isn't missed. Windows found nowhere join the index, and so does one
+        that the same document held before.
+        """
+        w = whole.split(b" ")
+        begin, size = [0], self.window
+        for x in w:
+            begin.append(begin[-1] + len(x) + 1)
+        wanted = np.frombuffer(seeds, np.uint16).tolist() if seeds else range(len(w) - size + 1)
+        found, new, following = [], [], 0
+        for i in wanted:
+            if i < following:
+                continue
+            number, ref = self.find(whole[begin[i] : begin[i + size] - 1])
+            if ref is None:
+                new.append((number, i))
+                continue
+            _, source, _, document = self.segments[ref[0]]
+            if document >= least:
+                continue
+            n, j = size, ref[1]
+            while i + n < len(w) and j + n < len(source) and w[i + n] == source[j + n]:
+                n += 1
+            found.append((i, n, document))
+            following = i + n - size + 1
+        if new:
+            for number, i in new:
+                while number in self.index:
+                    number += 1
+                self.index[number] = (len(self.segments), i)
+            self.segments.append((whole, w, begin, least))
+        return found
+
+
+def factors(segments: DataFrame, window: int) -> DataFrame:
+    """The relative Lempel-Ziv parse of each distinct segment against its anchor's reference block (see Reference).
+
+    Segments come by least document. Equal segments are one; for the documents beyond the least one, the segment as a whole
+    is one factor. Returns anchor, block, segment and factors (first word, words, source document).
     """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, index = None, {}
+        block, reference = None, Reference(window)
         for batch in batches:
             out = []
-            for anchor, number, segment, least, n, places, windows in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+            for anchor, number, segment, least, more, whole, seeds in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                 if block != (anchor, number):
-                    block, index = (anchor, number), {}
-                found, begin, source, last = [], 0, None, None
-                at = np.frombuffer(places, np.uint8).tolist()
-                for i, window in enumerate(np.frombuffer(windows, np.uint64).tolist()):
-                    ref = index.setdefault(window, least)
-                    if ref != source or at[i] != last - 1:
-                        if source is not None:
-                            found.append((begin, i - begin, source))
-                        begin, source = i, ref
-                    last = at[i]
-                found.append((begin, len(at) - begin, source))
-                found = [f for f in found if n or f[2] < least]
+                    block, reference = (anchor, number), Reference(window)
+                found = reference.parse(whole, seeds, least)
+                if more:
+                    found.append((0, whole.count(b" ") + 1, least))
                 if found:
                     out.append((anchor, number, segment, [{"first": a, "n": b, "source": c} for a, b, c in found]))
             if out:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), kind), strict=True)], names=["anchor", "block", "segment", "factors"])
 
     kind = pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32()), ("source", pa.int64())]))
-    distinct = segments.groupBy("anchor", "block", "places", "windows").agg(F.min("doc_id").alias("least"), (F.max("doc_id") > F.min("doc_id")).alias("more"))
-    distinct = distinct.select("anchor", "block", F.xxhash64("places", "windows").alias("segment"), "least", "more", "places", "windows")
+    distinct = segments.groupBy("anchor", "block", "segment", "words", "seeds").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    distinct = distinct.select("anchor", "block", "segment", "least", (F.col("most") > F.col("least")).alias("more"), "words", "seeds")
     return distinct.repartition("anchor", "block").sortWithinPartitions("anchor", "block", "least", "segment").mapInArrow(parse, "anchor long, block int, segment long, factors array<struct<first:int,n:int,source:long>>")
 
 
@@ -134,11 +194,11 @@ def duplicate_spans(docs: DataFrame, window: int = 50) -> tuple[DataFrame, DataF
     held = anchors.join(shared, "anchor").groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("anchor", "n")).alias("shared"))
     texts = written(docs.join(held, ["doc_id", "row_key"]).select("doc_id", "row_key", "text", "shared"))
     found = written(occurrences(texts, window))
-    parsed = factors(found)
-    spans = found.withColumn("segment", F.xxhash64("places", "windows")).join(parsed, ["anchor", "block", "segment"])
-    spans = spans.select("doc_id", "row_key", "at", "places", F.explode("factors").alias("f")).where("f.source < doc_id")
-    begin = F.col("at") - F.conv(F.hex(F.expr("substring(places, f.first + 1, 1)")), 16, 10).cast("int")
-    spans = spans.select("doc_id", "row_key", F.struct(begin.alias("begin"), (begin + F.col("f.n") + window - 1).alias("end")).alias("span"))
+    parsed = factors(found, window)
+    spans = found.select("anchor", "block", "segment", "doc_id", "row_key", "at").join(parsed, ["anchor", "block", "segment"])
+    spans = spans.select("doc_id", "row_key", "at", F.explode("factors").alias("f")).where("f.source < doc_id")
+    begin = F.col("at") + F.col("f.first")
+    spans = spans.select("doc_id", "row_key", F.struct(begin.alias("begin"), (begin + F.col("f.n")).alias("end")).alias("span"))
     return all_rows, texts, spans.groupBy("doc_id", "row_key").agg(F.collect_list("span").alias("spans"))
 
 
@@ -155,11 +215,15 @@ def remove_duplicates(docs: DataFrame, window: int = 50, with_text: bool = False
     """doc_id, row_key, n_words, n_removed, kept_sha256 for every row of docs (doc_id, text; other columns are not read).
 
     A word goes if a window of `window` words that covers it also starts in a document with a smaller doc_id; windows are
-    judged on the input. Candidates: every window picks its least `ANCHOR`-word hash, equal windows pick the same, so only
-    windows whose anchor occurs in two documents are parsed (see factors). No count of copies makes a pair of documents.
+    judged on the input. Every window picks its least `ANCHOR`-word hash, and equal windows pick the same; so the text
+    around an anchor that two documents share, and no other, is brought together as reference blocks, and each document's
+    part is factored greedily against its block. Factors of neighbouring anchors overlap and add up to a document's spans.
+    No count of copies makes a pair of documents.
     with_text adds kept_text, the kept words joined by one space, where words were removed (else null).
     Defined results: a null text has no words. A null doc_id has no order, so such rows lose nothing and take nothing.
-    Rows that repeat a doc_id don't count against one another. Texts of under `window` words lose nothing.
+    Rows that repeat a doc_id don't count against one another. Texts of under `window` words lose nothing; very long ones are
+    worked on whole. Bytes that are no UTF-8 count as they are, and are U+FFFD in kept_text. Other columns, whatever their
+    names, are not returned. An empty table gives an empty table.
     """
     all_rows, texts, spans = duplicate_spans(docs, window)
 
