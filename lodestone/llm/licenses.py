@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 #: The least Dice coefficient that counts as a match.
 LEAST = 0.8
 
-# Usual wordings of licence notices.
+#: Bigrams of templates that are broadcast; longer lists are joined by shuffle.
+BROADCAST = 100_000
+#: Places in a template's order key: a window of any template is as long as WIDE of them.
+WIDE = 1_000_000_000
+
+# Usual wordings of licence notices, and whole texts of short licences.
 TEMPLATES = {
     "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -35,59 +43,100 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "proprietary": "All rights reserved.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "0BSD-text": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "BSD-2-text": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "BSD-3-text": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "BSL-1.0-text": 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "ISC-text": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "MIT-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "Unlicense-text": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.",
+    "Zlib-text": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
 }
 
 
-def _bigrams(words: F.Column) -> F.Column:
-    """Distinct bigrams of an array of words; a single word is one by itself. The outer transform binds the array once."""
+def _plain(text: F.Column) -> F.Column:
+    """Words of normalised text: lower case, letters and digits; all else, line breaks too, parts words."""
+    return F.filter(F.split(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " ")), " "), lambda w: w != "")
 
-    def pairs(w: F.Column) -> F.Column:
-        return F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i)))
 
-    return F.transform(F.array(words), lambda w: F.when(F.size(w) == 1, w).otherwise(F.array_distinct(pairs(w))))[0]
+def _known(spark: SparkSession, templates: dict[str, str], ratio: float) -> tuple[list[tuple], list[str]]:
+    """A row for each distinct bigram of each template, and the words one of which stands in every text that can match.
 
+    A match holds ratio of a template's bigrams at least. So it holds one of any so many as may be missing and one more;
+    of each of those, the longer word is asked for.
+    """
+    rows, asked = [], set()
+    for license, words in spark.createDataFrame([*templates.items()], "license string, text string").select("license", _plain(F.col("text"))).collect():
+        if len(words) < 2:
+            raise ValueError(f"template {license} has fewer than two words")
+        grams = [*dict.fromkeys(zip(words, words[1:]))]
+        span, b = len(words) - 1, len(grams)
+        rows += [(license, b, span, WIDE // span, k, x, y) for k, (x, y) in enumerate(grams)]
+        most = b - math.ceil(ratio * b - 1e-9) + 1
+        asked |= {max(g, key=len) for g in sorted(grams, key=lambda g: (-max(map(len, g)), g))[:most]}
+    return rows, sorted(asked)
 
-def _words(line: F.Column) -> F.Column:
-    return F.filter(F.split(line, " "), lambda w: w != "")
+
+def _islands(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows with island: runs of intervals [at, last] that share places with one another, within equal keys."""
+    order = W.partitionBy(*keys).orderBy("at", "last")
+    new = F.col("at") > F.coalesce(F.max("last").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(-1))
+    return rows.withColumn("new", new.cast("int")).withColumn("island", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
-    """doc_id, n_lines, n_matches, licenses, best, best_dice for every row of docs (doc_id, text; others are not read).
-
-    Texts are lower-cased and anything but letters and digits becomes a space. Each line is compared with the templates by
-    the Dice coefficient of their sets of word bigrams, 2 * common / (a + b), a match from `least` on; of a line's matches
-    the best counts, ties to the first name. licenses names the templates that match, in order.
-    A line of a bigrams can only match templates of least / (2 - least) * a to (2 - least) / least * a bigrams, so lines
-    beyond the bounds of all templates are dropped before their bigrams are made, and each other pair is tested by its own
-    bounds. Bigrams meet the templates' few hundred in a broadcast join whose size the template list sets.
-    Defined results: null and empty texts have no lines. A null doc_id is kept. Rows that repeat are alike, row by row.
+    """doc_id, n_words, n_matches, licenses, best, best_dice for every row of docs (doc_id, text; others are not read).
+
+    Texts are normalised whole (see _plain), so it doesn't matter how a notice is wrapped. A template of m words is compared
+    with each run of m words (fewer at the text's end) that begins with one of its bigrams, wherever that stands, by the
+    Dice coefficient of their sets of word bigrams, 2 * common / (a + b); `least` is a match. Of a template's matches that
+    share words the best counts (ties: the first); of those that are left and share words with one another, whichever
+    template they match, that with most common bigrams counts, so a text counts rather than a notice within it (ties: by
+    Dice, then the first name). licenses names the templates that match, in order; best is that of most common bigrams.
+
+    Bounds on sizes prune: a run matches a template of b bigrams only if it holds least / (2 - least) * b of them. So texts
+    without any of the words that such a run can't do without are dropped, then templates that have too few of their bigrams
+    in a text or are too long for it; runs are measured only where enough bigrams of the template lie. Texts meet templates
+    by bigrams, in a join that broadcasts the templates' bigrams if there are no more than BROADCAST.
+    Defined results: null and empty texts, and texts of one word, match nothing. A null doc_id is kept. Rows that repeat are
+    alike, row by row. Very long texts are compared whole. An empty table gives an empty table.
     """
-    spark, templates = docs.sparkSession, templates or TEMPLATES
-    ratio = least / (2 - least)
-    plain = F.lower(F.regexp_replace(F.col("text"), r"[^\p{L}\p{N}\n]+", " "))
-    lines = F.filter(F.split(plain, "\n"), lambda x: x.rlike("[^ ]"))
-
-    known = spark.createDataFrame([*templates.items()], "license string, text string").select("license", _bigrams(_words(plain)).alias("grams"))
-    known = known.select("license", F.size("grams").alias("b"), "grams")
-    low, high = known.agg(F.min("b"), F.max("b")).first()
-
-    own = docs.select("doc_id", F.xxhash64("text").alias("key"), F.coalesce(F.regexp_count("text", F.lit(r"(?md)^[^\n]*?[\p{L}\p{N}]")), F.lit(0)).alias("n_lines"))
-    units = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("key"), F.posexplode(lines).alias("line", "words"))
-    # A line of n words has n - 1 blanks at least, so too few of them settle it before its words are split.
-    blanks = F.length("words") - F.length(F.translate("words", " ", ""))
-    units = units.where(blanks + 1 >= ratio * low).withColumn("words", _words(F.col("words")))
-    units = units.withColumn("grams", _bigrams(F.col("words"))).withColumn("a", F.size("grams"))
-    units = units.where((F.col("a") >= ratio * low) & (F.col("a") <= high / ratio))
-    parts = known.select("license", "b", F.explode("grams").alias("known"))
-    met = units.select("doc_id", "key", "line", "a", F.explode("grams").alias("gram")).join(F.broadcast(parts), F.col("gram") == F.col("known"))
-    met = met.where((F.col("b") >= ratio * F.col("a")) & (F.col("b") <= F.col("a") / ratio))
-    dice = (F.lit(2.0) * F.count_distinct("gram") / (F.col("a") + F.col("b"))).alias("dice")
-    found = met.groupBy("doc_id", "key", "line", "a", "license", "b").agg(dice).where(F.col("dice") >= least)
-    best = F.struct((-F.col("dice")).alias("far"), "license")
-    found = found.groupBy("doc_id", "key", "line").agg(F.min(best).alias("top"))
-    found = found.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("top.license")), ",").alias("licenses"), F.min("top").alias("top"))
-    out = own.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left")
-    return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.coalesce("n", F.lit(0)).cast("long").alias("n_matches"), F.coalesce("licenses", F.lit("")).alias("licenses"), F.col("top.license").alias("best"), (-F.col("top.far")).alias("best_dice"))
+    spark, ratio = docs.sparkSession, least / (2 - least)
+    known, asked = _known(spark, templates or TEMPLATES, ratio)
+    parts = spark.createDataFrame(known, "license string, b int, span int, step long, gram int, first string, second string")
+    parts = F.broadcast(parts) if len(known) <= BROADCAST else parts
+
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), _plain(F.coalesce(F.col("text"), F.lit(""))).alias("words"))
+    near = F.arrays_overlap("words", F.array(*map(F.lit, asked)))
+    # Numbers of rows are written with them, and so stay what they are.
+    rows = written(rows.select("doc_id", "row", F.size("words").alias("n_words"), F.when(near, F.col("words")).alias("words")))
+    texts = rows.where("words IS NOT NULL AND n_words > 1").select("row", "n_words", "words")
+
+    met = texts.select("row", "n_words", F.posexplode(F.arrays_zip(F.col("words").alias("first"), F.slice("words", 2, F.col("n_words")).alias("second"))).alias("at", "pair"))
+    met = met.select("row", "n_words", "at", F.col("pair").getField("first").alias("w1"), F.col("pair").getField("second").alias("w2"))
+    met = met.join(parts, (F.col("w1") == F.col("first")) & (F.col("w2") == F.col("second"))).where(F.col("n_words") - 1 >= ratio * F.col("b"))
+    met = met.select("row", "n_words", "license", "b", "span", "gram", "at", (F.col("at") * F.col("step")).alias("place"))
+    own = W.partitionBy("row", "license")
+    met = met.withColumn("all", F.size(F.collect_set("gram").over(own))).where(F.col("all") >= ratio * F.col("b"))
+    # place is `at` stretched so that all templates' runs are WIDE long, since a frame has one length.
+    run = own.orderBy("place").rangeBetween(0, WIDE - 10_000)
+    met = met.withColumn("common", F.size(F.collect_set("gram").over(run))).where(F.col("common") >= ratio * F.col("b"))
+    runs = met.groupBy("row").agg(F.collect_list(F.struct("license", "b", "span", "at", "common")).alias("runs"))
+
+    pairs = F.zip_with(F.slice("words", 1, F.col("n_words") - 1), F.slice("words", 2, F.col("n_words") - 1), lambda x, y: F.concat_ws(" ", x, y))
+    measured = texts.select("row", "n_words", pairs.alias("pairs")).join(runs, "row")
+
+    def dice(r: F.Column) -> F.Column:
+        a = F.size(F.array_distinct(F.slice("pairs", r["at"] + 1, r["span"])))
+        return F.struct(r["license"].alias("license"), r["at"].alias("at"), F.least(r["at"] + r["span"], F.col("n_words") - 1).alias("last"), r["common"].alias("common"), (F.lit(2.0) * r["common"] / (a + r["b"])).alias("dice"))
+
+    found = measured.select("row", F.inline(F.transform("runs", dice))).where(F.col("dice") >= least)
+    found = _islands(found, "row", "license").groupBy("row", "license", "island").agg(F.min(F.struct((-F.col("dice")).alias("far"), "at", "last", "common")).alias("top"))
+    found = found.select("row", "license", "top.far", "top.at", "top.last", (-F.col("top.common")).alias("few"))
+    found = _islands(found, "row").groupBy("row", "island").agg(F.min(F.struct("few", "far", "license")).alias("top"))
+    found = found.groupBy("row").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("top.license")), ",").alias("licenses"), F.min("top").alias("top"))
+    out = rows.select("doc_id", "row", "n_words").join(found, "row", "left")
+    return out.select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n", F.lit(0)).cast("long").alias("n_matches"), F.coalesce("licenses", F.lit("")).alias("licenses"), F.col("top.license").alias("best"), (-F.col("top.far")).alias("best_dice"))
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,25 +147,41 @@ def _quoted(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
+_SQL_WORDS = "list_filter(string_split(lower(regexp_replace(coalesce(text, ''), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '')"
+_SQL_PAIRS = "list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])"
+
+#: Every run of a template's length that begins with one of its bigrams is measured; nothing is pruned.
 OP6_SQL = f"""
 WITH known AS (
-  SELECT license, list_filter(string_split(lower(regexp_replace(text, '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')), ' '), lambda w: w <> '') AS w
-  FROM (VALUES {", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in TEMPLATES.items())}) t(license, text)
+  SELECT license, {_SQL_WORDS} AS w FROM (VALUES {", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in TEMPLATES.items())}) t(license, text)
 ), template AS (
-  SELECT license, CASE WHEN len(w) = 1 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS grams FROM known
-), lines AS (
-  SELECT doc_id, list_filter(string_split(lower(regexp_replace(coalesce(text, ''), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')), chr(10)), lambda x: trim(x, ' ') <> '') AS l FROM documents
-), unit AS (
-  SELECT doc_id, unnest(range(len(l))) AS line, list_filter(string_split(unnest(l), ' '), lambda x: x <> '') AS w FROM lines
-), bag AS (
-  SELECT doc_id, line, CASE WHEN len(w) = 1 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS grams FROM unit
-), pair AS (
-  SELECT doc_id, line, license, 2.0::DOUBLE * len(list_intersect(bag.grams, template.grams)) / (len(bag.grams) + len(template.grams)) AS dice
-  FROM bag, template
+  SELECT license, len(w) AS m, list_distinct({_SQL_PAIRS}) AS grams FROM known
+), texts AS (
+  SELECT row_number() OVER () AS r, doc_id, {_SQL_WORDS} AS w FROM documents
+), paired AS (
+  SELECT r, len(w) AS n, {_SQL_PAIRS} AS g FROM texts
+), bigram AS (
+  SELECT r, unnest(range(1, n)) AS pos, unnest(g) AS gram FROM paired
+), begun AS (
+  SELECT r, pos, license FROM bigram JOIN (SELECT license, unnest(grams) AS gram FROM template) USING (gram)
+), run AS (
+  SELECT r, license, pos, least(pos + m - 1, n) AS last, list_distinct(g[pos:pos + m - 2]) AS own, grams FROM begun JOIN template USING (license) JOIN paired USING (r)
+), fits AS (
+  SELECT r, license, pos, last, len(list_intersect(own, grams)) AS common, 2.0::DOUBLE * len(list_intersect(own, grams)) / (len(own) + len(grams)) AS dice FROM run WHERE 3 * len(own) >= 2 * len(grams)
+), good AS (
+  SELECT *, pos > coalesce(max(last) OVER (PARTITION BY r, license ORDER BY pos, last ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS new FROM fits WHERE dice >= {LEAST}
+), numbered AS (
+  SELECT *, sum(new::INT) OVER (PARTITION BY r, license ORDER BY pos, last ROWS UNBOUNDED PRECEDING) AS island FROM good
+), single AS (
+  SELECT * EXCLUDE (new, island) FROM numbered QUALIFY row_number() OVER (PARTITION BY r, license, island ORDER BY dice DESC, pos) = 1
+), apart AS (
+  SELECT *, pos > coalesce(max(last) OVER (PARTITION BY r ORDER BY pos, last ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS new FROM single
+), places AS (
+  SELECT *, sum(new::INT) OVER (PARTITION BY r ORDER BY pos, last ROWS UNBOUNDED PRECEDING) AS island FROM apart
 ), best AS (
-  SELECT doc_id, line, license, dice FROM pair WHERE dice >= {LEAST} QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY dice DESC, license) = 1
+  SELECT * FROM places QUALIFY row_number() OVER (PARTITION BY r, island ORDER BY common DESC, dice DESC, license) = 1
 ), found AS (
-  SELECT doc_id, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, first(license ORDER BY dice DESC, license) AS best, max(dice) AS best_dice FROM best GROUP BY doc_id
+  SELECT r, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, first(license ORDER BY common DESC, dice DESC, license) AS best, first(dice ORDER BY common DESC, dice DESC, license) AS best_dice FROM best GROUP BY r
 )
-SELECT doc_id, len(l)::BIGINT AS n_lines, coalesce(n, 0)::BIGINT AS n_matches, coalesce(licenses, '') AS licenses, best, best_dice FROM lines LEFT JOIN found USING (doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_matches, coalesce(licenses, '') AS licenses, best, best_dice FROM texts LEFT JOIN found USING (r)
 """
