@@ -5,7 +5,7 @@ from __future__ import annotations
 import string
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,47 +13,55 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, texts_of
+from .common import quoted, table, texts_of, unused, without, written
 from .toxicity import remainder
 
-#: Labelled documents of either class, and unlabelled ones, that the models are fitted on, at most.
-SAMPLE, POOL = 4000, 8000
-#: Rounds of exchange, and the share of the pool that either model labels for the other in a round, for each class.
-ROUNDS, SHARE = 6, 0.01
-#: One-hot places for sources and for languages.
-PLACES = 32
+#: Labelled documents of either class that the models are fitted on, at most.
+SAMPLE = 4000
+#: Rounds of exchange, and the unlabelled documents of a class that either view labels for the other in a round, at most: the
+#: surest of all rows, and only such as score beyond SURE.
+ROUNDS, TAUGHT, SURE = 4, 300, 0.95
+#: One-hot places for sources and for languages, and hash places for words and for pairs of words.
+PLACES, WORDS = 32, 128
 
 _LETTERS, _DIGITS, _BLANKS = string.ascii_letters.encode() + bytes(range(128, 256)), string.digits.encode(), b" \t\n\v\f\r"
 _ENDS = (b".", b"!", b"?", b":", b'"', b"|")
 
 
-def content(text: bytes) -> list[float]:
-    """What the words say: repetition, variety, and the make-up of their characters."""
+def content(text: bytes) -> np.ndarray:
+    """What the text says: its words and pairs of words by hash, their repetition and variety, the make-up of its
+    characters, and the lines that it is written in."""
     words = text.split()
     n, size = len(words), max(1, len(text))
     if not n:
-        return [1.0, *[0.0] * 13]
-    counts = Counter(words)
+        return np.concatenate([[1.0], np.zeros(20 + 2 * WORDS)])
+    counts, twos = Counter(words), Counter(zip(words, words[1:]))
     common = sorted(counts.values(), reverse=True)[:5]
     lower = len(text.translate(None, string.ascii_uppercase.encode()))
     letters, digits = size - len(text.translate(None, _LETTERS)), size - len(text.translate(None, _DIGITS))
     marks = size - letters - digits - (size - len(text.translate(None, _BLANKS)))
     odd = size - len(text.translate(None, b"#$%&*|@^~<>{}[]\\=_+"))
     again = sum(map(bytes.__eq__, words, words[1:]))
-    pairs = len({*zip(words, words[1:])}) / max(1, n - 1)
-    return [0.0, again / n, np.sqrt(again / n), common[0] / n, sum(common) / n, len(counts) / n, np.log(len(counts)) / np.log(n + 1), pairs, letters / size, digits / size, marks / size, np.sqrt(odd / size), (size - lower) / size, size / n / 10]
-
-
-def layout(text: bytes, lang: str | None, source: str | None, n_chars: int | None) -> list[float]:
-    """What is known of the page without its words: origin, language, size, and the lines it is laid out in."""
     lines = [x for x in text.split(b"\n") if x.strip()]
-    long = [len(x) for x in lines] or [0]
-    size = len(text) if n_chars is None else n_chars
-    ends = sum(x.rstrip().endswith(_ENDS) for x in lines) / max(1, len(lines))
-    out = [np.log1p(size), np.log1p(size) ** 2 / 10, np.log1p(len(lines)), np.log1p(max(long)), np.log1p(sum(long) / len(long)), ends, len({*lines}) / max(1, len(lines)), sum(k < 30 for k in long) / len(long)]
-    for x, empty in ((lang, 0), (source, 0)):
+    long = [len(x) for x in lines]
+    ends = sum(x.rstrip().endswith(_ENDS) for x in lines) / len(lines)
+    made = [0.0, again / n, np.sqrt(again / n), common[0] / n, sum(common) / n, len(counts) / n, np.log(len(counts)) / np.log(n + 1), len(twos) / max(1, n - 1), letters / size, digits / size, marks / size, np.sqrt(odd / size), (size - lower) / size, size / n / 10]
+    made += [np.log1p(len(lines)), np.log1p(max(long)), np.log1p(sum(long) / len(long)), ends, len({*lines}) / len(lines), sum(k < 30 for k in long) / len(long), np.log1p(n)]
+    code = np.fromiter(map(zlib.crc32, counts), np.int64, len(counts))
+    one = np.bincount(code % WORDS, np.fromiter(counts.values(), float, len(counts)), WORDS)
+    hashes = dict(zip(counts, code.tolist()))
+    pair = np.fromiter(((hashes[x] * 31 + hashes[y]) % 2_147_483_647 % WORDS for x, y in twos), np.int64, len(twos))
+    two = np.bincount(pair, np.fromiter(twos.values(), float, len(twos)), WORDS)
+    return np.concatenate([made, np.sqrt(one / n), np.sqrt(two / max(1, n - 1))])
+
+
+def metadata(lang: str | None, source: str | None, n_chars: int | None) -> list[float]:
+    """What is known of the page without its text: its noted length, its language and its source."""
+    size = np.log1p(max(0, n_chars or 0))
+    out = [float(n_chars is None), size, size**2 / 10]
+    for x in (lang, source):
         hot = [0.0] * PLACES
-        hot[zlib.crc32(x.encode()) % (PLACES - 1) + 1 if x is not None else empty] = 1.0
+        hot[zlib.crc32(x.encode()) % (PLACES - 1) + 1 if x is not None else 0] = 1.0
         out += hot
     return out
 
@@ -100,7 +108,7 @@ def _calibrate(model: Logistic, x: np.ndarray, y: np.ndarray) -> None:
 
 @dataclass
 class CoTrained:
-    """Views 0 (content) and 1 (layout), each calibrated, and how their logits add up."""
+    """Views 0 (content) and 1 (metadata), each calibrated, and how their logits add up."""
 
     views: list[Logistic]
     weights: np.ndarray
@@ -110,90 +118,139 @@ class CoTrained:
         return self.views[0].score(x[0]), self.views[1].score(x[1]), 1 / (1 + np.exp(-np.clip(both, -30, 30)))
 
 
-def co_train(x: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds: int = ROUNDS, share: float = SHARE) -> CoTrained:
-    """In each round either view is fitted on its labels and gives the other those of the pool that it is surest of.
+def co_train(x: list[np.ndarray], y: np.ndarray, surest: Callable, rounds: int = ROUNDS) -> CoTrained:
+    """In each round either view is fitted on its labels and labels for the other those unlabelled documents that it is surest of.
 
-    A third of the given labels is kept back for calibration; pseudo-labels never enter that.
+    surest(models, taught) returns, for each view, the features of such documents in both views and their pseudo-labels;
+    taught[v] has the ids that view v was given before. A third of the given labels is kept back for calibration;
+    pseudo-labels never enter that.
     """
     back = np.arange(len(y)) % 3 == 0
     if len({*y[back]}) < 2 or len({*y[~back]}) < 2:
         back = np.zeros(len(y), bool)
     teach, check = ~back, back if back.any() else ~back
     own = [(x[v][teach], y[teach]) for v in (0, 1)]
-    free = [np.ones(len(pool[0]), bool) for _ in (0, 1)]  # what a view may still be taught
+    taught = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
     for _ in range(rounds):
         models = [Logistic.fitted(*own[v]) for v in (0, 1)]
-        for v in (0, 1):
-            many = int(share * len(pool[v]))
-            if not many:
-                continue
-            p = models[v].score(pool[v])
-            order = np.argsort(p, kind="stable")
-            order = order[free[1 - v][order]]
-            sure = [order[-many:][p[order[-many:]] > 0.95], order[:many][p[order[:many]] < 0.05]]
-            told = np.concatenate(sure)
-            labels = np.concatenate([np.ones(len(sure[0])), np.zeros(len(sure[1]))])
-            free[1 - v][told] = False
-            own[1 - v] = (np.concatenate([own[1 - v][0], pool[1 - v][told]]), np.concatenate([own[1 - v][1], labels]))
+        for v, (ids, views, labels) in enumerate(surest(models, taught)):
+            other = 1 - v
+            if len(ids):
+                taught[other] = np.concatenate([taught[other], ids])
+                own[other] = (np.concatenate([own[other][0], views[other]]), np.concatenate([own[other][1], labels]))
     views = [Logistic.fitted(*own[v]) for v in (0, 1)]
     for v in (0, 1):
         _calibrate(views[v], x[v][check], y[check])
     logits = np.column_stack([views[v].logit(x[v][check]) for v in (0, 1)])
-    last = Logistic.fitted(logits, y[check], 1e-2)
+    last = Logistic.fitted(logits, y[check], 1.0)
     slopes = last.weights[1:] / last.scale
     return CoTrained(views, np.array([last.weights[0] - slopes @ last.mean, *slopes]))
 
 
-def _features(batch: pa.RecordBatch) -> list[np.ndarray]:
-    column = {c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_lang", "_source", "_chars")}
-    texts = [t or b"" for t in texts_of(batch, "_text")]
-    return [np.array([content(t) for t in texts]), np.array([layout(*r) for r in zip(texts, column["_lang"], column["_source"], column["_chars"], strict=True)])]
+def _features(batch: pa.RecordBatch, names: list[str]) -> list[np.ndarray]:
+    """Of both views; names: the columns of text, lang, source and n_chars."""
+    texts = [t or b"" for t in texts_of(batch, names[0])]
+    known = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names[1:])
+    return [np.array([content(t) for t in texts]), np.array([metadata(*r) for r in zip(*known, strict=True)])]
 
 
-def score(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """keep (doc_id by default), held_out, content_score, layout_score, score, predicted (of good quality) for every row.
+_GIVEN = ["text", "lang", "source", "n_chars"]
 
-    The views are fitted on the driver: features, not texts, of at most SAMPLE labelled documents a class (as frequent as
-    they are) and POOL unlabelled ones, all of rows with crc32(doc_id) mod 5 not 0. Every row is scored, whole.
-    Defined results: null and empty texts have no words and no lines; null lang, source or n_chars have a place of their
-    own; without labels of both classes all score the prior 1; a null doc_id is not held out. An empty table gives an
-    empty table.
-    """
-    spark = docs.sparkSession
-    given = [F.col("lang").cast("string").alias("_lang"), F.col("source").cast("string").alias("_source"), F.col("n_chars").cast("long").alias("_chars"), F.col("text").alias("_text")]
-    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(remainder() != 0).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    least = F.xxhash64("doc_id")
-    chosen = [known.where(F.col("quality") == k).orderBy(least, "doc_id").limit(SAMPLE) for k in (0, 1)]
-    pool = docs.where("doc_id IS NOT NULL").where(remainder() != 0).select("doc_id").join(labels.select("doc_id"), "doc_id", "left_anti").distinct()
-    pool = pool.orderBy(least, "doc_id").limit(POOL).select("doc_id", F.lit(-1).alias("quality"))
-    # At most 2 * SAMPLE + POOL rows of two numbers.
-    wanted = F.broadcast(chosen[0].union(chosen[1]).union(pool))
+
+def _given(columns: list[str], names: list[str]) -> list[F.Column]:
+    """text, lang, source and n_chars of a table with these columns, null where it has none, under names."""
+    have = {c.lower() for c in columns}
+    return [(F.col(c) if c in have else F.lit(None)).cast("long" if c == "n_chars" else "string").alias(n) for c, n in zip(_GIVEN, names, strict=True)]
+
+
+def _single(rows: DataFrame) -> DataFrame:
+    """One row a doc_id, that of its least text."""
+    return rows.groupBy("doc_id", "quality").agg(F.min(F.struct(*_GIVEN)).alias("d")).select("doc_id", "quality", "d.*")
+
+
+def _measured(rows: DataFrame) -> DataFrame:
+    """doc_id, quality and the features of both views, in single precision."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                x = _features(batch)
-                yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array([*v]) for v in x)], names=["doc_id", "quality", "x0", "x1"])
+            for part in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
+                x = [pa.array([v.astype(np.float32).tobytes() for v in view], pa.binary()) for view in _features(part, _GIVEN)]
+                yield pa.record_batch([part.column(0), part.column(1), *x], names=["doc_id", "quality", "x0", "x1"])
+
+    return rows.select(F.col("doc_id").cast("long"), F.col("quality").cast("int"), *_GIVEN).mapInArrow(measure, "doc_id long, quality int, x0 binary, x1 binary")
+
+
+def _matrix(column: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.float32).reshape(len(column), -1).astype(np.float64)
+
+
+def _surest(pool: DataFrame, models: list[Logistic], taught: list[np.ndarray]) -> list[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
+    """See co_train. All of pool is scored; a task keeps TAUGHT documents a view and class, and so do all tasks together."""
+    shared = pool.sparkSession.sparkContext.broadcast((models, taught))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models, taught = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column(0).to_numpy()
+            for v, name in enumerate(("x0", "x1")):
+                p = models[v].score(_matrix(batch.column(batch.schema.get_field_index(name)).to_pylist()))
+                free = ~np.isin(ids, taught[1 - v])
+                for label, sure in ((1, p), (0, 1 - p)):
+                    at = np.flatnonzero(free & (sure > SURE))
+                    at = at[np.lexsort((ids[at], -sure[at]))][:TAUGHT]
+                    if len(at):
+                        rows = batch.select(["doc_id", "x0", "x1"]).take(pa.array(at))
+                        yield pa.record_batch([*rows.columns, pa.array(np.full(len(at), v, np.int32)), pa.array(np.full(len(at), label, np.int32)), pa.array(sure[at])], names=["doc_id", "x0", "x1", "view", "label", "sure"])
+
+    found = written(pool.mapInArrow(run, "doc_id long, x0 binary, x1 binary, view int, label int, sure double"))
+    out = []
+    for v in (0, 1):
+        some = [found.where((F.col("view") == v) & (F.col("label") == k)).orderBy(F.desc("sure"), "doc_id").limit(TAUGHT) for k in (0, 1)]
+        got = some[0].union(some[1]).toArrow()
+        views = [_matrix(got.column(c).to_pylist()) for c in ("x0", "x1")] if got.num_rows else []
+        out.append((got.column("doc_id").to_numpy(), views, got.column("label").to_numpy().astype(float)))
+    shared.unpersist()
+    return out
 
-    got = docs.select("doc_id", *given).join(wanted, "doc_id").select(F.col("doc_id").cast("long"), F.col("quality").cast("int"), "_lang", "_source", "_chars", "_text")
-    got = got.mapInArrow(measure, "doc_id long, quality int, x0 array<double>, x1 array<double>").toPandas().sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
-    y = got["quality"].to_numpy()
+
+def score(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """keep (doc_id by default), held_out, content_score, metadata_score, score, predicted (of good quality) for every row.
+
+    Two views: the text, and the page's language, source and noted length. Both are fitted on the driver, on features (not
+    texts) of at most SAMPLE labelled documents a class; in each round Spark scores all unlabelled documents with both, and
+    the surest teach the other view. All of these rows have crc32(doc_id) mod 5 not 0. Every row is scored, whole.
+    Defined results: null and empty texts have no words and no lines; null or missing lang, source or n_chars have a place
+    of their own; without labels of both classes all score the prior 1; a null doc_id is not held out. Of rows that repeat a
+    doc_id one is learned from, and each is scored by itself. Very long texts score whole. Columns of keep named like those
+    added are replaced. An empty table gives an empty table.
+    """
+    spark = docs.sparkSession
+    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(remainder() != 0).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    chosen = [known.where(F.col("quality") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) for k in (0, 1)]
+    given = docs.select("doc_id", *_given(docs.columns, _GIVEN)).where("doc_id IS NOT NULL")
+    # At most 2 * SAMPLE rows of two numbers.
+    got = _measured(_single(given.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id"))).orderBy("doc_id").toArrow()
+    y = got.column("quality").to_numpy()
     model = None
     if {0, 1} <= {*y.tolist()}:
-        x, on = [np.array(got[c].to_list()) for c in ("x0", "x1")], y >= 0
-        model = co_train([v[on] for v in x], y[on].astype(float), [v[~on] for v in x])
+        free = given.where(remainder() != 0).join(labels.select("doc_id"), "doc_id", "left_anti").withColumn("quality", F.lit(-1))
+        pool = written(_measured(free))
+        model = co_train([_matrix(got.column(c).to_pylist()) for c in ("x0", "x1")], y.astype(float), lambda m, t: _surest(pool, m, t))
     shared = spark.sparkContext.broadcast(model)
-    rest = [c for c in keep or ["doc_id"] if c not in {"held_out", "content_score", "layout_score", "score", "predicted"}]
+    rest = without(keep or ["doc_id"], "held_out", "content_score", "metadata_score", "score", "predicted")
+    names = [unused(c, rest) for c in _GIVEN]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                parts = shared.value.scores(_features(batch)) if shared.value else [np.ones(batch.num_rows)] * 3
-                yield pa.record_batch([*batch.columns[:-4], *(pa.array(p) for p in parts), pa.array((parts[2] >= 0.5).astype(np.int32))], names=[*batch.schema.names[:-4], "content_score", "layout_score", "score", "predicted"])
+            for part in (batch.slice(k, 512) for k in range(0, batch.num_rows, 512)):
+                parts = shared.value.scores(_features(part, names)) if shared.value else [np.ones(part.num_rows)] * 3
+                yield pa.record_batch([*part.columns[:-4], *(pa.array(p) for p in parts), pa.array((parts[2] >= 0.5).astype(np.int32))], names=[*part.schema.names[:-4], "content_score", "metadata_score", "score", "predicted"])
 
-    rows = docs.select(*rest, F.coalesce(remainder() == 0, F.lit(False)).alias("held_out"), *given)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-4])
-    return rows.mapInArrow(run, f"{schema}, content_score double, layout_score double, score double, predicted int")
+    rows = docs.select(*map(quoted, rest), F.coalesce(remainder() == 0, F.lit(False)).alias("held_out"), *_given(docs.columns, names))
+    schema = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in rows.schema.fields[:-4])
+    return rows.mapInArrow(run, f"{schema}, content_score double, metadata_score double, score double, predicted int")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
