@@ -11,13 +11,13 @@ from .common import written
 def _large(e: DataFrame) -> DataFrame:
     """Each node's larger neighbours move to the least node among it and its neighbours."""
     both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+    least = written(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small(e: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours move to the least of those. Every u here is larger than its v."""
-    least = e.groupBy("u").agg(F.min("v").alias("m"))
+    least = written(e.groupBy("u").agg(F.min("v").alias("m")))
     moved = e.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).where("u <> v")
 
@@ -32,8 +32,8 @@ def _stars(e: DataFrame) -> bool:
 def components(edges: DataFrame) -> DataFrame:
     """edges: u, v long. Returns node, component (the least node reachable) for each node with an edge.
 
-    No group is gathered: a node's least neighbour is a pre-aggregated minimum that is joined back, so a node with
-    many links is split like any skewed join key. Each round is written to the shared folder.
+    No group is gathered: a node's least neighbour is a pre-aggregated minimum, written and joined back, so that Spark can
+    split a node with many links like any skewed join key. Each round is written to the shared folder.
     """
     e = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while not _stars(e):

@@ -49,11 +49,11 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
 
 def meetings(sets: DataFrame) -> DataFrame:
     """A row for each document and table key that others share: key, d, the bucket's least and greatest document (lo, hi)
-    and its size. A key joins a half key of a with one of b. Minima are pre-aggregated and joined back, so a bucket of any
-    size is linear and can be split."""
+    and its size. A key joins a half key of a with one of b. Minima are pre-aggregated, and written before they are joined
+    back, so that both sides of the join are plain shuffles: Spark then splits a large bucket over tasks."""
     keys = sets.select(F.struct("doc_id", "n_shingles").alias("d"), F.explode(F.expr("flatten(transform(a, (x, i) -> transform(b, (y, j) -> xxhash64(i, j, x, y))))")).alias("key"))
     ends = keys.groupBy("key").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.count("*").alias("size")).where("lo.doc_id < hi.doc_id")
-    return keys.join(ends, "key")
+    return keys.join(written(ends), "key")
 
 
 def _sized(met: DataFrame, percent: int) -> DataFrame:
@@ -77,11 +77,12 @@ def _as_links(part: DataFrame) -> DataFrame:
 
 
 def _split(crowd: DataFrame, part: DataFrame) -> DataFrame:
-    """key, d, c of buckets whose members lie in different components c."""
+    """key, d, c of buckets whose members lie in different components c; size (members) and load (their shingles)."""
     own = crowd.join(part.select(F.col("node").alias("doc"), "component"), F.col("d.doc_id") == F.col("doc"), "left")
-    own = own.select("key", "d", F.coalesce("component", "d.doc_id").alias("c"))
-    ends = own.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    return written(own.join(ends, "key"))
+    own = written(own.select("key", "d", F.coalesce("component", "d.doc_id").alias("c")))
+    ends = own.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("size"), F.sum("d.n_shingles").alias("load")).where("low < high")
+    # Written first, as in meetings(): a large meeting can be split.
+    return written(own.join(written(ends.select("key", "size", "load")), "key"))
 
 
 def prefixes(members: DataFrame, full: DataFrame, percent: int) -> DataFrame:
@@ -99,8 +100,8 @@ def prefixes(members: DataFrame, full: DataFrame, percent: int) -> DataFrame:
                 yield pa.record_batch([pa.array(np.full(len(have), doc_id, np.int64)), pa.array(have)], schema=schema)
 
     every = written(full.select("doc_id", "set").join(members.select(F.col("d.doc_id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(each, "doc_id long, key long"))
-    often = every.groupBy("key").agg(F.count("*").alias("n"))
-    shared = every.join(often.where("n > 1"), "key")
+    often = written(every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = every.join(often, "key")
     # Shingles of one member alone come first in its order, so counting them does.
     size = every.groupBy("doc_id").agg(F.count("*").alias("n_shingles"))
     least = W.partitionBy("doc_id").orderBy(F.desc("n"), F.desc("key"))
@@ -123,7 +124,6 @@ def settled(links: DataFrame, crowd: DataFrame, full: DataFrame, percent: int) -
     if live.isEmpty():
         return links
     live = _split(written(prefixes(live.select("d").distinct(), full, percent)), part)
-    live = live.join(live.groupBy("key").agg(F.count("*").alias("size")), "key")
     few = live.where(f"size <= {FEW}")
     met = few.join(few.select("key", F.col("d").alias("e"), F.col("c").alias("p")), "key").where("c <> p AND d.doc_id < e.doc_id")
     pairs = written(_sized(met.select("d", "e"), percent))
@@ -149,7 +149,7 @@ def _met_before(key: int, keys: list[np.ndarray], a: np.ndarray, b: np.ndarray)
 
 
 def _tiled(live: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """x, y: links between different components among the members of large meetings; live: key, d, c, size.
+    """x, y: links between different components among the members of large meetings; live: key, d, c, size, load.
 
     A tile holds two chunks of a meeting, and each pair is compared in one of its meetings only. First sketches tell which
     members of a tile have a likely partner in another component. Only their whole sets are then sent to the tile, which
@@ -195,10 +195,10 @@ def _tiled(live: DataFrame, full: DataFrame, percent: int) -> DataFrame:
             has[code[i]] = False
         return pa.table([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["x", "y"])
 
-    live = live.select("key", "c", "size", F.col("d.doc_id").alias("doc_id"), F.col("d.n_shingles").alias("n"))
-    chunks = live.groupBy("key").agg(F.greatest(F.ceil(F.max("size") / TILE), F.ceil(F.sum("n") / LOAD)).alias("chunks"))
+    chunks = F.greatest(F.ceil(F.col("size") / TILE), F.ceil(F.col("load") / LOAD)).alias("chunks")
+    live = live.select("key", "c", chunks, F.col("d.doc_id").alias("doc_id"), F.col("d.n_shingles").alias("n"))
     keys = live.groupBy("doc_id").agg(F.slice(F.sort_array(F.collect_set("key")), 1, NAMED).alias("keys"))
-    rows = live.drop("size").join(chunks, "key").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), "chunks"))
+    rows = live.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), "chunks"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     rows = rows.select("key", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "doc_id", "n", "c")
     facts = full.select("doc_id", "sketch", "set").join(keys, "doc_id")
