@@ -27,6 +27,9 @@ KBITS = {
 HERTZ = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
 SAMPLES = {(True, 1): 384, (True, 2): 1152, (True, 3): 1152, (False, 1): 384, (False, 2): 1152, (False, 3): 576}
 CRC = 0x8005
+#: Bits of a subband's allocation code in layer II, as (subbands, bits) runs: of MPEG-1 by the kbit/s of a channel and the
+#: sampling rate (see _layer2), and of the lower rates of 13818-3.
+LAYER2 = {"a": ((3, 4), (8, 4), (12, 3), (4, 2)), "b": ((3, 4), (8, 4), (12, 3), (7, 2)), "c": ((2, 4), (6, 3)), "d": ((2, 4), (10, 3)), "low": ((4, 4), (7, 3), (19, 2))}
 
 #: The stored form: MPEG-1 layer III, 32 kHz, mono. Side information of 17 zero bytes declares no coded audio, so what follows
 #: in a frame is ancillary data, and there the payload stands. Frames are 320 kbit/s but for the last, the least that fits.
@@ -53,6 +56,17 @@ def crc16(data: bytes) -> int:
     return c
 
 
+def crc16_bits(data: bytes, bits: int, start: int = 0xFFFF) -> int:
+    """Of the first bits of data, which need not fill a byte."""
+    c = start
+    for b in data[: bits // 8]:
+        c = (c << 8) & 0xFFFF ^ CRC_TABLE[c >> 8 ^ b]
+    for k in range(bits % 8):
+        high = (c >> 15) ^ (data[bits // 8] >> (7 - k) & 1)
+        c = (c << 1) & 0xFFFF ^ (CRC if high else 0)
+    return c
+
+
 @dataclass(frozen=True)
 class Header:
     mpeg1: bool
@@ -65,6 +79,7 @@ class Header:
     samples: int
     size: int
     side: int  # bytes of layer III side information
+    bound: int = 32  # subbands of layers I and II that the channels don't share, in joint stereo
 
     @property
     def kind(self) -> tuple:
@@ -94,7 +109,46 @@ def _header(b: bytes) -> Header | None:
     kbits, hz, samples = KBITS[mpeg1, layer][rate], HERTZ[version][hertz], SAMPLES[mpeg1, layer]
     size = (12 * kbits * 1000 // hz + padding) * 4 if layer == 1 else samples // 8 * kbits * 1000 // hz + padding
     side = (17 if mono else 32) if mpeg1 else (9 if mono else 17)
-    return Header(mpeg1, layer, not b[1] & 1, kbits, hz, padding, mono, samples, size, side if layer == 3 else 0)
+    bound = 4 * (1 + (b[3] >> 4 & 3)) if b[3] >> 6 == 1 else 32
+    return Header(mpeg1, layer, not b[1] & 1, kbits, hz, padding, mono, samples, size, side if layer == 3 else 0, bound)
+
+
+def _layer2(h: Header) -> tuple[int, ...]:
+    """Bits of each subband's allocation code."""
+    rate = h.kbits // (1 if h.mono else 2)
+    name = "low" if not h.mpeg1 else ("d" if h.hertz == 32000 else "c") if rate <= 48 else "b" if rate >= 96 and h.hertz != 48000 else "a"
+    return tuple(bits for many, bits in LAYER2[name] for _ in range(many))
+
+
+def checked_bits(h: Header, body: bytes) -> int | None:
+    """How many bits after a protected frame's checksum it covers; None if the frame is too short to hold them.
+
+    Layer III: the side information. Layer I: the allocation, 4 bits a subband and channel. Layer II: the allocation and
+    2 bits of scale-factor selection for each subband and channel that has any samples.
+    """
+    channels = 1 if h.mono else 2
+    if h.layer == 3:
+        bits = 8 * h.side
+    elif h.layer == 1:
+        bits = 4 * sum(channels if k < h.bound else 1 for k in range(32))
+    else:
+        sizes, whole = _layer2(h), int.from_bytes(body[:64].ljust(64, b"\0"), "big")
+        bits = used = 0
+        for k, size in enumerate(sizes):
+            own = channels if k < h.bound else 1
+            for _ in range(own):
+                some = whole >> (512 - bits - size) & (1 << size) - 1
+                used += bool(some) * (channels if own == 1 else 1)
+                bits += size
+        bits += 2 * used
+    return bits if bits <= 8 * len(body) else None
+
+
+def verified(h: Header, frame: bytes) -> bool:
+    """Whether a protected frame's checksum is that of its header's last two bytes and what checked_bits says."""
+    body = frame[6:]
+    bits = checked_bits(h, body)
+    return bits is not None and crc16_bits(body, bits, crc16(frame[2:4])) == int.from_bytes(frame[4:6], "big")
 
 
 @dataclass
@@ -196,9 +250,9 @@ def parse(data: bytes) -> Stream:
             nxt = at + h.size
             follow = header(data[nxt : nxt + 4]) if nxt + 4 <= end else None
             if nxt == end or (follow and follow.kind == h.kind) or (kind is not None and nxt + 4 > end):
-                if h.protected and h.layer == 3:
+                if h.protected:
                     s.checked += 1
-                    s.wrong += crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]) != int.from_bytes(data[at + 4 : at + 6], "big")
+                    s.wrong += not verified(h, data[at:nxt])
                 if not (first and h.layer == 3 and _vbr(s, data, at, h)):
                     s.frames.append((at, h))
                 kind, first, at = h.kind, False, nxt
@@ -208,8 +262,8 @@ def parse(data: bytes) -> Stream:
                 led = s.frames[-1][0] + s.frames[-1][1].size == at
                 if led:
                     s.frames.append((at, h))
-                    s.checked += h.protected and h.layer == 3
-                    s.wrong += h.protected and h.layer == 3 and crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]) != int.from_bytes(data[at + 4 : at + 6], "big")
+                    s.checked += h.protected
+                    s.wrong += h.protected and not verified(h, data[at:nxt])
                     at = nxt
                     continue
         found = data.find(b"\xff", at + 1, end)
@@ -278,8 +332,9 @@ def inspect(files: DataFrame, media: str = "media", every_ms: int = 1000) -> Dat
     """files with the facts of each MPEG audio file in the binary column `media`.
 
     Adds samples, hertz, duration_s, frames, frames_checked, frames_wrong, skipped_bytes, tags, frame_offsets (of every
-    frame) and seek_offsets (one for each every_ms). Defined results: null media, and media without a frame, have 0 frames
-    and no duration; existing columns of those names are replaced.
+    frame) and seek_offsets (one for each every_ms). Checksums of all three layers are verified (see checked_bits). Defined
+    results: null and empty media, and media without a frame, have 0 frames and no duration; existing columns of those names
+    are replaced; rows that repeat are alike; an empty table gives an empty table.
     """
     new = [("samples", "long"), ("hertz", "int"), ("duration_s", "double"), ("frames", "long"), ("frames_checked", "long"), ("frames_wrong", "long"), ("skipped_bytes", "long"), ("tags", "array<string>"), ("frame_offsets", "array<bigint>"), ("seek_offsets", "array<bigint>")]
     types = [pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64())]
@@ -303,7 +358,9 @@ def digest(docs: DataFrame, with_media: bool = False) -> DataFrame:
     """Each text as an MPEG audio file, read back: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
     media_sha256, feature (see describe), and with_media the file itself.
 
-    Defined results: a null text is empty; an empty text's payload is 64 zero bytes. Rows that repeat are alike.
+    Defined results: a null text is empty; an empty text's payload is 64 zero bytes. A null doc_id is kept. Rows that repeat
+    are alike. Very long texts are stored whole, in as many frames as they take. Bytes that are no UTF-8 are stored as they
+    are. Other columns, whatever their names, are not returned. An empty table gives an empty table.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())] + [("media", pa.binary())] * with_media)
 
