@@ -77,22 +77,31 @@ def _known(spark: SparkSession, templates: dict[str, str], ratio: float) -> tupl
     return rows, sorted(asked)
 
 
-def _islands(rows: DataFrame, *keys: str) -> DataFrame:
+def _islands(rows: DataFrame, key: str) -> DataFrame:
     """rows with island: runs of intervals [at, last] that share places with one another, within equal keys."""
-    order = W.partitionBy(*keys).orderBy("at", "last")
+    order = W.partitionBy(key).orderBy("at", "last")
     new = F.col("at") > F.coalesce(F.max("last").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(-1))
     return rows.withColumn("new", new.cast("int")).withColumn("island", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
 
 
+def _apart(runs: str) -> F.Column:
+    """Of runs in order, those that share no word with one that was taken before. The runs of an island are few."""
+
+    def take(taken: F.Column, r: F.Column) -> F.Column:
+        return F.when(F.exists(taken, lambda x: (x["at"] <= r["last"]) & (x["last"] >= r["at"])), taken).otherwise(F.concat(taken, F.array(r)))
+
+    return F.aggregate(runs, F.slice(runs, 1, 0), take)
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
     """doc_id, n_words, n_matches, licenses, best, best_dice for every row of docs (doc_id, text; others are not read).
 
     Texts are normalised whole (see _plain), so it doesn't matter how a notice is wrapped. A template of m words is compared
     with each run of m words (fewer at the text's end) that begins with one of its bigrams, wherever that stands, by the
-    Dice coefficient of their sets of word bigrams, 2 * common / (a + b); `least` is a match. Of a template's matches that
-    share words the best counts (ties: the first); of those that are left and share words with one another, whichever
-    template they match, that with most common bigrams counts, so a text counts rather than a notice within it (ties: by
-    Dice, then the first name). licenses names the templates that match, in order; best is that of most common bigrams.
+    Dice coefficient of their sets of word bigrams, 2 * common / (a + b); `least` is a match. Of a template's matches one
+    counts if no better one shares words with it (ties: the first). Those that are left are taken in the order of their common bigrams, most
+    first, so that a text counts rather than a notice within it (ties: by Dice, then by name), but for those that share words
+    with one taken before. licenses names the templates taken, in order; best is that of most common bigrams.
 
     Bounds on sizes prune: a run matches a template of b bigrams only if it holds least / (2 - least) * b of them. So texts
     without any of the words that such a run can't do without are dropped, then templates that have too few of their bigrams
@@ -128,12 +137,15 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
 
     def dice(r: F.Column) -> F.Column:
         a = F.size(F.array_distinct(F.slice("pairs", r["at"] + 1, r["span"])))
-        return F.struct(r["license"].alias("license"), r["at"].alias("at"), F.least(r["at"] + r["span"], F.col("n_words") - 1).alias("last"), r["common"].alias("common"), (F.lit(2.0) * r["common"] / (a + r["b"])).alias("dice"))
+        return F.struct(r["license"].alias("license"), r["at"].alias("at"), F.least(r["at"] + r["span"], F.col("n_words") - 1).alias("last"), r["span"].alias("span"), r["common"].alias("common"), (F.lit(2.0) * r["common"] / (a + r["b"])).alias("dice"))
 
     found = measured.select("row", F.inline(F.transform("runs", dice))).where(F.col("dice") >= least)
-    found = _islands(found, "row", "license").groupBy("row", "license", "island").agg(F.min(F.struct((-F.col("dice")).alias("far"), "at", "last", "common")).alias("top"))
-    found = found.select("row", "license", "top.far", "top.at", "top.last", (-F.col("top.common")).alias("few"))
-    found = _islands(found, "row").groupBy("row", "island").agg(F.min(F.struct("few", "far", "license")).alias("top"))
+    near = own.orderBy("place").rangeBetween(-WIDE, WIDE)  # runs of the template that share a word with this one
+    rank = F.struct("dice", (-F.col("at")).alias("first"))
+    found = found.withColumn("place", F.col("at") * F.expr(f"{WIDE} div span")).withColumn("best", rank == F.max(rank).over(near)).where("best")
+    found = found.select("row", "license", "at", "last", (-F.col("dice")).alias("far"), (-F.col("common")).alias("few"))
+    found = _islands(found, "row").groupBy("row", "island").agg(F.array_sort(F.collect_list(F.struct("few", "far", "license", "at", "last"))).alias("runs"))
+    found = found.select("row", F.explode(_apart("runs")).alias("top"))
     found = found.groupBy("row").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("top.license")), ",").alias("licenses"), F.min("top").alias("top"))
     out = rows.select("doc_id", "row", "n_words").join(found, "row", "left")
     return out.select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n", F.lit(0)).cast("long").alias("n_matches"), F.coalesce("licenses", F.lit("")).alias("licenses"), F.col("top.license").alias("best"), (-F.col("top.far")).alias("best_dice"))
@@ -152,7 +164,7 @@ _SQL_PAIRS = "list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]
 
 #: Every run of a template's length that begins with one of its bigrams is measured; nothing is pruned.
 OP6_SQL = f"""
-WITH known AS (
+WITH RECURSIVE known AS (
   SELECT license, {_SQL_WORDS} AS w FROM (VALUES {", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in TEMPLATES.items())}) t(license, text)
 ), template AS (
   SELECT license, len(w) AS m, list_distinct({_SQL_PAIRS}) AS grams FROM known
@@ -169,17 +181,18 @@ WITH known AS (
 ), fits AS (
   SELECT r, license, pos, last, len(list_intersect(own, grams)) AS common, 2.0::DOUBLE * len(list_intersect(own, grams)) / (len(own) + len(grams)) AS dice FROM run WHERE 3 * len(own) >= 2 * len(grams)
 ), good AS (
-  SELECT *, pos > coalesce(max(last) OVER (PARTITION BY r, license ORDER BY pos, last ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS new FROM fits WHERE dice >= {LEAST}
-), numbered AS (
-  SELECT *, sum(new::INT) OVER (PARTITION BY r, license ORDER BY pos, last ROWS UNBOUNDED PRECEDING) AS island FROM good
+  SELECT * FROM fits WHERE dice >= {LEAST}
 ), single AS (
-  SELECT * EXCLUDE (new, island) FROM numbered QUALIFY row_number() OVER (PARTITION BY r, license, island ORDER BY dice DESC, pos) = 1
-), apart AS (
-  SELECT *, pos > coalesce(max(last) OVER (PARTITION BY r ORDER BY pos, last ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS new FROM single
-), places AS (
-  SELECT *, sum(new::INT) OVER (PARTITION BY r ORDER BY pos, last ROWS UNBOUNDED PRECEDING) AS island FROM apart
+  SELECT * FROM good g WHERE NOT EXISTS (SELECT 1 FROM good h WHERE h.r = g.r AND h.license = g.license AND h.pos <= g.last AND h.last >= g.pos AND (h.dice > g.dice OR h.dice = g.dice AND h.pos < g.pos))
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY r ORDER BY common DESC, dice DESC, license, pos) AS nth FROM single
+), taken AS (
+  SELECT DISTINCT r, 0::BIGINT AS nth, []::STRUCT(pos BIGINT, last BIGINT)[] AS got, false AS took FROM ranked
+  UNION ALL
+  SELECT r, k.nth, CASE WHEN k.free THEN list_append(got, {{'pos': k.pos, 'last': k.last}}) ELSE got END, k.free
+  FROM (SELECT t.r, t.got, n.nth, n.pos, n.last, len(list_filter(t.got, lambda x: x.pos <= n.last AND x.last >= n.pos)) = 0 AS free FROM taken t JOIN ranked n ON n.r = t.r AND n.nth = t.nth + 1) k
 ), best AS (
-  SELECT * FROM places QUALIFY row_number() OVER (PARTITION BY r, island ORDER BY common DESC, dice DESC, license) = 1
+  SELECT ranked.* FROM ranked JOIN taken USING (r, nth) WHERE took
 ), found AS (
   SELECT r, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, first(license ORDER BY common DESC, dice DESC, license) AS best, first(dice ORDER BY common DESC, dice DESC, license) AS best_dice FROM best GROUP BY r
 )

@@ -2,14 +2,18 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm import ann, bpe, licenses, lm, minhash, mixing, mpeg, quality, substring, toxicity
 
 DATA = "/root/testdata/sf0.001"
+#: A very long text of distinct words.
+LONG = " ".join(f"q{i}x" for i in range(40_000))
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -17,6 +21,47 @@ def words(x):
     return WORD.findall((x or "").encode())
 
 
+def near_components(texts, k):
+    """Set sizes and least reachable ids of {id: text}, by comparing all that share a shingle."""
+    sets, index = {}, defaultdict(list)
+    for i, text in texts.items():
+        w = words((text or "").encode().lower().decode())
+        sets[i] = {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set()
+        for x in sets[i]:
+            index[x].append(i)
+    up = {i: i for i in sets}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, own in sets.items():
+        for j, n in Counter(j for x in own for j in index[x] if j > i).items():
+            if 100 * n >= 80 * (len(own) + len(sets[j]) - n):
+                a, b = sorted((top(i), top(j)))
+                up[b] = a
+    return {i: (len(own), top(i)) for i, own in sets.items()}
+
+
+def left_words(rows):
+    """For each (id, text): its words and which of them stand in a window of 50 that starts in a smaller id's text."""
+    first = {}
+    for i, text in sorted(rows, key=lambda r: r[0]):
+        w = words(text)
+        for j in range(len(w) - 49):
+            first.setdefault(tuple(w[j : j + 50]), i)
+    out = []
+    for i, text in rows:
+        w = words(text)
+        gone = [False] * len(w)
+        for j in range(len(w) - 49):
+            if first[tuple(w[j : j + 50])] < i:
+                gone[j : j + 50] = [True] * 50
+        out.append((w, gone))
+    return out
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     return spark.read.parquet(f"{DATA}/documents.parquet")
@@ -31,7 +76,7 @@ def labels(spark):
 def odd(spark):
     """Nulls in any column, empty, very long and repeated texts, and columns named like those that operators add."""
     w = " ".join(f"w{i}" for i in range(120))
-    rows = [(1, w, "en", "a", 9, 5, 1.0), (1, w, "en", "a", 9, 5, 1.0), (2, None, None, None, None, None, None), (3, "", "de", "b", 0, 1, 0.0), (None, w, "en", None, 9, 1, 0.0), (5, w + " tail end", "en", "b", 9, 1, 0.0), (6, "long " * 30000, "fr", "a", 1, 1, 0.0), (7, " \n\t ", "en", "b", 3, 1, 0.0)]
+    rows = [(8, LONG, "es", "c", 1, 2, 0.5), (1, w, "en", "a", 9, 5, 1.0), (1, w, "en", "a", 9, 5, 1.0), (2, None, None, None, None, None, None), (3, "", "de", "b", 0, 1, 0.0), (None, w, "en", None, 9, 1, 0.0), (5, w + " tail end", "en", "b", 9, 1, 0.0), (6, "long " * 30000, "fr", "a", 1, 1, 0.0), (7, " \n\t ", "en", "b", 3, 1, 0.0)]
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, size long, score double")
 
 
@@ -49,26 +94,9 @@ def test_bpe(spark, docs):
 
 
 def test_near_duplicates(docs):
-    rows, sets, index = docs.collect(), {}, defaultdict(list)
-    for r in rows:
-        w = words(r.text.encode().lower().decode())
-        sets[r.doc_id] = {tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set()
-        for s in sets[r.doc_id]:
-            index[s].append(r.doc_id)
-    up = {i: i for i in sets}
-
-    def top(x):
-        while up[x] != x:
-            x = up[x]
-        return x
-
-    for i, s in sets.items():
-        for j, n in Counter(j for x in s for j in index[x] if j > i).items():
-            if 100 * n >= 80 * (len(s) + len(sets[j]) - n):
-                a, b = sorted((top(i), top(j)))
-                up[b] = a
+    want = near_components({r.doc_id: r.text for r in docs.collect()}, 4)
     for r in minhash.near_duplicates(docs, k=4).collect():
-        assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), top(r.doc_id), top(r.doc_id) == r.doc_id)
+        assert (r.n_shingles, r.component_id, r.kept) == (*want[r.doc_id], want[r.doc_id][1] == r.doc_id)
 
 
 def test_large_buckets_lose_no_link(spark, monkeypatch):
@@ -88,39 +116,117 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
     assert all(got[2 * k] == got[2 * k + 1] for k in range(60))
 
 
-def test_substrings(docs):
-    rows, first = docs.collect(), {}
-    for r in sorted(rows):
-        w = words(r.text)
-        for i in range(len(w) - 49):
-            first.setdefault(tuple(w[i : i + 50]), r.doc_id)
-    want = {}
-    for r in rows:
-        w = words(r.text)
-        gone = [False] * len(w)
-        for i in range(len(w) - 49):
-            if first[tuple(w[i : i + 50])] < r.doc_id:
-                gone[i : i + 50] = [True] * 50
-        kept = b" ".join(x for x, g in zip(w, gone) if not g)
-        want[r.doc_id] = (len(w), sum(gone), hashlib.sha256(kept).hexdigest())
+@pytest.mark.parametrize("block", [4000, 2])
+def test_substrings(docs, monkeypatch, block):
+    monkeypatch.setattr(substring, "BLOCK", block)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = {i: (len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone) if not g)).hexdigest()) for (i, _), (w, gone) in zip(rows, left_words(rows))}
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.remove_duplicates(docs).collect()} == want
 
 
-def test_mixing(docs):
+def test_factors_follow_the_reference():
+    ref = substring.Reference(5)
+    text = [f"w{i}".encode() for i in range(30)]
+    assert ref.parse(b" ".join(text), b"", 1) == []
+    # One long factor; a strange word ends it; what follows is too short; then the boundary's windows are looked up again.
+    mine = [*text[3:15], b"other", *text[16:19], b"other", *text[20:30]]
+    assert ref.parse(b" ".join(mine), b"", 2) == [(0, 12, 1), (17, 10, 1)]
+    # Two sources that overlap by less than a window: the windows across the boundary are found in a third document only.
+    ref = substring.Reference(5)
+    for k, part in ((1, text[:10]), (2, text[10:20]), (3, text[6:14])):
+        ref.parse(b" ".join(part), b"", k)
+    got = ref.parse(b" ".join(text[:20]), b"", 4)
+    assert got[0] == (0, 10, 1) and {d for _, _, d in got} == {1, 2, 3} and {j for i, n, _ in got for j in range(i, i + n - 4)} == set(range(16))
+    # A document's own earlier words are no source for it, and hide no other's.
+    assert ref.parse(b" ".join([b"new", *text[:6]]), b"", 1) == []
+    # Hashes only find: words decide.
+    ref = substring.Reference(2)
+    ref.parse(b"a b", b"", 1)
+    ref.index = {hash(b"c d"): (0, 0)}
+    assert ref.parse(b"c d", b"", 2) == []
+
+
+def test_mixing(spark, docs):
+    odd = spark.createDataFrame([(10**6 + k, t, "en", x, 1) for k, (t, x) in enumerate([(None, None), ("", "b"), ("one", "empty"), (None, "nothing"), ("a b c", None), ("a b c", None)])], docs.schema)
+    docs = docs.union(odd).union(odd.where("source IS NULL"))
     got = mixing.mix(docs).collect()
-    assert sorted(mixing.mix(docs.repartition(7)).collect()) == sorted(got)
-    by = defaultdict(list)
+    assert sorted(map(str, mixing.mix(docs.repartition(7)).collect())) == sorted(map(str, got))
+    by, rows = defaultdict(list), Counter()
     for r in got:
         assert r.size == len(words(r.text)) and r.taken == r.size * r.copies <= 3 * r.size
         by[r.source].append(r)
-    assert sum(v[0].target for v in by.values()) == pytest.approx(sum(r.size for r in got))
-    for v in by.values():
-        assert abs(sum(r.taken for r in v) - v[0].target) <= max(r.size for r in v)
+        rows[r.doc_id] += 1
+    assert rows == Counter(r.doc_id for r in docs.collect())
+    # Targets by pouring: all words by weight, what exceeds three times a source's size again, until nothing does.
+    own = {k: sum(r.size for r in v) for k, v in by.items()}
+    weight = {k: i % 3 + 1 for i, k in enumerate(sorted((k for k in own if k is not None), key=lambda k: [*map(ord, k)]) + [None])}
+    want, full = {}, set()
+    while True:
+        left = sum(own.values()) - sum(3 * own[k] for k in full)
+        want = {k: 3 * own[k] if k in full else left * weight[k] / sum(weight[j] for j in own if j not in full) for k in own}
+        over = {k for k in own if k not in full and want[k] > 3 * own[k]}
+        if not over:
+            break
+        full |= over
+    for k, v in by.items():
+        assert {r.source_size for r in v} == {own[k]} and all(r.target == pytest.approx(want[k]) for r in v)
+        assert abs(sum(r.taken for r in v) - want[k]) <= max(r.size for r in v)
+
+
+def test_mixing_is_a_pareto_sample(spark):
+    """The plain way: chances by pouring, ranks by odds, the least ranks until the need is filled."""
+    draw = np.random.default_rng(4)
+    sizes = {k: int(2 ** draw.uniform(0, 7)) for k in range(300)}
+    rows = [(k, " ".join([f"w{k}"] * n), "abcd"[k % 4]) for k, n in sizes.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    u = {r.doc_id: ((r.h & (1 << 52) - 1) + 0.5) / 2**52 for r in docs.selectExpr("doc_id", "xxhash64(4, doc_id, text) AS h").collect()}
+    got, unequal = {r.doc_id: r for r in mixing.mix(docs).collect()}, 0
+    for source in "abcd":
+        ids = [k for k, _, s in rows if s == source]
+        whole, need = divmod(got[ids[0]].target, got[ids[0]].source_size)
+        g = {k: 2 ** (int(np.floor(np.log2(sizes[k]) * mixing.STEPS)) * 0.5 / mixing.STEPS) for k in ids}
+        low, high = 0.0, 1e6
+        for _ in range(200):
+            level = (low + high) / 2
+            low, high = (level, high) if sum(min(1, level * g[k]) * sizes[k] for k in ids) < need else (low, level)
+        p = {k: min(1, level * g[k]) for k in ids}
+        rank = {k: 0.0 if p[k] > 1 - 1e-9 else u[k] / (1 - u[k]) / (p[k] / (1 - p[k])) for k in ids}
+        taken, total = set(), 0
+        for k in sorted(ids, key=rank.get):
+            if rank[k] and total + sizes[k] / 2 > need:
+                break
+            taken.add(k)
+            total += sizes[k]
+        assert {k: got[k].copies for k in ids} == {k: int(whole) + (k in taken) for k in ids}
+        plain = sorted(ids, key=u.get)[: len(taken)]
+        unequal += 0 < len(taken) < len(ids) and {*plain} != taken
+    assert unequal >= 2  # the odds change who is taken
+
+
+def test_mixing_takes_documents_as_often_as_their_chances_say(spark):
+    sizes = [1, 1, 2, 4, 8, 16, 32, 64] * 15
+    docs = spark.createDataFrame([(k, " ".join([f"w{k}"] * n), "ab"[k % 2]) for k, n in enumerate(sizes)], "doc_id long, text string, source string")
+    seen, many = Counter(), 24
+    for seed in range(many):
+        for r in mixing.mix(docs, lean=1.0, seed=seed).where("source = 'a'").collect():
+            seen[r.size] += r.copies
+    per = {n: seen[n] / many / sum(x == n and k % 2 == 0 for k, x in enumerate(sizes)) for n in {*sizes[::2]}}
+    # Chances in proportion to size: each class is taken about twice as often as that of half the size.
+    own = sum(sizes[::2])
+    level = min(1.0, (sum(sizes) / 3) / own)
+    need = level * own
+    want = {n: None for n in per}
+    low, high = 0.0, 10.0
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(1, mid * n) * n for n in sizes[::2]) < need else (low, mid)
+    for n in per:
+        want[n] = min(1, mid * n)
+        assert abs(per[n] - want[n]) < 4 * (max(want[n] * (1 - want[n]), 0.01) / (many * 15)) ** 0.5 + 0.03, (n, per, want)
 
 
 def test_lm(docs):
     import math
-    import zlib
 
     toks = {r.doc_id: [*words(r.text.encode().lower().decode()), None] for r in docs.collect()}
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in toks}
@@ -178,18 +284,115 @@ def test_lm_mixed_with_counts_is_a_distribution(monkeypatch):
     assert total == pytest.approx(np.ones(lm.WINDOW), abs=1e-3)
 
 
+def plain_score(model, ids, end):
+    """Window by window, position by position; natural logarithms."""
+    w, n = {k: v.astype(float) for k, v in model.weights.items()}, lm.CLASSES * lm.MEMBERS
+    target, given, total, start = [*ids, end], [end, *ids], 0.0, 0
+
+    def log_softmax(x):
+        return x - x.max() - np.log(np.exp(x - x.max()).sum())
+
+    while True:
+        g, t = given[start : start + lm.WINDOW], target[start : start + lm.WINDOW]
+        x = w["token"][model.slot[g]] + w["place"][: len(g)]
+        q, k, v = np.split(x @ w["qkv"], 3, axis=1)
+        for i in range(lm.OVERLAP if start else 0, len(g)):
+            h = x[i] + np.exp(log_softmax(q[i] @ k[: i + 1].T * lm.WIDTH**-0.5)) @ v[: i + 1] @ w["out"]
+            slot, before = model.slot[t[i]], model.slot[g[i]]
+            kind = slot // lm.MEMBERS
+            p = log_softmax(h @ w["class"] + w["class_bias"])[kind]
+            if slot < n:
+                p += log_softmax(h @ w["member"][kind] + w["member_bias"][kind])[slot - kind * lm.MEMBERS]
+            if model.seen:
+                p = np.log(model.seen.pairs[before, slot] + model.seen.rest[before] * np.exp(p))
+            total += p + ((model.seen.rare[before // lm.MEMBERS, t[i]] if model.seen else model.rare[t[i]]) if slot == n else 0)
+        if start + lm.WINDOW >= len(target):
+            return total
+        start += lm.WINDOW - lm.OVERLAP
+
+
+@pytest.mark.parametrize("mixed", [False, True])
+def test_lm_scores_as_a_plain_loop_does(monkeypatch, mixed):
+    monkeypatch.setattr(lm, "STEPS", 60)
+    draw = np.random.default_rng(5)
+    texts = [draw.integers(0, 1500, n).astype(np.int32) for n in (0, 1, 15, 16, 17, 28, 29, 30, 200)]
+    model = lm.train([t for t in texts for _ in range(20)], np.bincount(np.concatenate([*texts, [2000]]), minlength=2001))
+    if mixed:
+        n = lm.CLASSES * lm.MEMBERS + 1
+        counts = np.concatenate([draw.poisson(0.5, n * n), (draw.poisson(0.2, (lm.CLASSES + 1, 2001)) * (model.slot == n - 1)).ravel()])
+        model.seen = lm.Seen.fitted(model, counts, texts, 2000)
+    got = lm.scores(model, np.concatenate(texts), np.array([*map(len, texts)]), 2000)
+    assert got == pytest.approx([plain_score(model, t, 2000) / np.log(10) for t in texts], rel=1e-4)
+
+
 def test_windows_score_each_once():
     size = np.array([1, 5, 16, 17, 40])
     at, own = lm.windows(size)
     assert sorted(at[own]) == list(range(size.sum()))
 
 
-def test_classifiers(docs, labels):
+def test_classifiers_on_held_out_rows(spark):
+    """A constant has recall 0 on the rarer label, or false alarms 1."""
+    data = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{data}/{x}.parquet") for x in ("documents", "labels"))
     truth = {r.doc_id: r for r in labels.collect()}
-    for rows, name in ((toxicity.score(docs, labels).collect(), "toxic"), (quality.score(docs, labels).collect(), "quality")):
-        known = [(r.predicted, truth[r.doc_id][name]) for r in rows if r.doc_id in truth]
-        assert len(rows) == docs.count() and all(0 <= r.score <= 1 for r in rows)
-        assert sum(a == b for a, b in known) / len(known) > 0.9
+    for rows, name, rare in ((toxicity.score(docs, labels).collect(), "toxic", 1), (quality.score(docs, labels).collect(), "quality", 0)):
+        assert len(rows) == docs.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
+        assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+        own = [r for r in rows if r.held_out and r.doc_id in truth]
+        found = [r.predicted == rare for r in own if truth[r.doc_id][name] == rare]
+        alarms = [r.predicted == rare for r in own if truth[r.doc_id][name] != rare]
+        assert len(found) >= 5 and sum(found) / len(found) >= 0.8 and sum(alarms) / len(alarms) <= 0.05
+
+
+def test_toxicity_learns_nothing_from_held_out_rows(spark, docs, labels):
+    wrong = labels.selectExpr("doc_id", "CASE WHEN crc32(cast(doc_id AS string)) % 5 = 0 THEN 1 - toxic ELSE toxic END AS toxic", "quality")
+    a, b = ({(r.doc_id, r.score) for r in toxicity.score(docs, x).collect()} for x in (labels, wrong))
+    assert a == b
+
+
+def test_toxicity_fit_of_very_long_texts_is_bounded():
+    import tracemalloc
+
+    texts = [" ".join(f"{'ab'[k % 2]}{i * (k + 1) % 9973}" for i in range(20_000)) for k in range(24)]
+    tracemalloc.start()
+    toxicity.fit(texts, np.arange(24) % 2, rounds=3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 250e6
+    assert all(len(part) == 1 or weight[part].sum() <= toxicity.STEP for weight in (np.array([10.0, 2e5, 1e5, 4e4, 5.0]),) for part in toxicity.steps(np.arange(5), weight))
+
+
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "CHARACTERS", 100)
+    monkeypatch.setattr(toxicity, "LONGEST", 40)
+    docs = spark.createDataFrame([(k, "x" * (10 + k % 50)) for k in range(100)] * 3 + [(1, "a")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(100)], "doc_id long, toxic int")
+    texts, toxic = toxicity.sample(docs, labels)
+    assert 0 < len(texts) < 20 and all(len(t) <= 40 for t in texts)
+    assert all(sum(len(t) for t, y in zip(texts, toxic) if y == k) <= 100 for k in (0, 1))
+
+
+def test_co_training_exchanges_labels():
+    """Few labels, two views that each tell the classes apart: what a view is surest of teaches the other."""
+    draw = np.random.default_rng(3)
+    y = draw.integers(0, 2, 3000)
+    x = [np.column_stack([y + 0.3 * draw.normal(size=3000), *draw.normal(size=(6, 3000))]) for _ in (0, 1)]
+    given, free = np.arange(60), np.arange(60, 2000)
+    told = []
+
+    def surest(models, taught):
+        out = []
+        for v in (0, 1):
+            p = models[v].score(x[v][free])
+            at = free[(np.abs(p - 0.5) > 0.45) & ~np.isin(free, taught[1 - v])][:300]
+            told.append((y[at] == (models[v].score(x[v][at]) > 0.5)).mean())
+            out.append((at, [x[0][at], x[1][at]], (models[v].score(x[v][at]) > 0.5).astype(float)))
+        return out
+
+    with_, without = (quality.co_train([v[given] for v in x], y[given].astype(float), surest, rounds=n) for n in (4, 0))
+    right = [((m.scores([v[2000:] for v in x])[2] >= 0.5) == y[2000:]).mean() for m in (with_, without)]
+    assert min(told) > 0.9 and right[0] >= right[1] and right[0] > 0.95
 
 
 def test_toxicity_of_unseen_misspellings():
@@ -253,6 +456,20 @@ def test_nearest_in_a_tight_group(spark):
     assert ten_nearest(spark, 10_000 + tight) == (9, 9)
 
 
+def test_nearest_among_vectors_of_several_lengths_and_other_columns(spark):
+    draw = np.random.default_rng(3)
+    rows = [(k, draw.normal(size=(8, 8, 8, 5)[k % 4]).tolist(), k, 0.5) for k in range(0, 1200, 5)]
+    got = defaultdict(list)
+    for r in ann.nearest(spark.createDataFrame([*rows, (7, None, 0, None), (None, [1.0], 0, None)], "vec_id long, embedding array<double>, rank int, score double")).collect():
+        got[r.query_id].append((r.rank, r.vec_id))
+    assert sorted(got) == list(range(0, 1200, 100))
+    for q, found in got.items():
+        own = np.array(next(r[1] for r in rows if r[0] == q))
+        far = sorted((((own - np.array(r[1])) ** 2).sum(), r[0]) for r in rows if len(r[1]) == len(own) and r[0] != q)[:10]
+        assert [v for _, v in sorted(found)] == [v for _, v in far]
+    assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<double>")).collect() == []
+
+
 def test_hilbert_steps_are_of_one():
     grid = np.stack(np.meshgrid(range(8), range(8), range(8)), axis=-1).reshape(-1, 3)
     order = grid[np.argsort(ann.hilbert(grid, 3))]
@@ -260,9 +477,22 @@ def test_hilbert_steps_are_of_one():
 
 
 def test_licenses(spark):
-    rows = [(1, "x y z\nLicensed under the Apache License, Version 2.0.\n"), (2, "released under the MIT license"), (3, "nothing of that kind here at all"), (4, None), (5, "")]
-    got = {r.doc_id: (r.n_lines, r.n_matches, r.licenses) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: (2, 1, "Apache-2.0"), 2: (1, 1, "MIT"), 3: (1, 0, ""), 4: (0, 0, ""), 5: (0, 0, "")}
+    import textwrap
+
+    rows = [(1, "x y z\nLicensed under the Apache License, Version 2.0.\n"), (2, "released under the MIT license"), (3, "nothing of that kind here at all"), (4, None), (5, ""), (6, "license"), (None, "all RIGHTS reserved. Licensed under CC BY 4.0."), (2, "released under the MIT license")]
+    got = [(r.doc_id, r.n_words, r.n_matches, r.licenses) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted([(1, 11, 1, "Apache-2.0"), (2, 5, 1, "MIT"), (2, 5, 1, "MIT"), (3, 7, 0, ""), (4, 0, 0, ""), (5, 0, 0, ""), (6, 1, 0, ""), (None, 9, 2, "CC-BY-4.0-short,proprietary")], key=str)
+    # Every template, wrapped as in a file's head, within prose, with a word changed; and two in one text, one after the other.
+    names, rows = sorted(licenses.TEMPLATES), []
+    for k, n in enumerate(names):
+        wrapped = "\n".join(f" * {x}" for x in textwrap.wrap(licenses.TEMPLATES[n], 72))
+        rows += [(4 * k, wrapped), (4 * k + 1, f"prose goes first {wrapped}\nprose comes last"), (4 * k + 2, f"{wrapped}\n{licenses.TEMPLATES['MPL-2.0']}")]
+        if len(licenses.TEMPLATES[n].split()) > 20:
+            rows.append((4 * k + 3, licenses.TEMPLATES[n].replace("software", "library", 1)))
+    for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        want = {names[r.doc_id // 4]} | ({"MPL-2.0"} if r.doc_id % 4 == 2 else set())
+        assert {*r.licenses.split(",")} == want and r.n_matches == (2 if r.doc_id % 4 == 2 else 1), (r, want)
+        assert r.doc_id % 4 > 2 or r.best_dice == 1
 
 
 def test_license_sql(spark, docs):
@@ -291,6 +521,69 @@ def test_mpeg(docs):
         assert hashlib.sha256(mpeg.load(r.media)).hexdigest() == r.payload_sha256 and r.payload_bytes % 64 == 0
 
 
+def test_mpeg_digest_by_hand(docs):
+    """What the contract says of payloads, from the texts; the stored form by its own bytes."""
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    for r in mpeg.digest(docs, with_media=True).collect():
+        text = texts[r.doc_id]
+        payload = text + b"\0" * (-len(text) % 64 if text else 64)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(r.media), hashlib.sha256(r.media).hexdigest())
+
+
+def plain_crc(bits):
+    c = 0xFFFF
+    for b in bits:
+        c = (c << 1 ^ (0x8005 if (c >> 15) ^ int(b) else 0)) & 0xFFFF
+    return c
+
+
+@pytest.mark.parametrize("layer", [1, 2])
+def test_mpeg_checksums_of_layers_one_and_two(layer):
+    """Frames of random allocations; the bits that a checksum covers are counted here by the standard's own loops."""
+    draw, out, bad = np.random.default_rng(layer), b"", 0
+    for k in range(12):
+        mode, rate = ((0, 1, 3)[k % 3], 8) if layer == 1 else ((0, 1, 3)[k % 3], 10)
+        two = bytes([rate << 4, mode << 6 | (k % 4) << 4])
+        h = mpeg.header(b"\xff" + bytes([0xFE if layer == 1 else 0xFC]) + two)
+        body = draw.bytes(h.size - 6)
+        bits = "".join(f"{b:08b}" for b in body)
+        channels, bound = (1 if mode == 3 else 2), (4 * (k % 4 + 1) if mode == 1 else 32)
+        if layer == 1:
+            many = sum(4 * (channels if sb < bound else 1) for sb in range(32))
+        else:
+            # 192 kbit/s at 44.1 kHz: table a for a mono channel's 192, as for 96 a channel: 30 subbands.
+            many, some = 0, []
+            for sb in range(30):
+                n = 4 if sb < 11 else 3 if sb < 23 else 2
+                if sb < bound:
+                    for _ in range(channels):
+                        some.append(int(bits[many : many + n], 2) > 0)
+                        many += n
+                else:
+                    some += [int(bits[many : many + n], 2) > 0] * channels
+                    many += n
+            many += 2 * sum(some)
+        crc = plain_crc(f"{two[0]:08b}{two[1]:08b}" + bits[:many])
+        if k % 5 == 4:
+            crc, bad = crc ^ 1, bad + 1
+        assert mpeg.verified(h, b"\xff" + bytes([0xFE if layer == 1 else 0xFC]) + two + crc.to_bytes(2, "big") + body) == (k % 5 != 4)
+        if mode == 0:
+            out += b"\xff" + bytes([0xFE if layer == 1 else 0xFC]) + two + crc.to_bytes(2, "big") + body
+    s = mpeg.parse(out)
+    assert len(s.frames) == s.checked == 4 and s.wrong == (1 if bad else 0) * sum(k % 5 == 4 for k in range(0, 12, 3))
+
+
+def test_mpeg_inspect(spark):
+    media = mpeg.store(bytes(5000))
+    rows = spark.createDataFrame([(1, media, "x"), (2, None, None), (3, b"", None), (4, b"junk" * 50, None), (1, media, "x")], "k int, media binary, tags string")
+    got = sorted(mpeg.inspect(rows).collect(), key=lambda r: r.k)
+    assert got[0] == got[1] and [r.frames for r in got] == [4, 4, 0, 0, 0] and got[0].tags == ["ID3v2", "Xing"]
+    assert got[0].duration_s == 4 * 1152 / 32000 and got[0].frames_checked == 4 + 1 and got[0].frames_wrong == 0
+    assert all(media[at] == 0xFF for at in got[0].frame_offsets) and got[0].seek_offsets == got[0].frame_offsets[:1]
+    assert [r.duration_s for r in got[2:]] == [None] * 3 and mpeg.inspect(rows.limit(0)).collect() == []
+
+
 def test_mpeg_payload_is_no_tag(spark):
     texts = []
     for n in (1024, 1344, 1408, 2816):
@@ -304,22 +597,110 @@ def test_mpeg_payload_is_no_tag(spark):
         mpeg.load(rows[0].media[:-5])
 
 
-def test_odd_rows(spark, odd, labels):
-    empty = odd.limit(0)
-    for f in (bpe.encode, lm.score, mixing.mix, mpeg.digest, minhash.near_duplicates, substring.remove_duplicates, licenses.scan, lambda d: toxicity.score(d, labels), lambda d: quality.score(d, labels)):
-        assert len(f(odd).collect()) == 8
-        assert f(empty).collect() == []
-    got = {(r.doc_id, r.n_shingles): r for r in minhash.near_duplicates(odd).collect()}
-    assert got[1, 116].kept and not got[5, 118].kept and got[5, 118].component_id == 1
-    assert {(r.doc_id, r.n_removed) for r in substring.remove_duplicates(odd).collect()} == {(1, 0), (2, 0), (3, 0), (None, 0), (5, 120), (6, 0), (7, 0)}
+@pytest.mark.parametrize("f", ["bpe", "lm", "mixing", "mpeg", "minhash", "substring", "licenses", "toxicity", "quality"])
+def test_odd_rows(spark, odd, labels, f):
+    """Nulls, empty, very long, repeated rows, clashing columns, empty tables: equal texts have equal results, row by row."""
+    run = {"bpe": bpe.encode, "lm": lm.score, "mixing": mixing.mix, "mpeg": mpeg.digest, "minhash": minhash.near_duplicates, "substring": substring.remove_duplicates, "licenses": licenses.scan, "toxicity": lambda d: toxicity.score(d, labels), "quality": lambda d: quality.score(d, labels)}[f]
+    rows = run(odd).collect()
+    assert sorted(r.doc_id or 0 for r in rows) == [0, 1, 1, 2, 3, 5, 6, 7, 8]
+    assert run(odd.limit(0)).collect() == []
+    by = defaultdict(list)
+    for r in rows:
+        by[r.doc_id].append({k: v for k, v in r.asDict().items() if k != "doc_id"})
+    assert by[1][0] == by[1][1]
+    if f in ("bpe", "mpeg", "licenses", "toxicity", "quality"):
+        same = [{k: v for k, v in x.items() if k != "held_out"} for x in (by[1][0], by[None][0])]
+        assert f == "quality" or same[0] == same[1]
+    if f in ("bpe", "mpeg", "toxicity"):
+        assert {k: v for k, v in by[2][0].items() if k != "held_out"} == {k: v for k, v in by[3][0].items() if k != "held_out"}
+    if f == "bpe":
+        assert by[2][0]["n_tokens"] == 0 and by[2][0]["decoded_sha256"] == hashlib.sha256(b"").hexdigest() and by[6][0]["n_tokens"] == 30000
+    if f == "mixing":
+        assert by[2][0]["size"] == by[3][0]["taken"] == 0 and by[6][0]["size"] == 30000 and by[None][0]["source_size"] == 120
+    if f == "mpeg":
+        assert by[2][0]["payload_bytes"] == 64 and by[6][0]["n_bytes"] == 150_000 and by[8][0]["n_bytes"] == len(LONG)
+    if f == "minhash":
+        assert by[1][0]["n_shingles"] == 116 and by[1][0]["kept"] and by[5][0]["component_id"] == 1 and not by[5][0]["kept"] and by[2][0]["n_shingles"] == 0 and by[None][0]["component_id"] is None and by[None][0]["kept"] and by[8][0]["n_shingles"] == 39_996
+    if f == "substring":
+        assert {k: v[0]["n_removed"] for k, v in by.items()} == {1: 0, 2: 0, 3: 0, None: 0, 5: 120, 6: 0, 7: 0, 8: 0} and by[8][0]["n_words"] == 40_000
+    if f == "lm":
+        assert by[2][0]["n_tokens"] == by[3][0]["n_tokens"] == by[7][0]["n_tokens"] == 1 and by[8][0]["n_tokens"] == 40_001 and not by[None][0]["held_out"] and by[2][0]["score"] == by[7][0]["score"]
+
+
+def test_keep_survives_clashing_names(odd, labels):
+    odd = odd.selectExpr("doc_id", "text", "lang", "source", "n_chars", "score AS `_text`", "size AS `a.b`", "size AS Score")
+    got = toxicity.score(odd, labels, keep=["doc_id", "text", "_text", "a.b", "Score"])
+    assert got.columns == ["doc_id", "text", "_text", "a.b", "held_out", "score", "predicted"]
+    assert sorted(str(r[:4]) for r in got.collect()) == sorted(str(r[:4]) for r in odd.select("doc_id", "text", "_text", "`a.b`").collect())
+    got = quality.score(odd, labels, keep=["_text", "a.b"])
+    assert got.columns[:2] == ["_text", "a.b"] and got.count() == 9
+    assert mixing.mix(odd.withColumnRenamed("Score", "u").withColumnRenamed("_text", "class")).columns[:7] == ["doc_id", "text", "lang", "source", "n_chars", "class", "a.b"]
+
+
+def test_bytes_that_are_no_text(spark):
+    bad = spark.createDataFrame([(1, b"a \xff\xfe b " + b"w " * 60), (2, b"a \xff\xfe b " + b"w " * 60)], "doc_id long, x binary").selectExpr("doc_id", "cast(x AS string) AS text", "'en' AS lang", "'s' AS source")
+    labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
+    for f in (bpe.encode, lm.score, mixing.mix, mpeg.digest, minhash.near_duplicates, lambda d: substring.remove_duplicates(d, with_text=True), licenses.scan, lambda d: toxicity.score(d, labels)):
+        assert f(bad).count() == 2
+    assert bpe.encode(bad, with_ids=True).first().decoded.startswith("a")
+
+
+# The pipeline
+
+
+@pytest.fixture(scope="module")
+def clashing(spark, docs):
+    """documents with columns named like everything that operators add, and rows of each awkward kind."""
+    names = ["score", "size", "held_out", "taken", "row_key", "_text", "_id", "kept_text", "copies", "u", "class", "_given_3", "component_id", "a.b"]
+    w = " ".join(f"w{i}" for i in range(120))
+    odd = spark.createDataFrame([(10**6, w, "en", "a", 9), (10**6, w, "en", "a", 9), (10**6 + 1, None, None, None, None), (10**6 + 2, "", "de", "b", 0), (None, w, "en", None, 9), (10**6 + 3, "pre " * 3 + w + " tail " + LONG, "en", "b", 9), (10**6 + 4, LONG, "fr", "a", 1)], docs.schema)
+    rows = docs.limit(80).union(odd)
+    for k, n in enumerate(names):
+        rows = rows.withColumn(n, F.concat_ws("-", F.lit(k), "doc_id"))
+    return rows
+
+
+def test_pipeline_stages(spark, clashing):
+    """Each stage on the same rows, against brute force; other columns come back as they were."""
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    given = [tuple(r) for r in clashing.collect()]
+    own = lambda df: sorted(map(str, map(tuple, df.collect())))
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, clashing.limit(0), DATA).collect() == [], name
+        if name != "bpe":
+            assert stage(spark, clashing, DATA).schema.names == clashing.columns, name
+
+    model = toxicity.fit(*toxicity.sample(clashing, spark.read.parquet(f"{DATA}/labels.parquet")))
+    want = [r for r in given if model.scores([r[1] or ""])[0] < 0.5]
+    assert own(stages["toxicity"](spark, clashing, DATA)) == sorted(map(str, want)) and 0 < len(want)
+
+    group = near_components({r[0]: r[1] for r in given if r[0] is not None}, 5)
+    want = [r for r in given if r[0] is None or group[r[0]][1] == r[0]]
+    assert own(stages["minhash_near_dedup"](spark, clashing, DATA)) == sorted(map(str, want)) and len(want) < len(given)
+
+    known = [r for r in given if r[0] is not None]
+    want = [r for r in given if r[0] is None]
+    for r, (w, gone) in zip(known, left_words([(r[0], r[1]) for r in known])):
+        text = b" ".join(x for x, g in zip(w, gone) if not g).decode() if any(gone) else r[1]
+        want.append((r[0], text, r[2], r[3], len(text) if any(gone) else r[4], *r[5:]))
+    assert own(stages["substring_dedup"](spark, clashing, DATA)) == sorted(map(str, want)) and sorted(map(str, want)) != sorted(map(str, given))
+
+    copies = {(r.doc_id, r.text): r.copies for r in mixing.mix(clashing.select("doc_id", "text", "source")).collect()}
+    want = [r for r in given for _ in range(copies[r[0], r[1]])]
+    assert own(stages["mixing"](spark, clashing, DATA)) == sorted(map(str, want)) and len({*copies.values()}) > 1
+
+    tokenizers, P = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    t = tokenizers.Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    ids = [(r[0], t.encode(r[1] or "", add_special_tokens=False).ids) for r in given]
+    want = [(i, len(x), hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest(), hashlib.sha256(t.decode(x, skip_special_tokens=False).encode()).hexdigest()) for i, x in ids]
+    assert own(stages["bpe"](spark, clashing, DATA)) == sorted(map(str, want))
 
 
-def test_pipeline(spark, odd):
+def test_pipeline(spark):
     import corpus_pipeline
 
-    rows, columns = odd.drop("size", "score"), ["doc_id", "text", "lang", "source", "n_chars"]
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        rows = stage(spark, rows, DATA)
-        assert rows.columns == columns, name
-    assert corpus_pipeline.STAGES[-1][1](spark, rows, DATA).count() > 0
-    assert corpus_pipeline.run(spark, DATA).count() > 0
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "minhash_near_dedup", "substring_dedup", "mixing", "bpe"]
+    got = corpus_pipeline.run(spark, DATA)
+    assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and 100 < got.count() < 400
