@@ -18,7 +18,8 @@ from .common import table, written
 SAMPLE = 4096
 #: Projected dimensions and bits of each in a key (at most 62 bits in all).
 AXES, BITS = 12, 5
-#: Curves, vectors in a block of a curve, neighbours that a block names for a query, and those reranked for a query.
+#: Curves, vectors in a block of a curve, neighbours that a block names for a query, and those reranked for a query. These only
+#: settle how tight a query's first bound is; what lies within the bound is searched whole.
 CURVES, BLOCK, NAMED, RERANKED = 16, 2048, 24, 64
 #: Queries that one pass over all vectors carries, and vectors that it bounds together.
 ASKED, TOGETHER = 4096, 1024
@@ -236,21 +237,25 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, curves: int = CUR
     meets its block and both neighbours on each curve by half-precision codes; what the curves name merges and is reranked
     on original vectors in double precision. The distance of the last of those is a bound within which the query then meets
     all points, in blocks of which only those wholly beyond the bound are skipped: the result is exact at every size.
-    Defined results: null, empty, zero vectors, those with null or non-finite components and those of another length than
-    most of the sample take no part; neither do null ids. Rows that repeat an id and vector are one candidate. With fewer
-    candidates than k a query has them all; an empty table gives an empty table.
+    Defined results: null, empty and zero vectors and those with null or non-finite components take no part; neither do
+    null ids. Vectors of different lengths have no distance: each length is searched by itself, one after another. Rows that
+    repeat an id and vector are one candidate. With fewer candidates than k a query has them all. Other columns, whatever
+    their names, are not read. An empty table gives an empty table.
     """
-    spark, vector = vectors.sparkSession, F.transform(F.col(column), lambda x: x.cast("double") + F.lit(0.0))
+    vector = F.transform(F.col(column), lambda x: x.cast("double") + F.lit(0.0))
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector, lambda x: x != 0)
     rows = vectors.where(F.col(id_column).isNotNull() & F.col(column).isNotNull() & fine).select(F.col(id_column).cast("long").alias("id"), vector.alias("vector"))
+    # A row for each length that queries have.
+    lengths = rows.where(F.col("id") % every == 0).select(F.size("vector").alias("n")).distinct().orderBy("n").collect()
+    found = [_nearest_of(rows.where(F.size("vector") == r.n), k, every, curves) for r in lengths]
+    return reduce(DataFrame.union, found) if found else vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
+def _nearest_of(rows: DataFrame, k: int, every: int, curves: int) -> DataFrame:
+    """nearest() among id, vector rows of one length; some are queries."""
     some = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").toPandas()["vector"].to_list()
-    out = "query_id long, rank int, vec_id long, score double"
-    if not some:
-        return spark.createDataFrame([], out)
-    sizes = [len(x) for x in some]
-    d = max(sorted(set(sizes)), key=sizes.count)
-    fitted = Curves.fitted(np.array([x for x in some if len(x) == d], np.float64), curves)
-    rows = rows.where(F.size("vector") == d).distinct()
+    fitted = Curves.fitted(np.array(some, np.float64), curves)
+    rows = rows.distinct()
 
     first = W.partitionBy("vector").orderBy("id")
     points = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1).groupBy("vector").agg(F.array_sort(F.collect_list("id")).alias("ids"))
@@ -269,8 +274,6 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, curves: int = CUR
     order = W.partitionBy("query").orderBy("score", "vec_id")
     bound = close.withColumn("n", F.row_number().over(order)).where(F.col("n") == k + 1).select("query", (F.col("score") * (1 + 1e-12)).alias("most"))
     bounded = written(query.join(bound, "query", "left").withColumn("most", F.coalesce("most", F.lit(float("inf")))))
-    if bounded.isEmpty():
-        return spark.createDataFrame([], out)
     close = _searched(points, bounded, k + 1).join(points.select("rep", "ids"), "rep").select("query", "score", F.explode("ids").alias("vec_id"))
     close = close.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).select("query", "vec_id", "score")
 
