@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import quoted, table, texts_of, unused, without, written
+from .common import quoted, table, texts_of, without, written
 from .toxicity import remainder
 
 #: Labelled documents of either class that the models are fitted on, at most.
@@ -147,20 +147,20 @@ def co_train(x: list[np.ndarray], y: np.ndarray, surest: Callable, rounds: int =
     return CoTrained(views, np.array([last.weights[0] - slopes @ last.mean, *slopes]))
 
 
-def _features(batch: pa.RecordBatch, names: list[str]) -> list[np.ndarray]:
-    """Of both views; names: the columns of text, lang, source and n_chars."""
-    texts = [t or b"" for t in texts_of(batch, names[0])]
-    known = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names[1:])
+def _features(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """Of both views, from text, lang, source and n_chars."""
+    texts = [t or b"" for t in texts_of(batch)]
+    known = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in _GIVEN[1:])
     return [np.array([content(t) for t in texts]), np.array([metadata(*r) for r in zip(*known, strict=True)])]
 
 
 _GIVEN = ["text", "lang", "source", "n_chars"]
 
 
-def _given(columns: list[str], names: list[str]) -> list[F.Column]:
-    """text, lang, source and n_chars of a table with these columns, null where it has none, under names."""
+def _given(columns: list[str]) -> list[F.Column]:
+    """text, lang, source and n_chars of a table with these columns, null where it has none."""
     have = {c.lower() for c in columns}
-    return [(F.col(c) if c in have else F.lit(None)).cast("long" if c == "n_chars" else "string").alias(n) for c, n in zip(_GIVEN, names, strict=True)]
+    return [(F.col(c) if c in have else F.lit(None)).cast("long" if c == "n_chars" else "string").alias(c) for c in _GIVEN]
 
 
 def _single(rows: DataFrame) -> DataFrame:
@@ -174,7 +174,7 @@ def _measured(rows: DataFrame) -> DataFrame:
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
-                x = [pa.array([v.astype(np.float32).tobytes() for v in view], pa.binary()) for view in _features(part, _GIVEN)]
+                x = [pa.array([v.astype(np.float32).tobytes() for v in view], pa.binary()) for view in _features(part)]
                 yield pa.record_batch([part.column(0), part.column(1), *x], names=["doc_id", "quality", "x0", "x1"])
 
     return rows.select(F.col("doc_id").cast("long"), F.col("quality").cast("int"), *_GIVEN).mapInArrow(measure, "doc_id long, quality int, x0 binary, x1 binary")
@@ -229,7 +229,7 @@ def score(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) ->
     spark = docs.sparkSession
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(remainder() != 0).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = [known.where(F.col("quality") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) for k in (0, 1)]
-    given = docs.select("doc_id", *_given(docs.columns, _GIVEN)).where("doc_id IS NOT NULL")
+    given = docs.select("doc_id", *_given(docs.columns)).where("doc_id IS NOT NULL")
     # At most 2 * SAMPLE rows of two numbers.
     got = _measured(_single(given.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id"))).orderBy("doc_id").toArrow()
     y = got.column("quality").to_numpy()
@@ -240,17 +240,18 @@ def score(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) ->
         model = co_train([_matrix(got.column(c).to_pylist()) for c in ("x0", "x1")], y.astype(float), lambda m, t: _surest(pool, m, t))
     shared = spark.sparkContext.broadcast(model)
     rest = without(keep or ["doc_id"], "held_out", "content_score", "metadata_score", "score", "predicted")
-    names = [unused(c, rest) for c in _GIVEN]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(k, 512) for k in range(0, batch.num_rows, 512)):
-                parts = shared.value.scores(_features(part, names)) if shared.value else [np.ones(part.num_rows)] * 3
+                parts = shared.value.scores(_features(part)) if shared.value else [np.ones(part.num_rows)] * 3
                 yield pa.record_batch([*part.columns[:-4], *(pa.array(p) for p in parts), pa.array((parts[2] >= 0.5).astype(np.int32))], names=[*part.schema.names[:-4], "content_score", "metadata_score", "score", "predicted"])
 
-    rows = docs.select(*map(quoted, rest), F.coalesce(remainder() == 0, F.lit(False)).alias("held_out"), *_given(docs.columns, names))
-    schema = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in rows.schema.fields[:-4])
-    return rows.mapInArrow(run, f"{schema}, content_score double, metadata_score double, score double, predicted int")
+    # Columns go by number while they are with Python, which takes no name with a dot.
+    rows = docs.select(*(F.col(quoted(c)).alias(f"c{k}") for k, c in enumerate(rest)), F.coalesce(remainder() == 0, F.lit(False)).alias("held_out"), *_given(docs.columns))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-4])
+    out = rows.mapInArrow(run, f"{schema}, content_score double, metadata_score double, score double, predicted int")
+    return out.toDF(*rest, "held_out", "content_score", "metadata_score", "score", "predicted")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

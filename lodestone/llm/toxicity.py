@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import grams, mixed, quoted, table, texts_of, unused, without
+from .common import grams, mixed, quoted, table, texts_of, without
 
 #: Embedding rows, their length, and the lengths of character n-grams (a word with its two bounds is a gram too).
 ROWS, DIM, GRAMS = 1 << 18, 8, (3, 4, 5)
@@ -217,15 +217,15 @@ def score(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) ->
         own = Model(*shared.value)
         for batch in batches:
             if batch.num_rows:
-                got = np.concatenate([own.scores(part) for part in slices(texts_of(batch, given))])
+                got = np.concatenate([own.scores(part) for part in slices(texts_of(batch))])
                 columns = batch.columns[:-1]
                 yield pa.record_batch([*columns, pa.array(got), pa.array((got >= 0.5).astype(np.int32))], names=[*batch.schema.names[:-1], "score", "predicted"])
 
     rest = without(keep or ["doc_id"], "held_out", "score", "predicted")
-    given = unused("text", rest)
-    rows = docs.select(*map(quoted, rest), F.coalesce(remainder() == 0, F.lit(False)).alias("held_out"), F.col("text").alias(given))
-    schema = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{schema}, score double, predicted int")
+    # Columns go by number while they are with Python, which takes no name with a dot.
+    rows = docs.select(*(F.col(quoted(c)).alias(f"c{k}") for k, c in enumerate(rest)), F.coalesce(remainder() == 0, F.lit(False)).alias("held_out"), F.col("text"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(run, f"{schema}, score double, predicted int").toDF(*rest, "held_out", "score", "predicted")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

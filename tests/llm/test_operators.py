@@ -607,7 +607,7 @@ def test_odd_rows(spark, odd, labels, f):
     by = defaultdict(list)
     for r in rows:
         by[r.doc_id].append({k: v for k, v in r.asDict().items() if k != "doc_id"})
-    assert by[1][0] == by[1][1]
+    assert by[1][0] == (pytest.approx(by[1][1], rel=1e-6) if f == "lm" else by[1][1])
     if f in ("bpe", "mpeg", "licenses", "toxicity", "quality"):
         same = [{k: v for k, v in x.items() if k != "held_out"} for x in (by[1][0], by[None][0])]
         assert f == "quality" or same[0] == same[1]
