@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from functools import cache
@@ -9,9 +11,15 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Where this process has written intermediate results that are still there.
+_PATHS: list[str] = []
+
+
 @cache
 def _own_dir() -> str:
-    return tempfile.mkdtemp(prefix="lodestone-")
+    path = tempfile.mkdtemp(prefix="lodestone-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,5 +35,18 @@ def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage is cut, and a lost executor costs nothing that was written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    _PATHS.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession) -> int:
+    """Deletes all that written() has made in this process, and says how many tables that were.
+
+    To be called once results have been saved: what still is to be computed from such tables can no longer be.
+    """
+    paths = [_PATHS.pop() for _ in range(len(_PATHS))]
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import urls, xml
 from lodestone.operators import relational as R
+from lodestone.operators import shared
 from lodestone.operators import weights as WT
 from lodestone.sources import text
 from lodestone.sources import xml as xml_files
@@ -166,6 +167,13 @@ def test_vector_lines_read_documents_twice(spark):
     assert plan.count("documents.parquet") <= 1 and plan.count("SortMergeJoin") <= 1
 
 
+def test_intermediate_tables_go(spark):
+    rows = shared.written(spark.range(5).toDF("k"))
+    path = rows.inputFiles()[0].removeprefix("file:").rpartition("/")[0]
+    assert sorted(r.k for r in rows.collect()) == [*range(5)] and Path(path).is_dir()
+    assert shared.discard(spark) >= 1 and not Path(path).exists() and shared.discard(spark) == 0
+
+
 def test_rows_that_a_table_lacks_columns_for(spark):
     own = Tables(spark)
     own.create("tl_own", {"a": "int"})
