@@ -1,17 +1,16 @@
-"""What the corpus operators share: tables, written intermediate results, word hashes."""
+"""What the corpus operators share: tables, names, word hashes; written() is the library's own."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.operators.shared import written as written
+
 #: A word, as the contracts have it: a run of anything but space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 _ODD1, _ODD2, _ODD3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
@@ -39,28 +38,6 @@ def without(columns: list[str], *names: str) -> list[str]:
     return [c for c in columns if c.lower() not in names]
 
 
-@cache
-def _own_dir() -> str:
-    return tempfile.mkdtemp(prefix="lodestone-")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else the warehouse, or in local mode a temporary folder."""
-    if given := spark.conf.get("spark.checkpoint.dir", None):
-        return given
-    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-        return _own_dir()
-    return f"{spark.conf.get('spark.sql.warehouse.dir')}/_intermediate"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage is cut, and a lost executor costs nothing that was written."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def words(text: bytes | None) -> list[bytes]:
     """bytes.split() parts at exactly the six characters that WORD leaves out."""
     return text.split() if text else []
