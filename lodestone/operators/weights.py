@@ -21,30 +21,39 @@ def parsed(line: Column) -> Column:
     return F.when(F.length(line) > 1, F.filter(F.split(line, ","), lambda x: x != ""))
 
 
-def terms(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
-    """doc_id, label, feature for each non-empty token."""
-    # explode_outer, since Spark puts a filter by the array's size below explode, and makes the tokens twice for it.
-    return docs.select("doc_id", "label", F.explode_outer(tokens).alias("feature")).where("feature <> ''")
+def _words(tokens: str | Column) -> Column:
+    return F.filter(tokens, lambda x: x != "")
 
 
-def term_counts(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
-    """doc_id, label, feature, n."""
-    return terms(docs.repartition("doc_id"), tokens).groupBy("doc_id", "label", "feature").agg(F.count("*").alias("n"))
+def _counted(docs: DataFrame, tokens: str | Column) -> DataFrame:
+    """doc_id, label, size (of the document, in tokens), feature, n; a document without tokens has a row without feature.
 
+    tokens may be an expression over docs: texts are dealt as they are and split where they arrive. explode_outer, since Spark
+    puts a filter by the array's size below explode, and makes the tokens twice for it.
+    """
+    words = _words(tokens)
+    rows = docs.repartition("doc_id").select("doc_id", "label", words.alias("tokens"), F.coalesce(F.size(words), F.lit(0)).alias("size"))
+    rows = rows.select("doc_id", "label", "size", F.explode_outer("tokens").alias("feature"))
+    return rows.groupBy("doc_id", "label", "size", "feature").agg(F.count("*").alias("n"))
+
+
+def term_counts(docs: DataFrame, tokens: str | Column = "tokens") -> DataFrame:
+    """doc_id, label, feature, n of tokens that are not empty."""
+    return _counted(docs, tokens).where("feature IS NOT NULL").drop("size")
 
-def doc_freq(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
+
+def doc_freq(docs: DataFrame, tokens: str | Column = "tokens") -> DataFrame:
     """feature, df: labelled documents (not 0) that contain it."""
-    some = docs.where("label <> 0").select("doc_id", "label", F.array_distinct(tokens).alias("tokens"))
-    return terms(some).groupBy("feature").agg(F.count("*").alias("df"))
+    some = docs.where("label <> 0").repartition("doc_id").select(F.explode_outer(F.array_distinct(_words(tokens))).alias("feature"))
+    return some.where("feature IS NOT NULL").groupBy("feature").agg(F.count("*").alias("df"))
 
 
-def tf(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
+def tf(docs: DataFrame, tokens: str | Column = "tokens") -> DataFrame:
     """doc_id, label, feature, n and tf, a feature's share of its document's tokens."""
-    size = W.partitionBy("doc_id")
-    return term_counts(docs, tokens).withColumn("tf", F.col("n") / F.sum("n").over(size))
+    return _counted(docs, tokens).where("feature IS NOT NULL").withColumn("tf", F.col("n") / F.col("size")).drop("size")
 
 
-def vocabulary(docs: DataFrame, tokens: str = "tokens", least: int = 2) -> DataFrame:
+def vocabulary(docs: DataFrame, tokens: str | Column = "tokens", least: int = 2) -> DataFrame:
     """feature, df, idx (from 1, by feature) of features that `least` labelled documents share.
 
     Numbers are places within ranges of features plus the sizes of the ranges before, so no task sorts the whole list.
@@ -73,39 +82,29 @@ def _weight(scheme: str, n_docs: int) -> Column:
     return F.round(share if scheme == "tf" else share * F.log(F.lit(n_docs) / F.col("df")), 4)
 
 
-def _sized(docs: DataFrame, tokens: str) -> DataFrame:
-    """doc_id, label, feature, n, size, a row for each feature of a document and, for one without tokens, a row without feature."""
-    rows = docs.select("doc_id", "label", F.explode_outer(tokens).alias("feature"))
-    counts = rows.groupBy("doc_id", "label", "feature").agg(F.count("*").alias("n"))
-    words = F.when(F.col("feature") != "", F.col("n"))
-    return counts.withColumn("size", F.sum(words).over(W.partitionBy("doc_id")))
-
-
-def weights(docs: DataFrame, scheme: str = "tfidf", tokens: str = "tokens", least: int = 2) -> DataFrame:
+def weights(docs: DataFrame, scheme: str = "tfidf", tokens: str | Column = "tokens", least: int = 2) -> DataFrame:
     """doc_id, label, feature, w (to 4 decimals); scheme: binary, tf or tfidf."""
     known = written(doc_freq(docs, tokens).where(F.col("df") >= least))
     n_docs = docs.count() if scheme == "tfidf" else 0
-    rows = term_counts(docs, tokens) if scheme == "binary" else _sized(docs.repartition("doc_id"), tokens)
-    return _known(rows, known).select("doc_id", "label", "feature", _weight(scheme, n_docs).alias("w"))
+    return _known(_counted(docs, tokens), known).select("doc_id", "label", "feature", _weight(scheme, n_docs).alias("w"))
 
 
 def class_counts(docs: DataFrame) -> DataFrame:
     return docs.groupBy("label").agg(F.count("*").alias("n_docs"))
 
 
-def vector_lines(docs: DataFrame, scheme: str = "tf", tokens: str = "tokens", least: int = 2) -> DataFrame:
+def vector_lines(docs: DataFrame, scheme: str = "tf", tokens: str | Column = "tokens", least: int = 2) -> DataFrame:
     """doc_id, label, line: `label idx:w ... # feature,...`, indexed features by index, then all features by name.
 
     docs are read twice: for the vocabulary, and for the lines. doc_id is meant to be distinct.
     """
     known = written(vocabulary(docs, tokens, least))
     n_docs = docs.count() if scheme == "tfidf" else 0
-    rows = _known(_sized(docs.repartition("doc_id"), tokens), known, "left")
+    rows = _known(_counted(docs, tokens), known, "left")
     w = _weight(scheme, n_docs)
-    text = F.lit("1") if scheme == "binary" else F.format_string("%.4f", w)
+    text = F.lit("1") if scheme == "binary" else w.cast("decimal(30,4)").cast("string")
     pair = F.when(F.col("idx").isNotNull(), F.struct("idx", F.concat_ws(":", F.col("idx").cast("string"), text).alias("pair")))
-    name = F.when(F.col("feature") != "", F.col("feature"))
-    rows = rows.groupBy("doc_id", "label").agg(F.array_sort(F.collect_list(pair)).alias("pairs"), F.array_sort(F.collect_list(name)).alias("names"))
+    rows = rows.groupBy("doc_id", "label").agg(F.array_sort(F.collect_list(pair)).alias("pairs"), F.array_sort(F.collect_list("feature")).alias("names"))
     sign = F.when(F.col("label") > 0, F.lit("+1")).otherwise(F.col("label").cast("string"))
     pairs = F.when(F.size("pairs") > 0, F.array_join(F.transform("pairs", lambda p: p["pair"]), " "))
     return rows.select("doc_id", "label", F.concat_ws(" ", sign, pairs, F.lit("#"), F.array_join("names", ",")).alias("line"))

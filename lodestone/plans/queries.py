@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import urls, xml
@@ -32,10 +32,15 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def labelled(spark: SparkSession, d: str) -> DataFrame:
-    """doc_id, label (quality 1: +1, 0: -1, none: 0), tokens of documents' lower-cased texts."""
+    """doc_id, label (quality 1: +1, 0: -1, none: 0), text of documents."""
     label = F.coalesce(F.when(F.col("quality") == 1, 1).when(F.col("quality") == 0, -1), F.lit(0))
     rows = t(spark, d, "documents").select("doc_id", "text").join(t(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
-    return rows.select("doc_id", label.alias("label"), F.filter(F.split(F.lower("text"), r"[ \n\t\r]+"), lambda x: x != "").alias("tokens"))
+    return rows.select("doc_id", label.alias("label"), "text")
+
+
+def words() -> Column:
+    """Tokens of lower-cased texts."""
+    return F.split(F.lower("text"), r"[ \n\t\r]+")
 
 
 DOCS = """docs AS (SELECT doc_id, CASE quality WHEN 1 THEN 1 WHEN 0 THEN -1 ELSE 0 END::INT AS label,
@@ -282,37 +287,37 @@ def url_stop_table(spark, d):
 
 @query(f"WITH {DOCS} SELECT doc_id, label, feature, n FROM counts")
 def term_counts(spark, d):
-    return WT.term_counts(labelled(spark, d))
+    return WT.term_counts(labelled(spark, d), words())
 
 
 @query(f"WITH {DOCS} SELECT doc_id, label, feature, round(tf, 4) AS tf FROM tf")
 def term_frequencies(spark, d):
-    return WT.tf(labelled(spark, d)).select("doc_id", "label", "feature", F.round("tf", 4).alias("tf"))
+    return WT.tf(labelled(spark, d), words()).select("doc_id", "label", "feature", F.round("tf", 4).alias("tf"))
 
 
 @query(f"WITH {DOCS} SELECT feature, df FROM df")
 def doc_freq(spark, d):
-    return WT.doc_freq(labelled(spark, d))
+    return WT.doc_freq(labelled(spark, d), words())
 
 
 @query(f"WITH {DOCS} SELECT feature, df, idx FROM vocab")
 def vocabulary(spark, d):
-    return WT.vocabulary(labelled(spark, d))
+    return WT.vocabulary(labelled(spark, d), words())
 
 
 @query(f"WITH {DOCS} SELECT doc_id, label, feature, 1 AS w FROM counts JOIN vocab USING (feature)")
 def binary_weights(spark, d):
-    return WT.weights(labelled(spark, d), "binary")
+    return WT.weights(labelled(spark, d), "binary", words())
 
 
 @query(f"WITH {DOCS} SELECT doc_id, label, feature, round(tf, 4) AS w FROM tf JOIN vocab USING (feature)")
 def tf_weights(spark, d):
-    return WT.weights(labelled(spark, d), "tf")
+    return WT.weights(labelled(spark, d), "tf", words())
 
 
 @query(f"WITH {DOCS} SELECT doc_id, label, feature, round(tf * ln(n_docs / df), 4) AS w FROM tf JOIN vocab USING (feature), nd")
 def tfidf_weights(spark, d):
-    return WT.weights(labelled(spark, d), "tfidf")
+    return WT.weights(labelled(spark, d), "tfidf", words())
 
 
 @query(f"WITH {DOCS} SELECT label, count(*) AS n_docs FROM docs GROUP BY label")
@@ -330,22 +335,22 @@ FROM docs LEFT JOIN pairs USING (doc_id) LEFT JOIN names USING (doc_id) WHERE {w
 
 @query(_lines("printf('%.4f', round(tf, 4))"))
 def vector_lines(spark, d):
-    return WT.vector_lines(labelled(spark, d), "tf")
+    return WT.vector_lines(labelled(spark, d), "tf", words())
 
 
 @query(_lines("printf('%.4f', round(tf * ln(n_docs / df), 4))"))
 def vector_lines_tfidf(spark, d):
-    return WT.vector_lines(labelled(spark, d), "tfidf")
+    return WT.vector_lines(labelled(spark, d), "tfidf", words())
 
 
 @query(_lines("1", "label <> 0"))
 def train_split(spark, d):
-    return WT.vector_lines(labelled(spark, d), "binary").where("label <> 0")
+    return WT.vector_lines(labelled(spark, d), "binary", words()).where("label <> 0")
 
 
 @query(_lines("1", "label = 0"))
 def predict_split(spark, d):
-    return WT.vector_lines(labelled(spark, d), "binary").where("label = 0")
+    return WT.vector_lines(labelled(spark, d), "binary", words()).where("label = 0")
 
 
 # XML
