@@ -20,8 +20,8 @@ def without(tokens: Column, stop: list[str]) -> Column:
     return F.filter(tokens, lambda t: ~t.isin(*stop)) if stop else tokens
 
 
-#: Stop words that are broadcast, at most; a longer table is joined by shuffle.
-BROADCAST = 100_000
+#: Stop words that are broadcast as one array, at most (it is hashed for each row); a longer table is joined.
+BROADCAST = 1_000
 
 
 def without_stop_words(rows: DataFrame, stop: DataFrame, key: str, tokens: str = "tokens") -> DataFrame:
