@@ -16,7 +16,7 @@ from .common import grams, hashed, least_at, per_row, signed, table, texts_of, w
 #: Words in an anchor. Every window picks the anchor with the least hash among those it holds.
 ANCHOR = 16
 #: A reference block holds about so many occurrences of an anchor at most; an anchor with more has several blocks.
-BLOCK = 4_000
+BLOCK = 1_000
 
 
 def _picked(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
