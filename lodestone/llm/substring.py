@@ -246,3 +246,23 @@ def remove_duplicates(docs: DataFrame, window: int = 50, with_text: bool = False
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_duplicates(table(spark, sf_dir, "documents")).drop("row_key")
+
+
+OP10_SQL = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), starts AS (
+  SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM texts
+), windows AS (
+  SELECT r, doc_id, i, array_to_string(w[i:i + 49], ' ') AS x FROM starts
+), earliest AS (
+  SELECT x, min(doc_id) AS d FROM windows GROUP BY x
+), gone AS (
+  SELECT DISTINCT r, unnest(range(i, i + 50)) AS k FROM windows JOIN earliest USING (x) WHERE d < doc_id
+), every AS (
+  SELECT r, unnest(range(1, len(w) + 1)) AS k, unnest(w) AS word FROM texts
+), kept AS (
+  SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY k) AS text FROM every ANTI JOIN gone USING (r, k) GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM texts LEFT JOIN kept USING (r)
+"""

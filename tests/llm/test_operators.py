@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import ann, bpe, licenses, lm, minhash, mixing, mpeg, quality, substring, toxicity
+from lodestone.llm import ann, bpe, licenses, lm, minhash, mixing, mpeg, quality, queries, substring, toxicity
 
 DATA = "/root/testdata/sf0.001"
 #: A very long text of distinct words.
@@ -495,12 +495,16 @@ def test_licenses(spark):
         assert r.doc_id % 4 > 2 or r.best_dice == 1
 
 
-def test_license_sql(spark, docs):
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_same_rows_as_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    con.sql(f"create view documents as select * from '{DATA}/documents.parquet'")
-    df = licenses.scan(docs)
-    assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, con.sql(licenses.OP6_SQL).project(", ".join(df.columns)).fetchall()))
+    for table in ("documents", "embeddings"):
+        con.sql(f"create view {table} as select * from '{DATA}/{table}.parquet'")
+    df = queries.QUERIES[name](spark, DATA)
+    want = con.sql(queries.ORACLE_SQL[name])
+    assert sorted(want.columns) == sorted(df.columns)
+    assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, want.project(", ".join(df.columns)).fetchall()))
 
 
 def test_mpeg(docs):
