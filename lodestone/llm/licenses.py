@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -55,26 +56,38 @@ TEMPLATES = {
 
 
 def _plain(text: F.Column) -> F.Column:
-    """Words of normalised text: lower case, letters and digits; all else, line breaks too, parts words."""
-    return F.filter(F.split(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " ")), " "), lambda w: w != "")
+    """Normalised text: lower case, letters and digits; all else, line breaks too, is one space between words."""
+    return F.trim(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " ")))
 
 
-def _known(spark: SparkSession, templates: dict[str, str], ratio: float) -> tuple[list[tuple], list[str]]:
-    """A row for each distinct bigram of each template, and the words one of which stands in every text that can match.
+def _trie(texts: list[str]) -> str:
+    """A regular expression for any of texts that shares their beginnings, so that a miss is seen at the first letters."""
+    if texts == [""]:
+        return ""
+    heads: dict[str, list[str]] = {}
+    for x in texts:
+        heads.setdefault(x[:1], []).append(x[1:])
+    parts = [re.escape(head) + _trie(rest) for head, rest in sorted(heads.items())]
+    return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
 
-    A match holds ratio of a template's bigrams at least. So it holds one of any so many as may be missing and one more;
-    of each of those, the longer word is asked for.
+
+def _known(spark: SparkSession, templates: dict[str, str], ratio: float) -> tuple[list[tuple], str]:
+    """A row for each distinct bigram of each template, and a pattern that is in every text that can match.
+
+    A match holds ratio of a template's bigrams at least. So it holds one of any so many as may be missing and one more; of
+    each template those of the longest words are asked for, which are rare in other texts.
     """
     rows, asked = [], set()
-    for license, words in spark.createDataFrame([*templates.items()], "license string, text string").select("license", _plain(F.col("text"))).collect():
+    for license, plain in spark.createDataFrame([*templates.items()], "license string, text string").select("license", _plain(F.col("text"))).collect():
+        words = plain.split(" ")
         if len(words) < 2:
             raise ValueError(f"template {license} has fewer than two words")
         grams = [*dict.fromkeys(zip(words, words[1:]))]
         span, b = len(words) - 1, len(grams)
         rows += [(license, b, span, WIDE // span, k, x, y) for k, (x, y) in enumerate(grams)]
         most = b - math.ceil(ratio * b - 1e-9) + 1
-        asked |= {max(g, key=len) for g in sorted(grams, key=lambda g: (-max(map(len, g)), g))[:most]}
-    return rows, sorted(asked)
+        asked |= {" ".join(g) for g in sorted(grams, key=lambda g: (-min(map(len, g)), -sum(map(len, g)), g))[:most]}
+    return rows, f" {_trie(sorted(x + ' ' for x in asked))}"
 
 
 def _islands(rows: DataFrame, key: str) -> DataFrame:
@@ -104,7 +117,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
     with one taken before. licenses names the templates taken, in order; best is that of most common bigrams.
 
     Bounds on sizes prune: a run matches a template of b bigrams only if it holds least / (2 - least) * b of them. So texts
-    without any of the words that such a run can't do without are dropped, then templates that have too few of their bigrams
+    without any of the bigrams that such a run can't do without are dropped, then templates that have too few of their bigrams
     in a text or are too long for it; runs are measured only where enough bigrams of the template lie. Texts meet templates
     by bigrams, in a join that broadcasts the templates' bigrams if there are no more than BROADCAST.
     Defined results: null and empty texts, and texts of one word, match nothing. A null doc_id is kept. Rows that repeat are
@@ -115,11 +128,13 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
     parts = spark.createDataFrame(known, "license string, b int, span int, step long, gram int, first string, second string")
     parts = F.broadcast(parts) if len(known) <= BROADCAST else parts
 
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), _plain(F.coalesce(F.col("text"), F.lit(""))).alias("words"))
-    near = F.arrays_overlap("words", F.array(*map(F.lit, asked)))
-    # Numbers of rows are written with them, and so stay what they are.
-    rows = written(rows.select("doc_id", "row", F.size("words").alias("n_words"), F.when(near, F.col("words")).alias("words")))
-    texts = rows.where("words IS NOT NULL AND n_words > 1").select("row", "n_words", "words")
+    plain = _plain(F.coalesce(F.col("text"), F.lit("")))
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), plain.alias("plain"))
+    n_words = F.when(F.col("plain") == "", 0).otherwise(F.length("plain") - F.length(F.translate("plain", " ", "")) + 1)
+    near = F.concat(F.lit(" "), "plain", F.lit(" ")).rlike(asked)
+    # Numbers of rows are written with them, and so stay what they are; so are the few texts that can match.
+    rows = written(rows.select("doc_id", "row", n_words.alias("n_words"), F.when(near, F.col("plain")).alias("plain")))
+    texts = rows.where("plain IS NOT NULL").select("row", "n_words", F.split("plain", " ").alias("words"))
 
     met = texts.select("row", "n_words", F.posexplode(F.arrays_zip(F.col("words").alias("first"), F.slice("words", 2, F.col("n_words")).alias("second"))).alias("at", "pair"))
     met = met.select("row", "n_words", "at", F.col("pair").getField("first").alias("w1"), F.col("pair").getField("second").alias("w2"))
