@@ -76,11 +76,13 @@ def mix(docs: DataFrame, keep: list[str] | None = None, weights: int = 3, most:
     """
     rest = without(keep or docs.columns, "size", "source_size", "target", "copies", "taken")
     name = {c: unused(c, rest) for c in ("own_source", "own_size", "u", "class", "name", "n", "p", "of", "all", "part", "ends")}
-    u = (F.xxhash64(F.lit(seed), "doc_id", "text").bitwiseAND(F.lit((1 << 52) - 1)) + F.lit(0.5)) / F.lit(float(1 << 52))
+    # 52 bits of a digest that SQL engines share.
+    digest = F.md5(F.concat_ws(" ", F.lit(str(seed)), F.col("doc_id").cast("string"), "text"))
+    u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 52))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     own_size, own_source, own_class, own_u = (name[c] for c in ("own_size", "own_source", "class", "u"))
     rows = docs.select(*map(quoted, rest), F.col("source").alias(own_source), size.alias(own_size), u.alias(own_u))
-    rows = written(rows.withColumn(own_class, F.floor(F.log2(F.greatest(F.col(own_size), F.lit(1)).cast("double")) * STEPS).cast("int")))
+    rows = written(rows.withColumn(own_class, F.floor(F.log2(F.greatest(F.col(own_size), F.lit(1)).cast("double")) * STEPS + 1e-9).cast("int")))
 
     slim = rows.select(F.col(own_source).alias("source"), F.col(own_size).alias("size"), F.col(own_u).alias("u"), F.col(own_class).alias("class"))
     classes = written(slim.groupBy("source", "class").agg(F.sum("size").alias("words")))
@@ -127,3 +129,44 @@ def mix(docs: DataFrame, keep: list[str] | None = None, weights: int = 3, most:
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP4_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, (('0x' || md5(concat_ws(' ', '4', doc_id, text))[1:13])::BIGINT + 0.5::DOUBLE) / 4503599627370496 AS u FROM documents
+), by_source AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
+), weighed AS (
+  SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM by_source
+), poured AS (
+  SELECT *, 3 * source_size / weight AS ratio FROM weighed
+), levels AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (ORDER BY ratio, weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT
+    / (sum(weight) OVER (ORDER BY ratio, weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS own FROM poured
+), level AS (
+  SELECT max(own) AS level FROM levels WHERE own <= ratio
+), target AS (
+  SELECT source, source_size, CASE WHEN ratio <= level THEN (3 * source_size)::DOUBLE ELSE weight * level END AS target FROM poured, level
+), goal AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole, target - whole * source_size AS need FROM target
+), classed AS (
+  SELECT *, pow(2::DOUBLE, floor(log2(greatest(size, 1)) * 4 + 1e-9) * 0.125) AS g FROM sized
+), class AS (
+  SELECT source, g, sum(size)::BIGINT AS words FROM classed GROUP BY source, g
+), chance AS (
+  SELECT c.source, c.g, need, (need - coalesce(sum(words) OVER (PARTITION BY c.source ORDER BY g DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT)
+    / nullif(sum(words * g) OVER (PARTITION BY c.source ORDER BY g DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS level FROM class c JOIN goal ON c.source IS NOT DISTINCT FROM goal.source
+), chosen AS (
+  SELECT source, arg_max(level, g) AS level FROM chance WHERE level * g <= 1 GROUP BY source
+), settled AS (
+  SELECT c.source, c.g, need, least(1, coalesce(chosen.level, 'inf'::DOUBLE) * c.g) AS p FROM chance c LEFT JOIN chosen ON c.source IS NOT DISTINCT FROM chosen.source
+), ranked AS (
+  SELECT doc_id, c.source, size, need, CASE WHEN p >= 1 THEN 0 ELSE u / (1 - u) / (p / (1 - p)) END AS rank FROM classed c JOIN settled s ON c.source IS NOT DISTINCT FROM s.source AND c.g = s.g
+), tied AS (
+  SELECT source, rank, need, sum(size) AS own, sum(sum(size)) OVER (PARTITION BY source ORDER BY rank) AS upto FROM ranked GROUP BY source, rank, need
+), ends AS (
+  SELECT source, max(rank) AS last FROM tied WHERE need > 0 AND upto - own / 2 <= need GROUP BY source
+)
+SELECT doc_id, size, source_size, target, size * (whole::BIGINT + coalesce(rank <= last, false)::BIGINT) AS taken
+FROM ranked r JOIN goal ON r.source IS NOT DISTINCT FROM goal.source LEFT JOIN ends ON r.source IS NOT DISTINCT FROM ends.source
+"""

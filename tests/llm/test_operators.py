@@ -179,7 +179,7 @@ def test_mixing_is_a_pareto_sample(spark):
     sizes = {k: int(2 ** draw.uniform(0, 7)) for k in range(300)}
     rows = [(k, " ".join([f"w{k}"] * n), "abcd"[k % 4]) for k, n in sizes.items()]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    u = {r.doc_id: ((r.h & (1 << 52) - 1) + 0.5) / 2**52 for r in docs.selectExpr("doc_id", "xxhash64(4, doc_id, text) AS h").collect()}
+    u = {k: (int(hashlib.md5(f"4 {k} {text}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for k, text, _ in rows}
     got, unequal = {r.doc_id: r for r in mixing.mix(docs).collect()}, 0
     for source in "abcd":
         ids = [k for k, _, s in rows if s == source]
