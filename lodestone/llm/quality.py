@@ -184,7 +184,7 @@ def _matrix(column: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.float32).reshape(len(column), -1).astype(np.float64)
 
 
-def _surest(pool: DataFrame, models: list[Logistic], taught: list[np.ndarray]) -> list[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
+def _surest(pool: DataFrame, labels: DataFrame, models: list[Logistic], taught: list[np.ndarray]) -> list[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
     """See co_train. All of pool is scored; a task keeps TAUGHT documents a view and class, and so do all tasks together."""
     shared = pool.sparkSession.sparkContext.broadcast((models, taught))
 
@@ -205,6 +205,8 @@ def _surest(pool: DataFrame, models: list[Logistic], taught: list[np.ndarray]) -
                         yield pa.record_batch([*rows.columns, pa.array(np.full(len(at), v, np.int32)), pa.array(np.full(len(at), label, np.int32)), pa.array(sure[at])], names=["doc_id", "x0", "x1", "view", "label", "sure"])
 
     found = written(pool.mapInArrow(run, "doc_id long, x0 binary, x1 binary, view int, label int, sure double"))
+    # Labelled documents drop out here, where few rows are left, so that no texts or features are shuffled.
+    found = found.join(labels.select("doc_id"), "doc_id", "left_anti")
     out = []
     for v in (0, 1):
         some = [found.where((F.col("view") == v) & (F.col("label") == k)).orderBy(F.desc("sure"), "doc_id").limit(TAUGHT) for k in (0, 1)]
@@ -235,9 +237,9 @@ def score(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) ->
     y = got.column("quality").to_numpy()
     model = None
     if {0, 1} <= {*y.tolist()}:
-        free = given.where(remainder() != 0).join(labels.select("doc_id"), "doc_id", "left_anti").withColumn("quality", F.lit(-1))
+        free = given.where(remainder() != 0).withColumn("quality", F.lit(-1))
         pool = written(_measured(free))
-        model = co_train([_matrix(got.column(c).to_pylist()) for c in ("x0", "x1")], y.astype(float), lambda m, t: _surest(pool, m, t))
+        model = co_train([_matrix(got.column(c).to_pylist()) for c in ("x0", "x1")], y.astype(float), lambda m, t: _surest(pool, labels, m, t))
     shared = spark.sparkContext.broadcast(model)
     rest = without(keep or ["doc_id"], "held_out", "content_score", "metadata_score", "score", "predicted")
 
