@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from lodestone.operators.shared import written
 
-#: Features of a vocabulary that is broadcast, at most. Larger ones are joined by shuffle, a feature's rows salted.
-BROADCAST, SALT = 500_000, 32
+#: Features that are broadcast, at most: of a larger vocabulary the most frequent ones. The others are joined by shuffle.
+BROADCAST = 100_000
 
 
 def parsed(line: Column) -> Column:
@@ -65,13 +65,21 @@ def vocabulary(docs: DataFrame, tokens: str | Column = "tokens", least: int = 2)
     return lead.withColumn("nth", nth).join(before.select("part", "before"), "part").select("feature", "df", (F.col("before") + F.col("nth")).cast("int").alias("idx"))
 
 
-def _known(rows: DataFrame, known: DataFrame, how: str = "inner") -> DataFrame:
-    """rows joined with known (a written table) by feature: a broadcast if it is small; else by feature and a salt of doc_id,
-    since a common word has a row for almost every document."""
+def _parts(known: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """known (a written table) as its BROADCAST most frequent features, and the others if there are any."""
     if known.count() <= BROADCAST:
-        return rows.join(F.broadcast(known), "feature", how)
-    salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int")).join(salted, ["feature", "salt"], how).drop("salt")
+        return known, None
+    common = written(known.orderBy(F.desc("df"), "feature").limit(BROADCAST))
+    return common, written(known.join(F.broadcast(common.select("feature")), "feature", "left_anti"))
+
+
+def _rare(rows: DataFrame, common: DataFrame, others: DataFrame) -> DataFrame:
+    """rows of features that are not common, joined with the others by shuffle.
+
+    A feature that isn't common has few rows, so none of them needs a salt. The hint is needed: others is small on disk and
+    would be broadcast by its size there, however many features it has.
+    """
+    return rows.join(F.broadcast(common.select("feature")), "feature", "left_anti").join(others.hint("merge"), "feature")
 
 
 def _weight(scheme: str, n_docs: int) -> Column:
@@ -86,7 +94,10 @@ def weights(docs: DataFrame, scheme: str = "tfidf", tokens: str | Column = "toke
     """doc_id, label, feature, w (to 4 decimals); scheme: binary, tf or tfidf."""
     known = written(doc_freq(docs, tokens).where(F.col("df") >= least))
     n_docs = docs.count() if scheme == "tfidf" else 0
-    return _known(_counted(docs, tokens), known).select("doc_id", "label", "feature", _weight(scheme, n_docs).alias("w"))
+    (common, others), rows = _parts(known), _counted(docs, tokens)
+    out = rows.join(F.broadcast(common), "feature")
+    out = out.unionByName(_rare(rows, common, others)) if others else out
+    return out.select("doc_id", "label", "feature", _weight(scheme, n_docs).alias("w"))
 
 
 def class_counts(docs: DataFrame) -> DataFrame:
@@ -100,11 +111,18 @@ def vector_lines(docs: DataFrame, scheme: str = "tf", tokens: str | Column = "to
     """
     known = written(vocabulary(docs, tokens, least))
     n_docs = docs.count() if scheme == "tfidf" else 0
-    rows = _known(_counted(docs, tokens), known, "left")
+    (common, others), counted = _parts(known), _counted(docs, tokens)
     w = _weight(scheme, n_docs)
     text = F.lit("1") if scheme == "binary" else w.cast("decimal(30,4)").cast("string")
     pair = F.when(F.col("idx").isNotNull(), F.struct("idx", F.concat_ws(":", F.col("idx").cast("string"), text).alias("pair")))
-    rows = rows.groupBy("doc_id", "label").agg(F.array_sort(F.collect_list(pair)).alias("pairs"), F.array_sort(F.collect_list("feature")).alias("names"))
+    rows = counted.join(F.broadcast(common), "feature", "left")
+    rows = rows.groupBy("doc_id", "label").agg(F.collect_list(pair).alias("pairs"), F.array_sort(F.collect_list("feature")).alias("names"))
+    if others:
+        more = _rare(counted, common, others).groupBy("doc_id", "label").agg(F.collect_list(pair).alias("more"))
+        more = more.withColumnsRenamed({"doc_id": "more_id", "label": "more_label"})
+        rows = rows.join(more.hint("merge"), F.col("doc_id").eqNullSafe(F.col("more_id")) & F.col("label").eqNullSafe(F.col("more_label")), "left")
+        rows = rows.withColumn("pairs", F.when(F.col("more").isNull(), F.col("pairs")).otherwise(F.concat("pairs", "more")))
+    rows = rows.withColumn("pairs", F.array_sort("pairs"))
     sign = F.when(F.col("label") > 0, F.lit("+1")).otherwise(F.col("label").cast("string"))
     pairs = F.when(F.size("pairs") > 0, F.array_join(F.transform("pairs", lambda p: p["pair"]), " "))
     return rows.select("doc_id", "label", F.concat_ws(" ", sign, pairs, F.lit("#"), F.array_join("names", ",")).alias("line"))

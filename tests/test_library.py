@@ -160,6 +160,19 @@ def test_weights_of_any_vocabulary(spark, monkeypatch):
     assert {r.doc_id: r.line for r in want[1] and WT.vector_lines(rows).where("doc_id > 98").collect()} == {99: "0 # ", 100: "+1 # "}
 
 
+def test_large_vocabularies_are_not_broadcast(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, k % 3 - 1, ["a", "b"][: k % 3] + [f"x{k % 5}"]) for k in range(40)], "doc_id int, label int, tokens array<string>")
+    for scheme in ("binary", "tfidf"):
+        want = [sorted(f(rows, scheme).collect()) for f in (WT.weights, WT.vector_lines)]
+        with monkeypatch.context() as m:
+            m.setattr(WT, "BROADCAST", 2)
+            got = [f(rows, scheme) for f in (WT.weights, WT.vector_lines)]
+            assert [sorted(x.collect()) for x in got] == want
+        for x in got:
+            # Only the two most frequent features are broadcast; Spark would broadcast the others by their size on disk.
+            assert "SortMergeJoin [feature" in x._jdf.queryExecution().executedPlan().toString()
+
+
 def test_vector_lines_read_documents_twice(spark):
     from lodestone.plans.queries import QUERIES
 
