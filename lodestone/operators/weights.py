@@ -1,7 +1,8 @@
 """Term weights of labelled documents, and their vectors as lines of text.
 
-Documents are dealt over tasks by doc_id before their tokens become rows, so that counts, sizes and lines of a document need
-no further shuffle; only document frequencies, summed within tasks first, are shuffled by feature.
+Documents are dealt over tasks by doc_id and counted row by row before their tokens become rows, so that counts, sizes and
+lines of a document need no further shuffle and no task holds more than a text; document frequencies, summed within tasks
+first, and rows of features too many to broadcast are shuffled by feature.
 """
 
 from __future__ import annotations
@@ -25,16 +26,37 @@ def _words(tokens: str | Column) -> Column:
     return F.filter(tokens, lambda x: x != "")
 
 
+def _runs(words: Column) -> Column:
+    """Array of feature, n: the distinct words of a text, sorted, and how often each is there. Null words have none."""
+
+    def runs(s: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda k: (k == 0) | (F.get(s, k) != F.get(s, k - 1)))
+        whole = lambda b: F.transform(b, lambda k, i: F.struct(F.get(s, k).alias("feature"), (F.coalesce(F.get(b, i + 1), F.size(s)) - k).cast("long").alias("n")))
+        return F.transform(F.array(begins), whole)[0]
+
+    # An array of one is a way to name a value, so that it is made once a row.
+    return F.transform(F.array(F.sort_array(words)), lambda s: F.when(F.size(s) > 0, runs(s)))[0]
+
+
 def _counted(docs: DataFrame, tokens: str | Column) -> DataFrame:
     """doc_id, label, size (of the document, in tokens), feature, n; a document without tokens has a row without feature.
 
-    tokens may be an expression over docs: texts are dealt as they are and split where they arrive. explode_outer, since Spark
-    puts a filter by the array's size below explode, and makes the tokens twice for it.
+    tokens may be an expression over docs: texts are dealt as they are and split where they arrive. Each text is counted in its
+    own row, so a task holds one text at a time. Rows that share a doc_id are one document, and only theirs are grouped.
+    explode_outer, since Spark puts a filter by the array's size below explode, and makes the tokens twice for it.
     """
+    twice = written(docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("twice_id")))
     words = _words(tokens)
-    rows = docs.repartition("doc_id").select("doc_id", "label", words.alias("tokens"), F.coalesce(F.size(words), F.lit(0)).alias("size"))
-    rows = rows.select("doc_id", "label", "size", F.explode_outer("tokens").alias("feature"))
-    return rows.groupBy("doc_id", "label", "size", "feature").agg(F.count("*").alias("n"))
+    rows = docs.repartition("doc_id").select("doc_id", "label", _runs(words).alias("runs"), F.greatest(F.size(words), F.lit(0)).alias("size"))
+    rows = rows.select("doc_id", "label", F.col("size").cast("long").alias("size"), F.explode_outer("runs").alias("run")).select("doc_id", "label", "size", "run.feature", "run.n")
+    if twice.isEmpty():
+        return rows
+    shared = F.col("doc_id").eqNullSafe(F.col("twice_id"))
+    many = docs.join(twice, shared, "left_semi").select("doc_id", "label", _words(tokens).alias("tokens"))
+    sizes = many.groupBy("doc_id").agg(F.sum(F.greatest(F.size("tokens"), F.lit(0))).alias("size")).withColumnRenamed("doc_id", "size_id")
+    many = many.select("doc_id", "label", F.explode_outer("tokens").alias("feature")).groupBy("doc_id", "label", "feature").agg(F.count("feature").alias("n"))
+    many = many.join(sizes, F.col("doc_id").eqNullSafe(F.col("size_id"))).select("doc_id", "label", "size", "feature", "n")
+    return rows.join(twice, shared, "left_anti").unionByName(many)
 
 
 def term_counts(docs: DataFrame, tokens: str | Column = "tokens") -> DataFrame:

@@ -173,6 +173,19 @@ def test_large_vocabularies_are_not_broadcast(spark, monkeypatch):
             assert "SortMergeJoin [feature" in x._jdf.queryExecution().executedPlan().toString()
 
 
+def test_counts_of_awkward_documents(spark):
+    rows = [(1, 1, ["b", "a", "b", ""]), (1, 1, ["a"]), (2, 0, []), (3, 0, None), (None, -1, ["é", "é"]), (None, -1, ["z"]), (4, 1, ["", ""]), (5, 1, ["a"])]
+    df = spark.createDataFrame(rows, "doc_id int, label int, tokens array<string>")
+    assert sorted(map(tuple, WT.term_counts(df).collect()), key=str) == sorted([(1, 1, "a", 2), (1, 1, "b", 2), (None, -1, "é", 2), (None, -1, "z", 1), (5, 1, "a", 1)], key=str)
+    assert {(r.doc_id, r.feature): r.tf for r in WT.tf(df).collect()} == {(1, "a"): 0.5, (1, "b"): 0.5, (None, "é"): pytest.approx(2 / 3), (None, "z"): pytest.approx(1 / 3), (5, "a"): 1}
+
+
+def test_counting_holds_no_table_of_words(spark):
+    df = spark.createDataFrame([(1, 1, ["a", "b", "a"]), (2, 0, ["a"])], "doc_id int, label int, tokens array<string>")
+    for f in (WT.term_counts, WT.tf):
+        assert "Aggregate" not in f(df)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_vector_lines_read_documents_twice(spark):
     from lodestone.plans.queries import QUERIES
 
