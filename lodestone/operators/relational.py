@@ -31,6 +31,35 @@ def join_on(left: DataFrame, right: DataFrame, *conditions: Column) -> DataFrame
     return left.join(right, all_of(*conditions)) if conditions else left.crossJoin(right)
 
 
+#: Rows that a task works on for long, and pairs that a task of a join makes, about. Rows of a table that is broadcast, at most.
+ROWS, PAIRS, BROADCAST = 10_000, 2_000_000, 100_000
+
+
+def dealt(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df over as many tasks as its rows ask for: a small file is one task, however long its rows take."""
+    tasks = -(-df.count() // (rows or ROWS))
+    return df.repartition(tasks) if tasks > 1 else df
+
+
+def join_few(left: DataFrame, right: DataFrame, left_key: str, right_key: str, *conditions: Column) -> DataFrame:
+    """Inner join by keys of few values, with many rows of each on both sides: dealt by the number of pairs, not of rows or keys.
+
+    conditions on one side alone go first (filter that side); all others may name both. A small right side is broadcast; a
+    larger one is sent to each part of a key's rows. Column names of the sides differ.
+    """
+    counts = [df.groupBy(F.col(k).alias(f"{side}_key")).agg(F.count("*").alias(side)) for side, df, k in (("a", left, left_key), ("b", right, right_key))]
+    pairs, keys, most = counts[0].join(counts[1], F.col("a_key") == F.col("b_key")).agg(F.sum(F.col("a").cast("double") * F.col("b")), F.count("*"), F.max(F.col("a").cast("double") * F.col("b"))).first()
+    tasks, same = int(-(-(pairs or 0) // PAIRS)), F.col(left_key) == F.col(right_key)
+    if tasks < 2:
+        return join_on(left, right, same, *conditions)
+    if right.count() <= BROADCAST:
+        return join_on(left.repartition(tasks), F.broadcast(right), same, *conditions)
+    salts = max(1, int(-(-most // PAIRS)))
+    salted = left.withColumn("_salt_a", F.pmod(F.xxhash64(*left.columns), F.lit(salts))).repartition(tasks, left_key, "_salt_a")
+    copies = right.withColumn("_salt_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))).repartition(tasks, right_key, "_salt_b")
+    return join_on(salted, copies.hint("merge"), same, F.col("_salt_a") == F.col("_salt_b"), *conditions).drop("_salt_a", "_salt_b")
+
+
 def product(tables: list[DataFrame], *conditions: Column) -> DataFrame:
     """Joins of several tables. Conditions go into one filter: Catalyst makes equi joins of them and pushes the rest down."""
     out = reduce(lambda a, b: a.crossJoin(b), tables)

@@ -158,7 +158,7 @@ def join_cross(spark, d):
 @query("SELECT a.s_suppkey AS left_key, b.s_suppkey AS right_key FROM supplier a, supplier b WHERE a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey")
 def join_self(spark, d):
     a, b = (t(spark, d, "supplier").select(F.col("s_suppkey").alias(f"{k}_key"), F.col("s_nationkey").alias(f"{k}_nation")) for k in ("left", "right"))
-    return R.join_on(a, b, F.col("left_nation") == F.col("right_nation"), F.col("left_key") < F.col("right_key")).select("left_key", "right_key")
+    return R.join_few(a, b, "left_nation", "right_nation", F.col("left_key") < F.col("right_key")).select("left_key", "right_key")
 
 
 @query("SELECT n_name, r_name FROM nation, region WHERE n_name > r_name")
@@ -169,8 +169,8 @@ def join_strings(spark, d):
 
 @query("SELECT p_partkey, s_suppkey FROM part, supplier WHERE p_size = s_nationkey AND NOT p_brand = 'Brand#2'")
 def join_mixed_filter(spark, d):
-    p, s = t(spark, d, "part"), t(spark, d, "supplier")
-    return R.join_on(p, s, p.p_size == s.s_nationkey, ~(p.p_brand == "Brand#2")).select("p_partkey", "s_suppkey")
+    p, s = t(spark, d, "part").select("p_partkey", "p_size", "p_brand"), t(spark, d, "supplier").select("s_suppkey", "s_nationkey")
+    return R.join_few(p.where(~(p.p_brand == "Brand#2")), s, "p_size", "s_nationkey").select("p_partkey", "s_suppkey")
 
 
 @query("SELECT o_orderkey, c_name, n_name FROM orders, customer, nation WHERE o_custkey = c_custkey AND c_nationkey = n_nationkey AND o_totalprice > 1000")
@@ -187,9 +187,9 @@ def cross_three(spark, d):
 
 @query("SELECT p_partkey, s_suppkey FROM part, supplier WHERE p_size = s_nationkey AND (p_size < 5 OR s_acctbal > 5000 AND p_brand = 'Brand#2')")
 def join_or_tree(spark, d):
-    p, s = t(spark, d, "part"), t(spark, d, "supplier")
-    either = R.any_of(p.p_size < 5, R.all_of(s.s_acctbal > 5000, p.p_brand == "Brand#2"))
-    return R.join_on(p, s, p.p_size == s.s_nationkey, either).select("p_partkey", "s_suppkey")
+    p, s = t(spark, d, "part").select("p_partkey", "p_size", "p_brand"), t(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    either = R.any_of(F.col("p_size") < 5, R.all_of(F.col("s_acctbal") > 5000, F.col("p_brand") == "Brand#2"))
+    return R.join_few(p.where((p.p_size < 5) | (p.p_brand == "Brand#2")), s, "p_size", "s_nationkey", either).select("p_partkey", "s_suppkey")
 
 
 @query("SELECT n_name, r_name FROM nation, region WHERE n_regionkey = r_regionkey OR n_nationkey < 3 AND r_name > 'B'")

@@ -186,6 +186,30 @@ def test_counting_holds_no_table_of_words(spark):
         assert "Aggregate" not in f(df)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_joins_by_few_keys_are_dealt_by_pairs(spark, monkeypatch):
+    a = spark.createDataFrame([(k, k % 3 or None) for k in range(90)] + [(7, 1)], "x int, a int").coalesce(1)
+    b = spark.createDataFrame([(k, k % 4 or None) for k in range(60)], "y int, b int").coalesce(1)
+    want = sorted(R.join_on(a, b, F.col("a") == F.col("b"), F.col("x") < F.col("y")).collect())
+    monkeypatch.setattr(R, "PAIRS", 100)
+    for most in (100, 0):
+        monkeypatch.setattr(R, "BROADCAST", most)
+        got = R.join_few(a, b, "a", "b", F.col("x") < F.col("y"))
+        assert got.columns == ["x", "a", "y", "b"] and sorted(got.collect()) == want
+        parts = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(parts) > 3 and sum(parts) == len(want)
+    assert R.join_few(a, b.where("b > 9"), "a", "b").count() == 0
+
+
+def test_few_files_are_many_tasks(spark, monkeypatch):
+    from lodestone.plans.queries import QUERIES
+
+    monkeypatch.setattr(R, "ROWS", 500)
+    monkeypatch.setattr(R, "PAIRS", 50)
+    for name in ("join_mixed_filter", "join_or_tree", "join_self"):
+        rows = QUERIES[name](spark, "/root/testdata/sf0.01")
+        assert rows.groupBy(F.spark_partition_id()).count().count() > 1, name
+
+
 def test_vector_lines_read_documents_twice(spark):
     from lodestone.plans.queries import QUERIES
 
