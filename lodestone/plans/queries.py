@@ -373,12 +373,12 @@ def xml_escape_references(spark, d):
 
 @query("SELECT p_partkey, p_name || ' &quot;a&quot; &amp; &apos;b&apos; &lt;c&gt;' AS escaped FROM part")
 def xml_escape_quotes(spark, d):
-    return t(spark, d, "part").select("p_partkey", xml.escape(F.concat("p_name", F.lit(" \"a\" & 'b' <c>")), quotes=True).alias("escaped"))
+    return R.dealt(t(spark, d, "part")).select("p_partkey", xml.escape(F.concat("p_name", F.lit(" \"a\" & 'b' <c>")), quotes=True).alias("escaped"))
 
 
 @query("SELECT p_partkey, p_name || ' é < \"' AS plain FROM part")
 def xml_unescape_html(spark, d):
-    return t(spark, d, "part").select("p_partkey", xml.unescape_html(F.concat("p_name", F.lit(" &eacute; &#60; &#x22;"))).alias("plain"))
+    return R.dealt(t(spark, d, "part")).select("p_partkey", xml.unescape_html(F.concat("p_name", F.lit(" &eacute; &#60; &#x22;"))).alias("plain"))
 
 
 @query("SELECT p_partkey, p_brand AS brand, p_name || ' > it''s & so' AS note, p_type || ' \"x\"' AS other, p_size::VARCHAR AS bare FROM part")
@@ -386,7 +386,7 @@ def xml_attr(spark, d):
     # Decoys: a longer tag name, tags in a comment and in CDATA, a name within a value, quotes of the other kind, > in values.
     decoys = F.lit("<part-list brand='no'/><!-- <part brand='no'/> --><![CDATA[<part brand='no'>]]>")
     text = F.concat(F.lit("<a>"), decoys, F.lit("<part other='"), F.col("p_type"), F.lit(" \"x\"' hint=\" brand='no'\" note=\""), F.col("p_name"), F.lit(" > it's &amp; so\" brand='"), F.col("p_brand"), F.lit("' bare="), F.col("p_size").cast("string"), F.lit(">x</part></a>"))
-    return t(spark, d, "part").select("p_partkey", *(xml.attribute(text, "part", k).alias(k) for k in ("brand", "note", "other", "bare")))
+    return R.dealt(t(spark, d, "part")).select("p_partkey", *(xml.attribute(text, "part", k).alias(k) for k in ("brand", "note", "other", "bare")))
 
 
 @query("SELECT page_id, array_to_string(list_filter(list_transform(string_split(regexp_replace(html, '<!--.*?-->|<!\\[CDATA\\[.*?\\]\\]>|<\\?.*?\\?>|<![^>]*>', '', 'gs'), '<')[2:], lambda x: regexp_extract(x, '^([A-Za-z_:][^\\s/>]*)[^<]*>', 1)), lambda x: x <> ''), ',') AS tags FROM pages")
@@ -398,7 +398,7 @@ def xml_elements(spark, d):
 def xml_walk(spark, d):
     size, key = F.col("p_size").cast("string"), F.col("p_partkey").cast("string")
     text = F.concat(F.lit("<?xml version='1.0'?><!DOCTYPE a><a><!-- <no> --><![CDATA[<no>]]><part"), size, F.lit(" k=\"x > <no>\"><b/><c x='>'>1 &lt; 2</c></part"), size, F.lit("><part n="), key, F.lit("><d/></part></a>"))
-    return t(spark, d, "part").select("p_partkey", urls.joined(xml.elements(text)).alias("tags"))
+    return R.dealt(t(spark, d, "part")).select("p_partkey", urls.joined(xml.elements(text)).alias("tags"))
 
 
 @query("SELECT p_partkey, p_name AS name, p_brand || ' & ' || p_type AS second, 2 AS many, p_brand AS torn FROM part")
@@ -409,7 +409,7 @@ def xml_find(spark, d):
     # Ill formed: an element that nothing closes, a lone end tag, and no end of the whole.
     torn = F.concat(F.lit("<parts><lost><part></x><name>"), F.col("p_brand"), F.lit("</name></part></parts><rest>"))
     names = xml.find(built, "parts/part/name")
-    return t(spark, d, "part").select("p_partkey", names[0].alias("name"), names[1].alias("second"), F.size(names).alias("many"), F.get(xml.find(torn, "parts/part/name"), F.lit(0)).alias("torn"))
+    return R.dealt(t(spark, d, "part")).select("p_partkey", names[0].alias("name"), names[1].alias("second"), F.size(names).alias("many"), F.get(xml.find(torn, "parts/part/name"), F.lit(0)).alias("torn"))
 
 
 _HEAD, _TAIL = "'<parts><part brand=\"' || p_brand || '\">'", "'</part><part>x</part></parts>'"
@@ -426,21 +426,21 @@ def xml_edit(spark, d):
         "removed": xml.remove_element(text, "parts/part/a"), "data": xml.set_data(text, "parts/part/b", F.lit("1 < 2")), "changed": xml.set_attribute(text, "parts/part", "brand", F.lit("it's")),
         "added": xml.set_attribute(text, "parts/part", "size", size), "appended": xml.add_child(text, "parts/part", xml.element("c", size)), "nested": xml.add_child(text, "parts/part/b", F.lit("<c/>")),
     }
-    return t(spark, d, "part").select("p_partkey", *(v.alias(k) for k, v in made.items()))
+    return R.dealt(t(spark, d, "part")).select("p_partkey", *(v.alias(k) for k, v in made.items()))
 
 
 @query("SELECT p_partkey, true AS whole, false AS cut, NULL::VARCHAR AS none, 'mismatched tag: line 1, column ' || (8 + length(p_brand)) AS fault FROM part")
 def xml_well_formed(spark, d):
     built = xml.element("part", xml.cdata(F.col("p_name")), brand=F.col("p_brand"))
     wrong = F.concat(F.lit("<a><b>"), F.col("p_brand"), F.lit("</a>"))
-    return t(spark, d, "part").select("p_partkey", xml.well_formed(built).alias("whole"), xml.well_formed(F.concat(built, F.lit("<"))).alias("cut"), xml.fault(built).alias("none"), xml.fault(wrong).alias("fault"))
+    return R.dealt(t(spark, d, "part")).select("p_partkey", xml.well_formed(built).alias("whole"), xml.well_formed(F.concat(built, F.lit("<"))).alias("cut"), xml.fault(built).alias("none"), xml.fault(wrong).alias("fault"))
 
 
 @query("""SELECT p_partkey, k.kind, k.name, CASE k.value WHEN 'brand' THEN 'brand="' || p_brand || '"' WHEN 'name' THEN p_name ELSE k.value END AS value, k.depth FROM part, (VALUES ('element', 'part', 'brand', 0), ('cdata', NULL, 'name', 1),
   ('comment', NULL, ' c ', 1), ('element', 'lost', '', 1), ('text', NULL, 'a & b', 1), ('pi', 'go', 'on now', 1), ('element', 'b', '', 1), ('text', NULL, 'x', 2)) k(kind, name, value, depth)""")
 def xml_nodes(spark, d):
     built = xml.element("part", xml.cdata(F.col("p_name")), F.lit("<!-- c --><lost>a &amp; b<?go on now?></no><b>x</b>"), brand=F.col("p_brand"))
-    rows = t(spark, d, "part").select("p_partkey", F.explode(xml.nodes(built)).alias("k"))
+    rows = R.dealt(t(spark, d, "part")).select("p_partkey", F.explode(xml.nodes(built)).alias("k"))
     return rows.select("p_partkey", "k.kind", "k.name", "k.value", "k.depth")
 
 
@@ -448,7 +448,7 @@ def xml_nodes(spark, d):
 def xml_bytes(spark, d):
     text = F.concat(F.lit("<a>é "), F.col("p_name"), F.lit("</a>"))
     latin, wide = F.encode(F.concat(F.lit("<?xml version='1.0' encoding='iso-8859-1'?>"), text), "ISO-8859-1"), F.encode(text, "UTF-16LE")
-    rows = t(spark, d, "part").select("p_partkey", text.alias("text"), F.encode(text, "UTF-8").alias("bytes"), latin.alias("latin"), wide.alias("wide"))
+    rows = R.dealt(t(spark, d, "part")).select("p_partkey", text.alias("text"), F.encode(text, "UTF-8").alias("bytes"), latin.alias("latin"), wide.alias("wide"))
     back = xml.decoded(xml.encoded("text", F.lit("UTF-16BE")), F.lit("UTF-16BE"))
     found = {k: xml.encoding_of(F.col(c)) for k, c in (("plain", "bytes"), ("wide", "wide"), ("latin", "latin"))}
     return rows.select("p_partkey", *(v.alias(k) for k, v in found.items()), back.alias("back"), xml.is_utf8(F.col("bytes")).alias("utf8"), xml.is_utf8(F.col("latin")).alias("other"))

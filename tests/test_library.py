@@ -205,7 +205,7 @@ def test_few_files_are_many_tasks(spark, monkeypatch):
 
     monkeypatch.setattr(R, "ROWS", 500)
     monkeypatch.setattr(R, "PAIRS", 50)
-    for name in ("join_mixed_filter", "join_or_tree", "join_self"):
+    for name in ("xml_edit", "join_mixed_filter", "join_or_tree", "join_self"):
         rows = QUERIES[name](spark, "/root/testdata/sf0.01")
         assert rows.groupBy(F.spark_partition_id()).count().count() > 1, name
 
