@@ -32,9 +32,14 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def labelled(spark: SparkSession, d: str) -> DataFrame:
-    """doc_id, label (quality 1: +1, 0: -1, none: 0), text of documents."""
+    """doc_id, label (quality 1: +1, 0: -1, none: 0), text of documents.
+
+    Texts are dealt by doc_id, as the weights need them, and meet their labels there. The hint is needed: labels are so small on
+    disk that Spark would broadcast millions of them, once for each time that documents are read.
+    """
     label = F.coalesce(F.when(F.col("quality") == 1, 1).when(F.col("quality") == 0, -1), F.lit(0))
-    rows = t(spark, d, "documents").select("doc_id", "text").join(t(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    labels = t(spark, d, "labels").select("doc_id", "quality").hint("shuffle_hash")
+    rows = t(spark, d, "documents").select("doc_id", "text").repartition("doc_id").join(labels, "doc_id", "left")
     return rows.select("doc_id", label.alias("label"), "text")
 
 

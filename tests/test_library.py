@@ -217,6 +217,16 @@ def test_vector_lines_read_documents_twice(spark):
     assert plan.count("documents.parquet") <= 1 and plan.count("SortMergeJoin") <= 1
 
 
+def test_labels_are_not_broadcast(spark):
+    from lodestone.plans.queries import QUERIES
+
+    for name in ("term_counts", "tf_weights", "tfidf_weights", "vector_lines", "train_split", "predict_split"):
+        plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+        # Broadcasts of features stay; texts are dealt once, where they meet their labels.
+        assert plan.count("ShuffledHashJoin [doc_id") == plan.count("documents.parquet") == plan.count("REPARTITION_BY_COL") == 1, name
+        assert plan.count("BroadcastExchange") == (name != "term_counts"), name
+
+
 def test_intermediate_tables_go(spark):
     rows = shared.written(spark.range(5).toDF("k"))
     path = rows.inputFiles()[0].removeprefix("file:").rpartition("/")[0]
