@@ -1,11 +1,11 @@
-"""LM scoring: a causal self-attention model on subword ids, trained in numpy, mixed with what follows what in all training
-rows, beside a unigram base."""
+"""LM scoring: a causal self-attention model on subword ids, trained in numpy by tasks over all training rows, mixed with what
+follows what in them, beside a unigram base."""
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -22,8 +22,12 @@ BLOCK = 8_000_000
 WIDTH, WINDOW, OVERLAP = 32, 16, 5
 #: Classes of subwords, and subwords in each. Rarer subwords are one class more, spread by their corpus counts.
 CLASSES, MEMBERS = 32, 32
-#: Documents that the model is trained on (at most), steps, and windows in a step.
+#: Steps (at least: small tables are passed more than once), and windows in a step; documents that train() takes, at most.
 SAMPLE, STEPS, BATCH = 1500, 2000, 128
+#: Where tables are passed once: windows in a step, and rounds of tasks after whose last step the weights are averaged.
+LARGE, ROUNDS = 512, 3
+#: The mixture's weights are fitted to logarithms of ratios, by so many steps in each direction, BINS over 2 * RANGE in all.
+BINS, RANGE = 512, 16
 #: Windows scored at once, and parts in which counts of subwords after others are summed.
 AT_ONCE, SLICES = 1024, 64
 
@@ -97,37 +101,61 @@ class Seen:
 
     @classmethod
     def fitted(cls, model: Attention, counts: np.ndarray, texts: list[np.ndarray], end: int) -> Seen:
-        """counts as _contexts has them. Witten-Bell probabilities of the counts over the model's are mixed with the model's own.
-
-        The mixture's weights, by the size of the count before, fit texts of the training rows, each target left out of the counts.
-        """
-        n, slot = CLASSES * MEMBERS + 1, model.slot
-        pairs, rare = counts[: n * n].reshape(n, n), counts[n * n :].reshape(CLASSES + 1, end + 1)
-        total, kinds = pairs.sum(axis=1), np.maximum(1, (pairs > 0).sum(axis=1))
+        """counts as _contexts has them; the mixture fits texts of the training rows (see mixed)."""
+        slot, context = model.slot, Context.of(counts)
         target, given = _stream(np.concatenate(texts), np.array([*map(len, texts)]), end)
         at, own = windows(np.array([len(t) + 1 for t in texts]))
         np.minimum(at, len(target) - 1, out=at)
-        bucket, share = np.log2(total + 1).astype(np.int64), np.full(64, 0.5)
-        before, a, b = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)]
+        met = np.zeros(64 * BINS)
         for i in range(0, len(at), AT_ONCE):
             part, wanted = at[i : i + AT_ONCE], own[i : i + AT_ONCE]
             goal, last = target[part[wanted]], slot[given[part[wanted]]]
             p = model.log_probs(given[part], target[part], wanted).astype(np.float64)
-            p = np.exp(p - np.where(slot[goal] == n - 1, model.rare[goal], 0))
-            seen = pairs[last, slot[goal]]
-            left, many = np.maximum(seen - 1, 0), np.maximum(1, kinds[last] - (seen == 1))
-            a.append(p)
-            b.append((left + many * p) / (np.maximum(total[last] - 1, 0) + many))
-            before.append(bucket[last])
-        where, a, b = np.concatenate(before), np.concatenate(a), np.concatenate(b)
+            p -= np.where(slot[goal] == CLASSES * MEMBERS, model.rare[goal], 0)
+            met += context.met(last, slot[goal], p)
+        return cls.mixed(model, counts, met, end)
+
+    @classmethod
+    def mixed(cls, model: Attention, counts: np.ndarray, met: np.ndarray, end: int) -> Seen:
+        """Witten-Bell probabilities of the counts over the model's are mixed with the model's own.
+
+        The mixture's weights, by the size of the count before, fit the targets whose ratios were met (see Context).
+        """
+        context, met, share = Context.of(counts), met.reshape(64, BINS), np.full((64, 1), 0.5)
+        rare = counts[context.pairs.size :].reshape(CLASSES + 1, end + 1)
+        ratio = np.exp((np.arange(BINS) + 0.5) * (2 * RANGE / BINS) - RANGE)
         for _ in range(20):
-            part = share[where] * b
-            part /= np.maximum(1e-300, part + (1 - share[where]) * a)
-            share = (np.bincount(where, part, 64) + 1) / (np.bincount(where, minlength=64) + 2)
-        share = share[bucket]
+            part = met * (share * ratio / (share * ratio + 1 - share))
+            share = (part.sum(axis=1, keepdims=True) + 1) / (met.sum(axis=1, keepdims=True) + 2)
+        share, total, kinds = share[context.bucket, 0], context.total, context.kinds
         low = np.maximum(1, (rare > 0).sum(axis=1, keepdims=True))
         spread = np.log((rare + low * np.exp(model.rare)) / (rare.sum(axis=1, keepdims=True) + low))
-        return cls((pairs * (share / (total + kinds))[:, None]).astype(np.float32), 1 - share + share * kinds / (total + kinds), spread.astype(np.float32))
+        return cls((context.pairs * (share / (total + kinds))[:, None]).astype(np.float32), 1 - share + share * kinds / (total + kinds), spread.astype(np.float32))
+
+
+@dataclass
+class Context:
+    """Counts of what follows what: how much likelier than by the model a target is by them, when it is left out itself."""
+
+    pairs: np.ndarray
+    total: np.ndarray
+    kinds: np.ndarray
+    bucket: np.ndarray
+
+    @classmethod
+    def of(cls, counts: np.ndarray) -> Context:
+        n = CLASSES * MEMBERS + 1
+        pairs = counts[: n * n].reshape(n, n)
+        total = pairs.sum(axis=1)
+        return cls(pairs, total, np.maximum(1, (pairs > 0).sum(axis=1)), np.log2(total + 1).astype(np.int64))
+
+    def met(self, last: np.ndarray, goal: np.ndarray, log_p: np.ndarray) -> np.ndarray:
+        """How many targets (slots, after the slots last, with the model's log probabilities) have which ratio, by bucket."""
+        p, seen = np.exp(np.maximum(log_p, -60.0)), self.pairs[last, goal]
+        left, many = np.maximum(seen - 1, 0), np.maximum(1, self.kinds[last] - (seen == 1))
+        ratio = np.log((left + many * p) / (np.maximum(self.total[last] - 1, 0) + many) / p)
+        at = np.clip((ratio + RANGE) * (BINS / (2 * RANGE)), 0, BINS - 1).astype(np.int64)
+        return np.bincount(self.bucket[last] * BINS + at, minlength=64 * BINS)
 
 
 @dataclass
@@ -148,10 +176,12 @@ class Attention:
         q, k, v = (x.reshape(-1, d) @ w["qkv"]).reshape(n, length, 3, d).transpose(2, 0, 1, 3)
         a = q @ k.transpose(0, 2, 1)
         a *= np.float32(d**-0.5)
-        a += MASK
-        a -= a.max(axis=2, keepdims=True)
+        if a.max() > HIGH:
+            a += MASK
+            a -= a.max(axis=2, keepdims=True)
         np.exp(a, out=a)
-        a /= a.sum(axis=2, keepdims=True)
+        a *= SEEN
+        a /= (a.reshape(-1, length) @ np.ones(length, np.float32)).reshape(n, length, 1)
         z = a @ v
         return q, k, v, a, z, x + (z.reshape(-1, d) @ w["out"]).reshape(x.shape)
 
@@ -220,18 +250,19 @@ SEEN = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
 
 
-def windows(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def windows(size: np.ndarray, overlap: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Places of all windows over texts of so many targets, and which of them a window scores: each target once.
 
-    The first window scores all of its positions, each later one those after its first OVERLAP.
+    The first window scores all of its positions, each later one those after its first OVERLAP (or overlap).
     """
-    step = WINDOW - OVERLAP
+    overlap = OVERLAP if overlap is None else overlap
+    step = WINDOW - overlap
     many = 1 + np.maximum(0, -(-(size - WINDOW) // step))
     end = np.cumsum(size)
     nth = _rows(np.zeros(len(size), np.int64), many)
     at = (np.repeat(end - size, many) + nth * step)[:, None] + np.arange(WINDOW)
     own = at < np.repeat(end, many)[:, None]
-    own[:, :OVERLAP] &= (nth == 0)[:, None]
+    own[:, :overlap] &= (nth == 0)[:, None]
     return at, own
 
 
@@ -256,13 +287,19 @@ def scores(model: Attention, ids: np.ndarray, size: np.ndarray, end: int) -> np.
     for i in range(0, len(at), AT_ONCE):
         part, wanted = at[i : i + AT_ONCE], own[i : i + AT_ONCE]
         got[part[wanted]] = model.log_probs(given[part], target[part], wanted)
-    return np.add.reduceat(got, after - size) / np.log(10)
+    out = np.add.reduceat(got, after - size) / np.log(10)
+    if (size == 0).any():
+        # Texts of an end only are alike in all blocks: one window, taken by itself.
+        alone = np.full((1, WINDOW), end)
+        out[size == 0] = model.log_probs(alone, alone, np.arange(WINDOW)[None] == 0)[0] / np.log(10)
+    return out
 
 
-def _classes(given: np.ndarray, target: np.ndarray, n: int) -> np.ndarray:
-    """n subwords, numbered 0 to n - 1, in an order in which those that follow the same ones stand together."""
-    seen = np.zeros((n + 1, n + 1))
-    np.add.at(seen, (np.minimum(target, n), np.minimum(given, n)), 1)
+def _classes(seen: np.ndarray, n: int) -> np.ndarray:
+    """n subwords, numbered 0 to n - 1, in an order in which those that follow the same ones stand together.
+
+    seen: how often each (and all others, as number n) follows each.
+    """
     like = np.sqrt(seen[:n] / np.maximum(1, seen[:n].sum(axis=1, keepdims=True)))
     left, value, _ = np.linalg.svd(like - like.mean(axis=0), full_matrices=False)
     place = left[:, :8] * value[:8]
@@ -278,18 +315,21 @@ def _classes(given: np.ndarray, target: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate(halves(np.arange(n), CLASSES))
 
 
-def train(texts: list[np.ndarray], counts: np.ndarray, seed: int = 1) -> Attention:
-    """The model of texts (subword ids) by Adam; counts: of each subword and the end, in the whole training corpus."""
-    draw, end, n, d = np.random.default_rng(seed), len(counts) - 1, CLASSES * MEMBERS, WIDTH
+def _first(counts: np.ndarray) -> np.ndarray:
+    """Numbers of the most frequent subwords, the end being 0; all others have one number more."""
+    end, n = len(counts) - 1, CLASSES * MEMBERS
     order = np.argsort(-counts, kind="stable")
-    common = np.concatenate([[end], order[order != end][: n - 1]])
-    first = np.full(len(counts), n, np.int64)
-    first[common] = np.arange(n)
-    size = np.array([len(t) + 1 for t in texts])
-    target = np.concatenate([np.append(t, end) for t in texts])
-    given = np.concatenate([[end], target[:-1]])
-    slot = np.full(len(counts), n, np.int32)
-    slot[common[_classes(first[given], first[target], n)]] = np.arange(n)
+    first = np.full(len(counts), n, np.int32)
+    first[np.concatenate([[end], order[order != end][: n - 1]])] = np.arange(n)
+    return first
+
+
+def begun(counts: np.ndarray, seen: np.ndarray, seed: int = 1) -> Attention:
+    """The model before training. counts: of each subword and the end; seen: of what follows what by _first (see _classes)."""
+    draw, n, d = np.random.default_rng(seed), CLASSES * MEMBERS, WIDTH
+    place, first = np.full(n + 1, n, np.int32), _first(counts)
+    place[_classes(seen, n)] = np.arange(n)
+    slot = place[first]
     tail = np.where(slot == n, counts + 0.5, 0)
     rare = np.log(np.maximum(tail, 1e-30) / tail.sum())
     # Biases begin at the corpus's own frequencies.
@@ -301,59 +341,109 @@ def train(texts: list[np.ndarray], counts: np.ndarray, seed: int = 1) -> Attenti
         "class": draw.normal(0, 0.1, (d, CLASSES + 1)), "class_bias": np.log(classes / classes.sum()), "member": draw.normal(0, 0.1, (CLASSES, d, MEMBERS)), "member_bias": np.log(members / members.sum(axis=1, keepdims=True)),
     }
     w = {k: v.astype(np.float32) for k, v in w.items()}
-    model = Attention(slot, rare, w)
-    at, own = windows(size)
+    return Attention(slot, rare, w)
+
+
+def train(texts: list[np.ndarray], counts: np.ndarray, seed: int = 1) -> Attention:
+    """The model of a few texts (subword ids), in one process; counts: of each subword and the end, in the whole training corpus."""
+    texts, end, n, first = texts[:SAMPLE], len(counts) - 1, CLASSES * MEMBERS, _first(counts)
+    size = np.array([*map(len, texts)])
+    target, given = _stream(np.concatenate(texts), size, end)
+    seen = np.zeros((n + 1, n + 1))
+    np.add.at(seen, (first[target], first[given]), 1)
+    model, draw = begun(counts, seen, seed), np.random.default_rng(seed)
+    at, own = windows(size + 1)
     np.minimum(at, len(target) - 1, out=at)
+    picks = (draw.integers(0, len(at), BATCH) for _ in range(STEPS))
+    rates = (0.02 * min(1, t / 50) * (1 - 0.95 * t / STEPS) for t in range(1, STEPS + 1))
+    for _ in _adam(model, ((given[at[x]], target[at[x]], own[x]) for x in picks), rates):
+        pass
+    return model
+
+
+def _adam(model: Attention, batches: Iterable[tuple[np.ndarray, ...]], rates: Iterable[float]) -> Iterator[np.ndarray]:
+    """Changes the model's weights batch by batch, and gives each batch's log probabilities from before its step."""
+    w = model.weights
     m, s = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
-    for t in range(1, STEPS + 1):
-        pick = draw.integers(0, len(at), BATCH)
-        grad = _gradient(model, given[at[pick]], target[at[pick]], own[pick])
-        rate = 0.02 * min(1, t / 50) * (1 - 0.95 * t / STEPS)
+    for t, (batch, rate) in enumerate(zip(batches, rates, strict=False), 1):
+        grad, log_p = _gradient(model, *batch)
         for k, g in grad.items():
             m[k] += 0.1 * (g - m[k])
             s[k] += 0.01 * (g * g - s[k])
-            w[k] -= (rate * m[k] / (1 - 0.9**t) / (np.sqrt(s[k] / (1 - 0.99**t)) + 1e-6)).astype(np.float32)
-    return model
+            w[k] -= (rate / (1 - 0.9**t) * m[k] / (np.sqrt(s[k] * (1 / (1 - 0.99**t))) + np.float32(1e-6))).astype(np.float32)
+        yield log_p
+
 
+def learn(model: Attention, ids: np.ndarray, size: np.ndarray, end: int, context: Context, rates: tuple[float, float], passes: int, seed: int) -> np.ndarray:
+    """Passes over all windows of texts, each target once a pass; and which ratios the last pass met (see Context.met).
 
-def _gradient(model: Attention, ids: np.ndarray, target: np.ndarray, wanted: np.ndarray) -> dict[str, np.ndarray]:
-    """Of the mean loss over the positions wanted."""
-    w, d, total = model.weights, WIDTH, wanted.sum()
+    Each target's probability is that before the step that learns from it. The rate goes from the first of rates to the second.
+    """
+    draw, met = np.random.default_rng(seed), np.zeros(64 * BINS)
+    target, given = _stream(ids, size, end)
+    at, own = windows(size + 1, 0)
+    np.minimum(at, len(target) - 1, out=at)
+    batch = BATCH if passes > 1 else LARGE
+    steps = -(-len(at) // batch)
+    picks = [x for _ in range(passes) for order in [draw.permutation(len(at))] for x in np.array_split(order, steps)]
+    speed = (min(1, t / 50) * (rates[0] + (rates[1] - rates[0]) * t / len(picks)) for t in range(1, len(picks) + 1))
+    for t, log_p in enumerate(_adam(model, ((given[at[x]], target[at[x]], own[x]) for x in picks), speed)):
+        if t >= len(picks) - steps:
+            which = at[picks[t]][own[picks[t]]]
+            met += context.met(model.slot[given[which]], model.slot[target[which]], log_p)
+    return met
+
+
+def _gradient(model: Attention, ids: np.ndarray, target: np.ndarray, wanted: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Of the mean loss over the positions wanted; and their log probabilities, without the rare subwords' own."""
+    w, d, total = model.weights, WIDTH, float(wanted.sum())
     g = {k: np.zeros_like(v) for k, v in w.items()}
     slot_in = model.slot[ids]
     x = w["token"][slot_in] + w["place"]
     q, k, v, a, z, h_all = model._attend(x)
     h, slot = h_all[wanted], model.slot[target[wanted]]
-    kind = slot // MEMBERS
-
-    def softmax(logit: np.ndarray, goal: np.ndarray) -> np.ndarray:
-        p = np.exp(logit - logit.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(goal)), goal] -= 1
-        return p / total
+    order = np.argsort(slot, kind="stable")
+    h, slot = h[order], slot[order]
+    kind, log_p = slot // MEMBERS, np.zeros(len(slot))
 
-    p = softmax(h @ w["class"] + w["class_bias"], kind)
+    def softmax(logit: np.ndarray, goal: np.ndarray, some: slice) -> np.ndarray:
+        _lower(logit)
+        p = np.exp(logit, out=logit)
+        p /= (p @ np.ones(p.shape[1], np.float32))[:, None]
+        each = np.arange(len(goal))
+        log_p[some] += np.log(np.maximum(p[each, goal], 1e-30))
+        p[each, goal] -= 1
+        p /= total
+        return p
+
+    p = softmax(h @ w["class"] + w["class_bias"], kind, slice(None))
     g["class"], g["class_bias"] = h.T @ p, p.sum(axis=0)
     dh = p @ w["class"].T
+    ends = np.searchsorted(kind, np.arange(CLASSES + 1))
     for c in range(CLASSES):
-        at = np.flatnonzero(kind == c)
-        if len(at):
-            p = softmax(h[at] @ w["member"][c] + w["member_bias"][c], slot[at] - c * MEMBERS)
+        at = slice(ends[c], ends[c + 1])
+        if ends[c] < ends[c + 1]:
+            p = softmax(h[at] @ w["member"][c] + w["member_bias"][c], slot[at] - c * MEMBERS, at)
             g["member"][c], g["member_bias"][c] = h[at].T @ p, p.sum(axis=0)
             dh[at] += p @ w["member"][c].T
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    dh, log_p = dh[back], log_p[back]
     dx = np.zeros_like(x)
     dx[wanted] = dh
     g["out"] = z.reshape(-1, d).T @ dx.reshape(-1, d)
     dz = dx @ w["out"].T
     da, dv = dz @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dz
-    da = a * (da - (da * a).sum(axis=2, keepdims=True)) * d**-0.5
+    da -= ((da * a).reshape(-1, WINDOW) @ np.ones(WINDOW, np.float32)).reshape(len(a), WINDOW, 1)
+    da *= a
+    da *= np.float32(d**-0.5)
     dqkv = np.stack([da @ k, da.transpose(0, 2, 1) @ q, dv], axis=2).reshape(-1, 3 * d)
     g["qkv"] = x.reshape(-1, d).T @ dqkv
     dx += (dqkv @ w["qkv"].T).reshape(x.shape)
     g["place"] = dx.sum(axis=0)
     for j in range(d):
         g["token"][:, j] = np.bincount(slot_in.ravel(), dx[:, :, j].ravel(), len(g["token"]))
-    return g
+    return g, log_p
 
 
 # On Spark
@@ -459,15 +549,68 @@ def _contexts(blocks: DataFrame, slot: np.ndarray, end: int) -> np.ndarray:
     return out[:size]
 
 
+def _learned(blocks: DataFrame, model: Attention, counts: np.ndarray, end: int, positions: float) -> tuple[Attention, np.ndarray]:
+    """The model trained on all training rows, and the ratios met there (see Context); positions: targets of all of them.
+
+    One block is learned first. Then rounds of the others begin at the weights so far; each block is learned by itself, and the
+    weights that blocks come to are averaged by their numbers of targets. Each block has its turn in one round, so all rows are
+    learned from equally often. What tasks return is of fixed size, and Spark sums it by slices.
+    """
+    context, names = Context.of(counts), [*model.weights]
+    ends = np.cumsum([model.weights[k].size for k in names])
+    size, spark = int(ends[-1]) + 1 + 64 * BINS, blocks.sparkSession
+    width, met = -(-size // SLICES), np.zeros(64 * BINS)
+    context = spark.sparkContext.broadcast(context)
+    (least, many), turn = blocks.agg(F.min("block"), F.count("*")).first(), F.shiftright("block", 32) + F.col("block").bitwiseAND(0xFFFFFFFF)
+    passes = max(1, min(STEPS // max(1, many), -int(-STEPS * BATCH * WINDOW // max(1, positions))))
+    turns = [F.col("block") == least, *((F.col("block") != least) & (turn % ROUNDS == r) for r in range(ROUNDS))]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own[k] = own.get(k, 0) + np.frombuffer(x.as_buffer(), np.float64)
+        for k, x in own.items():
+            yield pa.record_batch([pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["slice", "sums"])
+
+    for r, mine in enumerate(turns if least is not None else []):
+        shared, rates = spark.sparkContext.broadcast(model), ((0.02, 0.01), (0.01, 0.006), (0.006, 0.003), (0.003, 0.0005))[r]
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, rates=rates) -> Iterator[pa.RecordBatch]:
+            out = np.zeros(width * SLICES)
+            for row in (batch.slice(i, 1) for batch in batches for i in range(batch.num_rows)):
+                train, many = row.column(0).flatten().to_numpy(zero_copy_only=False).astype(bool), row.column(1).flatten().to_numpy().astype(np.int64)
+                ids, many = _subwords_of(many, *(unpacked(row.column(c)[0], planes) for c, planes in ((2, 4), (3, 3), (4, 4))))
+                ids, many = ids[np.repeat(train, many)], many[train]
+                if len(many):
+                    own = replace(shared.value, weights={k: v.copy() for k, v in shared.value.weights.items()})
+                    n = float(many.sum() + len(many))
+                    out[ends[-1] + 1 : size] += learn(own, ids, many, end, context.value, rates, passes, row.column(5)[0].as_py() % (1 << 32))
+                    out[: ends[-1]] += n * np.concatenate([own.weights[k].ravel() for k in names])
+                    out[ends[-1]] += n
+            if out[ends[-1]]:
+                for k in range(SLICES):
+                    yield pa.record_batch([pa.array([k], pa.int32()), pa.array([out[k * width : (k + 1) * width].tobytes()], pa.binary())], names=["slice", "sums"])
+
+        schema, sums = "slice int, sums binary", np.zeros(width * SLICES)
+        parts = blocks.where(mine).select("train", "sizes", "places", "pieces", "lengths", "block").mapInArrow(run, schema)
+        for k, x in parts.repartition(SLICES, "slice").mapInArrow(add, schema).collect():
+            sums[k * width : (k + 1) * width] = np.frombuffer(x, np.float64)
+        if n := sums[ends[-1]]:
+            each = np.split((sums[: ends[-1]] / n).astype(np.float32), ends[:-1])
+            model = replace(model, weights={k: x.reshape(model.weights[k].shape) for k, x in zip(names, each, strict=True)})
+            met += sums[ends[-1] + 1 : size]
+    return model, met
+
+
 def score(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs (doc_id, text).
 
     Tokens are lower-cased (A-Z) words and one end. The base is a unigram model over all training rows: each block of texts
     lists its distinct words by a 64-bit hash; their counts are summed over the corpus and joined back to the blocks.
-    The model reads subwords. Its frequencies come from all training rows too, and so do the counts of what follows what
-    that its output is mixed with (see Seen), which cover the whole vocabulary; the attention's weights come from a sample
-    of at most SAMPLE rows. It is trained on the driver and broadcast with the vocabulary, both of fixed size. Each text is
-    scored whole, in windows that overlap, each subword once.
+    The model reads subwords. All of it comes from all training rows: frequencies, classes, the counts of what follows what
+    that its output is mixed with (see Seen), the mixture and the attention's weights (see _learned). It is trained by tasks, and
+    broadcast with the vocabulary, both of fixed size. Each text is scored whole, in windows that overlap, each subword once.
     Defined results: a null or empty text is its end alone. A null doc_id is not held out. Rows that repeat count each time
     and score alike (to the last places: windows of different blocks are multiplied in other groups). Very long texts are
     scored whole; bytes that are no UTF-8 are words like any others, and their subwords are of U+FFFD. Other columns,
@@ -488,16 +631,12 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
     # A row for each entry of the vocabulary at most.
     for k, n in blocks.select(F.explode(F.arrays_zip("piece_ids", "piece_counts")).alias("p")).groupBy("p.piece_ids").agg(F.sum("p.piece_counts")).collect():
         of[k] = n
-    some = docs.where(_training()).select("doc_id", "text").where("doc_id IS NOT NULL")
-    some = some.select(F.xxhash64("doc_id", "text").alias("h"), "doc_id").orderBy("h").limit(SAMPLE).distinct()
-    some = docs.where(_training()).select("doc_id", "text").join(F.broadcast(some.select("doc_id").distinct()), "doc_id").orderBy("doc_id", "text").limit(SAMPLE).toPandas()["text"]
-    texts = []
-    for x in some:
-        w = words(x.encode().lower() if x else None)
-        texts.append(coder.of(w)[0])
-    texts = texts or [np.zeros(0, np.int32)]
-    model = train(texts, of)
-    model.seen = Seen.fitted(model, _contexts(blocks, model.slot, coder.end), texts, coder.end)
+    n = CLASSES * MEMBERS + 1
+    seen = _contexts(blocks, _first(of), coder.end)[: n * n].reshape(n, n).T
+    model = begun(of, seen)
+    pairs = _contexts(blocks, model.slot, coder.end)
+    model, met = _learned(blocks, model, pairs, coder.end, float(of.sum()))
+    model.seen = Seen.mixed(model, pairs, met, coder.end)
     model = spark.sparkContext.broadcast(model)
 
     known = blocks.select("block", F.posexplode("hashes").alias("at", "hash")).join(counts, "hash").groupBy("block").agg(F.collect_list(F.struct("at", "n")).alias("known"))

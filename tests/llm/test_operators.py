@@ -271,6 +271,22 @@ def test_lm_learns_from_rows_outside_its_sample(spark, monkeypatch):
     assert held_out(texts) > held_out(texts[:60]) + 0.3
 
 
+def test_lm_attention_learns_from_all_training_rows(spark, monkeypatch):
+    """Every target of the training rows is met once by what fits weights and mixture, however rows are split, and no other."""
+    monkeypatch.setattr(lm, "STEPS", 20)
+    monkeypatch.setattr(lm, "BLOCK", 400)
+    monkeypatch.setattr(lm, "SAMPLE", 2)
+    targets, met, learned = [], [], lm._learned
+    monkeypatch.setattr(lm, "_learned", lambda blocks, model, counts, end, positions: [targets.append(positions), out := learned(blocks, model, counts, end, positions), met.append(out[1].sum())] and out)
+    rows = [(k, " ".join(f"w{k * j % 37}" for j in range(k % 50))) for k in range(200)] + [(None, "x y"), (201, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    coder = lm._subwords(open(lm.default_vocabulary()).read())
+    whole = sum(len(coder.of(words(t))[0]) + 1 for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 5 != 1)
+    for n in (1, 3):
+        assert lm.score(docs.repartition(n)).count() == len(rows)
+    assert targets == met == [whole, whole]
+
+
 def test_lm_mixed_with_counts_is_a_distribution(monkeypatch):
     monkeypatch.setattr(lm, "STEPS", 50)
     draw = np.random.default_rng(0)
