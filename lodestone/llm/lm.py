@@ -30,6 +30,8 @@ LARGE, ROUNDS = 512, 3
 BINS, RANGE = 512, 16
 #: Windows scored at once, and parts in which counts of subwords after others are summed.
 AT_ONCE, SLICES = 1024, 64
+#: Windows whose attention is computed together.
+CACHED = 64
 
 
 def default_vocabulary() -> str:
@@ -174,60 +176,63 @@ class Attention:
         w = self.weights
         n, length, d = x.shape
         q, k, v = (x.reshape(-1, d) @ w["qkv"]).reshape(n, length, 3, d).transpose(2, 0, 1, 3)
-        a = q @ k.transpose(0, 2, 1)
-        a *= np.float32(d**-0.5)
-        if a.max() > HIGH:
-            a += MASK
-            a -= a.max(axis=2, keepdims=True)
-        np.exp(a, out=a)
-        a *= SEEN
+        a = _shares(q @ k.transpose(0, 2, 1), np.float32(d**-0.5))
         a /= (a.reshape(-1, length) @ np.ones(length, np.float32)).reshape(n, length, 1)
         z = a @ v
         return q, k, v, a, z, x + (z.reshape(-1, d) @ w["out"]).reshape(x.shape)
 
+    def _hidden(self, slots: np.ndarray) -> np.ndarray:
+        """What _attend makes of windows of slots, for given weights: products with them are made once a slot, not once a position.
+
+        Windows go in parts that stay in a core's own cache.
+        """
+        w, (n, length), d = self.weights, slots.shape, WIDTH
+        by = np.concatenate([w["qkv"][:, :d] * np.float32(d**-0.5), w["qkv"][:, d : 2 * d], w["qkv"][:, 2 * d :] @ w["out"], np.eye(d, dtype=np.float32)], axis=1)
+        each, place, out, ones = w["token"] @ by, w["place"] @ by, np.empty((n, length, d), np.float32), np.ones(length, np.float32)
+        for i in range(0, n, CACHED):
+            x = np.take(each, slots[i : i + CACHED], axis=0)
+            x += place
+            a = _shares(x[:, :, :d] @ x[:, :, d : 2 * d].transpose(0, 2, 1), np.float32(1))
+            z = np.matmul(a, x[:, :, 2 * d : 3 * d], out=out[i : i + CACHED])
+            z /= (a.reshape(-1, length) @ ones).reshape(-1, length, 1)
+            z += x[:, :, 3 * d :]
+        return out.reshape(-1, d)
+
+    def _members(self, h: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Scores of the members of the classes that rows of h, in order of class, belong to: class c's rows end before ends[c + 1]."""
+        w, out = self.weights, np.empty((ends[CLASSES], MEMBERS), np.float32)
+        for c in np.flatnonzero(np.diff(ends[: CLASSES + 1])):
+            part = np.matmul(h[ends[c] : ends[c + 1]], w["member"][c], out=out[ends[c] : ends[c + 1]])
+            part += w["member_bias"][c]
+        return out
+
     def log_probs(self, ids: np.ndarray, target: np.ndarray, wanted: np.ndarray) -> np.ndarray:
         """Natural log probabilities of target (windows x WINDOW) at the positions wanted, in order.
 
         Scores are small numbers as a rule, and then sums of exponentials are taken as they are, by products with ones; where
         one could overflow, rows are first lowered by their maxima.
         """
-        w, (n, length) = self.weights, ids.shape
-        x = w["token"][self.slot[ids]]
-        x += w["place"]
-        qkv = (x.reshape(-1, WIDTH) @ w["qkv"]).reshape(n, length, 3, WIDTH)
-        a = (qkv[:, :, 0] * np.float32(WIDTH**-0.5)) @ qkv[:, :, 1].transpose(0, 2, 1)
-        if a.max() > HIGH:
-            a += MASK
-            a -= a.max(axis=2, keepdims=True)
-        np.exp(a, out=a)
-        a *= SEEN
-        z = a @ qkv[:, :, 2]
-        z /= (a.reshape(-1, length) @ np.ones(length, np.float32)).reshape(n, length, 1)
-        x += (z.reshape(-1, WIDTH) @ w["out"]).reshape(x.shape)
+        w, slots = self.weights, self.slot[ids]
         at = np.flatnonzero(wanted)
         goal = target.ravel()[at]
         slot = self.slot[goal]
         kind = (slot // MEMBERS).astype(np.uint8)
         order = np.argsort(kind, kind="stable")
         kind, slot, goal = kind[order], slot[order], goal[order]
-        h = x.reshape(-1, WIDTH)[at[order]]
+        h = np.take(self._hidden(slots), at[order], axis=0)
         logit = h @ w["class"]
         logit += w["class_bias"]
         _lower(logit)
-        out = np.take_along_axis(logit, kind[:, None].astype(np.int64), 1)[:, 0]
+        out = logit[np.arange(len(kind)), kind]
         out -= np.log(np.exp(logit, out=logit) @ np.ones(CLASSES + 1, np.float32))
-        ends, ones = np.searchsorted(kind, np.arange(CLASSES + 2)), np.ones(MEMBERS, np.float32)
-        for c in range(CLASSES):
-            some = slice(ends[c], ends[c + 1])
-            if ends[c] < ends[c + 1]:
-                logit = h[some] @ w["member"][c]
-                logit += w["member_bias"][c]
-                _lower(logit)
-                out[some] += np.take_along_axis(logit, (slot[some] - c * MEMBERS)[:, None].astype(np.int64), 1)[:, 0]
-                out[some] -= np.log(np.exp(logit, out=logit) @ ones)
+        ends = np.searchsorted(kind, np.arange(CLASSES + 2))
+        logit, few = self._members(h, ends), slice(ends[CLASSES])
+        _lower(logit)
+        out[few] += logit[np.arange(len(logit)), slot[few] - kind[few].astype(np.int64) * MEMBERS]
+        out[few] -= np.log(np.exp(logit, out=logit) @ np.ones(MEMBERS, np.float32))
         some = slice(ends[CLASSES], None)
         if self.seen:
-            before = self.slot[ids].ravel()[at[order]]
+            before = slots.ravel()[at[order]]
             out = np.log(np.maximum(1e-300, self.seen.pairs[before, slot] + self.seen.rest[before] * np.exp(out, dtype=np.float64)))
             out[some] += self.seen.rare[before[some] // MEMBERS, goal[some]]
         else:
@@ -246,6 +251,18 @@ def _lower(logit: np.ndarray) -> None:
         logit -= logit.max(axis=1, keepdims=True)
 
 
+def _shares(a: np.ndarray, scale: np.float32) -> np.ndarray:
+    """Exponentials of a times scale, of what may be seen, in place; rows are lowered first where one could overflow."""
+    if scale != 1:
+        a *= scale
+    if a.max(initial=0) > HIGH:
+        a += MASK
+        a -= a.max(axis=2, keepdims=True)
+    np.exp(a, out=a)
+    a *= SEEN
+    return a
+
+
 SEEN = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
 
@@ -275,8 +292,8 @@ def _stream(ids: np.ndarray, size: np.ndarray, end: int) -> tuple[np.ndarray, np
     return target, np.concatenate([np.array([end], np.int32), target[:-1]])  # a text begins after the end of the one before
 
 
-def scores(model: Attention, ids: np.ndarray, size: np.ndarray, end: int) -> np.ndarray:
-    """log10 probability of each text of the given sizes (its subwords, then the end)."""
+def scores(model: Attention, ids: np.ndarray, size: np.ndarray, end: int, alone: float | None = None) -> np.ndarray:
+    """log10 probability of each text of the given sizes (its subwords, then the end); alone: of an end only, if known."""
     if not len(size):
         return np.zeros(0)
     after = np.cumsum(size) + np.arange(len(size))
@@ -290,8 +307,8 @@ def scores(model: Attention, ids: np.ndarray, size: np.ndarray, end: int) -> np.
     out = np.add.reduceat(got, after - size) / np.log(10)
     if (size == 0).any():
         # Texts of an end only are alike in all blocks: one window, taken by itself.
-        alone = np.full((1, WINDOW), end)
-        out[size == 0] = model.log_probs(alone, alone, np.arange(WINDOW)[None] == 0)[0] / np.log(10)
+        ends = np.full((1, WINDOW), end)
+        out[size == 0] = model.log_probs(ends, ends, np.arange(WINDOW)[None] == 0)[0] / np.log(10) if alone is None else alone
     return out
 
 
@@ -397,53 +414,68 @@ def learn(model: Attention, ids: np.ndarray, size: np.ndarray, end: int, context
 def _gradient(model: Attention, ids: np.ndarray, target: np.ndarray, wanted: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """Of the mean loss over the positions wanted; and their log probabilities, without the rare subwords' own."""
     w, d, total = model.weights, WIDTH, float(wanted.sum())
-    g = {k: np.zeros_like(v) for k, v in w.items()}
+    g = {k: np.zeros_like(w[k]) for k in ("token", "place", "qkv", "out", "member", "member_bias")}
     slot_in = model.slot[ids]
-    x = w["token"][slot_in] + w["place"]
-    q, k, v, a, z, h_all = model._attend(x)
-    h, slot = h_all[wanted], model.slot[target[wanted]]
-    order = np.argsort(slot, kind="stable")
-    h, slot = h[order], slot[order]
-    kind, log_p = slot // MEMBERS, np.zeros(len(slot))
-
-    def softmax(logit: np.ndarray, goal: np.ndarray, some: slice) -> np.ndarray:
+    parts = [slice(i, i + CACHED) for i in range(0, len(ids), CACHED)]
+    x, hidden, held = np.take(w["token"], slot_in, axis=0), np.empty((*ids.shape, d), np.float32), []
+    for part in parts:
+        x[part] += w["place"]
+        *own, hidden[part] = model._attend(x[part])
+        held.append(own)
+    at, slot = np.flatnonzero(wanted), model.slot[target[wanted]]
+    order = np.argsort(slot.astype(np.int16), kind="stable")
+    at, slot = at[order], slot[order]
+    h, kind, log_p = np.take(hidden.reshape(-1, d), at, axis=0), slot // MEMBERS, np.empty(len(slot), np.float32)
+
+    def softmax(logit: np.ndarray, goal: np.ndarray) -> np.ndarray:
+        """Log probabilities of goal; logit turns into the gradient."""
         _lower(logit)
-        p = np.exp(logit, out=logit)
-        p /= (p @ np.ones(p.shape[1], np.float32))[:, None]
         each = np.arange(len(goal))
-        log_p[some] += np.log(np.maximum(p[each, goal], 1e-30))
-        p[each, goal] -= 1
-        p /= total
-        return p
-
-    p = softmax(h @ w["class"] + w["class_bias"], kind, slice(None))
+        own = logit[each, goal]
+        np.exp(logit, out=logit)
+        by = logit @ np.ones(logit.shape[1], np.float32)
+        own -= np.log(by)
+        by *= np.float32(total)
+        logit /= by[:, None]
+        logit[each, goal] -= np.float32(1 / total)
+        return np.maximum(own, np.float32(np.log(1e-30)))
+
+    p = h @ w["class"]
+    p += w["class_bias"]
+    log_p[:] = softmax(p, kind)
     g["class"], g["class_bias"] = h.T @ p, p.sum(axis=0)
     dh = p @ w["class"].T
     ends = np.searchsorted(kind, np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        at = slice(ends[c], ends[c + 1])
-        if ends[c] < ends[c + 1]:
-            p = softmax(h[at] @ w["member"][c] + w["member_bias"][c], slot[at] - c * MEMBERS, at)
-            g["member"][c], g["member_bias"][c] = h[at].T @ p, p.sum(axis=0)
-            dh[at] += p @ w["member"][c].T
-    back = np.empty_like(order)
-    back[order] = np.arange(len(order))
-    dh, log_p = dh[back], log_p[back]
+    p, few = model._members(h, ends), slice(ends[CLASSES])
+    log_p[few] += softmax(p, slot[few] - kind[few] * MEMBERS)
+    for c in np.flatnonzero(np.diff(ends)):
+        some = slice(ends[c], ends[c + 1])
+        g["member"][c], g["member_bias"][c] = h[some].T @ p[some], p[some].sum(axis=0)
+        dh[some] += p[some] @ w["member"][c].T
+    back = np.empty_like(log_p)
+    back[order] = log_p
     dx = np.zeros_like(x)
-    dx[wanted] = dh
-    g["out"] = z.reshape(-1, d).T @ dx.reshape(-1, d)
-    dz = dx @ w["out"].T
-    da, dv = dz @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dz
-    da -= ((da * a).reshape(-1, WINDOW) @ np.ones(WINDOW, np.float32)).reshape(len(a), WINDOW, 1)
-    da *= a
-    da *= np.float32(d**-0.5)
-    dqkv = np.stack([da @ k, da.transpose(0, 2, 1) @ q, dv], axis=2).reshape(-1, 3 * d)
-    g["qkv"] = x.reshape(-1, d).T @ dqkv
-    dx += (dqkv @ w["qkv"].T).reshape(x.shape)
+    dx.reshape(-1, d)[at] = dh
+    for part, (q, k, v, a, z) in zip(parts, held, strict=True):
+        own, n = dx[part], len(a)
+        g["out"] += z.reshape(-1, d).T @ own.reshape(-1, d)
+        dz = (own.reshape(-1, d) @ w["out"].T).reshape(own.shape)
+        da, dqkv = dz @ v.transpose(0, 2, 1), np.empty((n, WINDOW, 3, d), np.float32)
+        da -= ((da * a).reshape(-1, WINDOW) @ np.ones(WINDOW, np.float32)).reshape(n, WINDOW, 1)
+        da *= a
+        da *= np.float32(d**-0.5)
+        np.matmul(da, k, out=dqkv[:, :, 0])
+        np.matmul(da.transpose(0, 2, 1), q, out=dqkv[:, :, 1])
+        np.matmul(a.transpose(0, 2, 1), dz, out=dqkv[:, :, 2])
+        dqkv = dqkv.reshape(-1, 3 * d)
+        g["qkv"] += x[part].reshape(-1, d).T @ dqkv
+        own += (dqkv @ w["qkv"].T).reshape(own.shape)
     g["place"] = dx.sum(axis=0)
-    for j in range(d):
-        g["token"][:, j] = np.bincount(slot_in.ravel(), dx[:, :, j].ravel(), len(g["token"]))
-    return g, log_p
+    order = np.argsort(slot_in.ravel().astype(np.int16), kind="stable")
+    slot_in = slot_in.ravel()[order]
+    begin = np.flatnonzero(np.diff(slot_in, prepend=-1))
+    g["token"][slot_in[begin]] = np.add.reduceat(np.take(dx.reshape(-1, d), order, axis=0), begin, axis=0)
+    return g, back
 
 
 # On Spark
@@ -637,6 +669,8 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
     pairs = _contexts(blocks, model.slot, coder.end)
     model, met = _learned(blocks, model, pairs, coder.end, float(of.sum()))
     model.seen = Seen.mixed(model, pairs, met, coder.end)
+    # Made once: last places of sums may differ between processes.
+    alone = float(scores(model, np.zeros(0, np.int32), np.zeros(1, np.int64), coder.end)[0])
     model = spark.sparkContext.broadcast(model)
 
     known = blocks.select("block", F.posexplode("hashes").alias("at", "hash")).join(counts, "hash").groupBy("block").agg(F.collect_list(F.struct("at", "n")).alias("known"))
@@ -658,7 +692,7 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
             base, some = np.full(len(size), np.log10((ends + 0.5) / low)), size > 0
             base[some] += np.add.reduceat(own[places], (after - size)[some]) if some.any() else 0
             seen = seen[after] - seen[after - size] + (ends > 0)
-            got = scores(model.value, *_subwords_of(size, places, pieces, many), end)
+            got = scores(model.value, *_subwords_of(size, places, pieces, many), end, alone)
             out = [ids.flatten(), pa.array(~learn.flatten().to_numpy(zero_copy_only=False)), pa.array(size + 1), pa.array(seen.astype(np.int64)), pa.array(np.full(len(size), total, np.int64)), pa.array(base), pa.array(got)]
             yield pa.record_batch(out, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 

@@ -287,6 +287,47 @@ def test_lm_attention_learns_from_all_training_rows(spark, monkeypatch):
     assert targets == met == [whole, whole]
 
 
+def test_lm_makes_products_once_a_slot(monkeypatch):
+    draw = np.random.default_rng(9)
+    counts = draw.integers(1, 50, 2001).astype(float)
+    n = lm.CLASSES * lm.MEMBERS + 1
+    model, shapes = lm.begun(counts, draw.poisson(0.2, (n, n)).astype(float)), []
+    ids = draw.integers(0, 2001, (3 * lm.CACHED // 2, lm.WINDOW))
+    x = model.weights["token"][model.slot[ids]] + model.weights["place"]
+    assert model._hidden(model.slot[ids]) == pytest.approx(model._attend(x)[-1].reshape(-1, lm.WIDTH), abs=1e-5)
+    shares = lm._shares
+    monkeypatch.setattr(lm, "_shares", lambda a, scale: [shapes.append(len(a)), shares(a, scale)][1])
+    model.log_probs(ids, ids, np.ones(ids.shape, bool))
+    assert shapes == [lm.CACHED, lm.CACHED // 2]
+
+
+def test_lm_gradient_is_that_of_the_loss():
+    draw = np.random.default_rng(10)
+    n = lm.CLASSES * lm.MEMBERS + 1
+    model = lm.begun(draw.integers(1, 50, 2001).astype(float), draw.poisson(0.2, (n, n)).astype(float))
+    model.weights = {k: v.astype(np.float64) for k, v in model.weights.items()}
+    ids, target = draw.integers(0, 2001, (2, lm.CACHED + 3, lm.WINDOW))
+    wanted = draw.random(ids.shape) < 0.8
+    grad, log_p = lm._gradient(model, ids, target, wanted)
+    seen = model.log_probs(ids, target, wanted) - np.where(model.slot[target[wanted]] == n - 1, model.rare[target[wanted]], 0)
+    assert log_p == pytest.approx(seen, abs=1e-4)
+    for k, g in grad.items():
+        way = draw.normal(size=g.shape)
+        loss = []
+        for step in (1e-3, -1e-3):
+            moved = lm.Attention(model.slot, model.rare, model.weights | {k: model.weights[k] + step * way})
+            loss.append(-(moved.log_probs(ids, target, wanted).astype(float)).mean())
+        assert (loss[0] - loss[1]) / 2e-3 == pytest.approx((g * way).sum(), rel=0.02, abs=1e-4), k
+
+
+def test_lm_scores_texts_without_words_alike():
+    draw = np.random.default_rng(11)
+    n = lm.CLASSES * lm.MEMBERS + 1
+    model = lm.begun(draw.integers(1, 50, 2001).astype(float), draw.poisson(0.2, (n, n)).astype(float))
+    got = lm.scores(model, np.array([3, 5], np.int32), np.array([0, 2, 0]), 2000, alone=-0.5959721550397342)
+    assert got[0] == got[2] == -0.5959721550397342 and got[1] != got[0]
+
+
 def test_lm_mixed_with_counts_is_a_distribution(monkeypatch):
     monkeypatch.setattr(lm, "STEPS", 50)
     draw = np.random.default_rng(0)
