@@ -15,6 +15,8 @@ from lodestone.operators.shared import written
 
 #: Features that are broadcast, at most: of a larger vocabulary the most frequent ones. The others are joined by shuffle.
 BROADCAST = 100_000
+#: Bytes of a feature that is broadcast, at most: with the number, these bound what the driver holds. Longer ones are joined by shuffle.
+LONG = 64
 
 
 def parsed(line: Column) -> Column:
@@ -51,6 +53,8 @@ def _counted(docs: DataFrame, tokens: str | Column) -> DataFrame:
     rows = rows.select("doc_id", "label", F.col("size").cast("long").alias("size"), F.explode_outer("runs").alias("run")).select("doc_id", "label", "size", "run.feature", "run.n")
     if twice.isEmpty():
         return rows
+    # The hint is needed: keys are so small on disk that Spark would broadcast millions of them.
+    twice = twice.hint("shuffle_hash")
     shared = F.col("doc_id").eqNullSafe(F.col("twice_id"))
     many = docs.join(twice, shared, "left_semi").select("doc_id", "label", _words(tokens).alias("tokens"))
     sizes = many.groupBy("doc_id").agg(F.sum(F.greatest(F.size("tokens"), F.lit(0))).alias("size")).withColumnRenamed("doc_id", "size_id")
@@ -88,18 +92,22 @@ def vocabulary(docs: DataFrame, tokens: str | Column = "tokens", least: int = 2)
 
 
 def _parts(known: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """known (a written table) as its BROADCAST most frequent features, and the others if there are any."""
-    if known.count() <= BROADCAST:
+    """known (a written table) as its BROADCAST most frequent features of LONG bytes at most, and the others if there are any."""
+    common = known.where(F.octet_length("feature") <= LONG)
+    whole, short = known.count(), common.count()
+    if short > BROADCAST:
+        common = written(common.orderBy(F.desc("df"), "feature").limit(BROADCAST))
+    elif short == whole:
         return known, None
-    common = written(known.orderBy(F.desc("df"), "feature").limit(BROADCAST))
     return common, written(known.join(F.broadcast(common.select("feature")), "feature", "left_anti"))
 
 
 def _rare(rows: DataFrame, common: DataFrame, others: DataFrame) -> DataFrame:
     """rows of features that are not common, joined with the others by shuffle.
 
-    A feature that isn't common has few rows, so none of them needs a salt. The hint is needed: others is small on disk and
-    would be broadcast by its size there, however many features it has.
+    A feature that isn't common has few rows, or is longer than LONG; should one of those be frequent, Spark splits its rows as
+    it does for any skewed join. The hint is needed: others is small on disk and would be broadcast by its size there, however
+    many features it has.
     """
     return rows.join(F.broadcast(common.select("feature")), "feature", "left_anti").join(others.hint("merge"), "feature")
 

@@ -173,6 +173,24 @@ def test_large_vocabularies_are_not_broadcast(spark, monkeypatch):
             assert "SortMergeJoin [feature" in x._jdf.queryExecution().executedPlan().toString()
 
 
+def test_broadcasts_of_weights_are_bounded_by_bytes(spark):
+    long = "é" * WT.LONG
+    rows = spark.createDataFrame([(k, k % 3 - 1, ["a", "b"][: k % 3] + [long, f"{k % 5}{long}"]) for k in range(40)], "doc_id int, label int, tokens array<string>")
+    common, others = WT._parts(WT.written(WT.doc_freq(rows).where("df > 1")))
+    assert sorted(r.feature for r in common.collect()) == ["a", "b"] and others.count() == 6
+    assert {(r.doc_id, r.feature): r.w for r in WT.weights(rows, "tf").collect()} == {(k, f): pytest.approx(1 / n, abs=1e-4) for k in range(40) for n in [k % 3 + 2] for f in [*["a", "b"][: k % 3], long, f"{k % 5}{long}"]}
+    lines = {r.doc_id: r.line for r in WT.vector_lines(rows, "binary").collect()}
+    assert lines[2] == f"+1 3:1 6:1 7:1 8:1 # 2{long},a,b,{long}"
+
+
+def test_keys_of_repeated_documents_are_not_broadcast(spark):
+    rows = spark.createDataFrame([(k % 30, 1, ["a", f"x{k % 5}"]) for k in range(60)] + [(None, 0, ["a"]), (None, 0, ["b"]), (77, 0, ["a"])], "doc_id int, label int, tokens array<string>")
+    got = WT.term_counts(rows)
+    assert {(r.doc_id, r.feature): r.n for r in got.collect()} == {(k, "a"): 2 for k in range(30)} | {(k, f"x{k % 5}"): 2 for k in range(30)} | {(None, "a"): 1, (None, "b"): 1, (77, "a"): 1}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "twice_id" in plan and not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and "twice_id" in x]
+
+
 def test_counts_of_awkward_documents(spark):
     rows = [(1, 1, ["b", "a", "b", ""]), (1, 1, ["a"]), (2, 0, []), (3, 0, None), (None, -1, ["é", "é"]), (None, -1, ["z"]), (4, 1, ["", ""]), (5, 1, ["a"])]
     df = spark.createDataFrame(rows, "doc_id int, label int, tokens array<string>")
