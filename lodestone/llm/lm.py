@@ -7,14 +7,16 @@ import base64
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hashed, signed, table, texts_of, words, written
+from .common import hashed, signed, table, texts_of, written
 
 #: Characters of text in a block: the unit whose distinct words are looked up together.
 BLOCK = 8_000_000
@@ -84,6 +86,20 @@ def unpacked(x: pa.Scalar, planes: int) -> np.ndarray:
     return out.reshape(-1).view("<u4").astype(np.int32)
 
 
+def listed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """How many words each text has, all their words as places among the distinct ones, and these, by first occurrence.
+
+    The split is Arrow's, at the six characters that WORD leaves out; it would make an empty word of a blank that begins or
+    ends a text, so these are stripped.
+    """
+    each = pa.array([x.strip() or None for x in texts], pa.large_binary())
+    own = pc.ascii_split_whitespace(pa.Array.from_buffers(pa.large_string(), len(each), each.buffers(), each.null_count))
+    size, coded = pc.fill_null(pc.list_value_length(own), 0).to_numpy().astype(np.int64), own.flatten().dictionary_encode()
+    _, at, data = coded.dictionary.buffers()
+    whole, at = (data.to_pybytes() if data else b""), np.frombuffer(at, np.int64)[: len(coded.dictionary) + 1].tolist()
+    return size, coded.indices.to_numpy(), [whole[i:j] for i, j in pairwise(at)]
+
+
 def _rows(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """begin[0], begin[0] + 1 ... for each run of size."""
     ends = np.cumsum(size)
@@ -103,7 +119,7 @@ class Seen:
 
     @classmethod
     def fitted(cls, model: Attention, counts: np.ndarray, texts: list[np.ndarray], end: int) -> Seen:
-        """counts as _contexts has them; the mixture fits texts of the training rows (see mixed)."""
+        """counts: of slots after slots, then of rare subwords after classes; the mixture fits texts of the training rows (see mixed)."""
         slot, context = model.slot, Context.of(counts)
         target, given = _stream(np.concatenate(texts), np.array([*map(len, texts)]), end)
         at, own = windows(np.array([len(t) + 1 for t in texts]))
@@ -181,54 +197,69 @@ class Attention:
         z = a @ v
         return q, k, v, a, z, x + (z.reshape(-1, d) @ w["out"]).reshape(x.shape)
 
-    def _hidden(self, slots: np.ndarray) -> np.ndarray:
-        """What _attend makes of windows of slots, for given weights: products with them are made once a slot, not once a position.
+    def _products(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query (scaled), key, value (after "out") and the vector itself, side by side: the matrix, and its products with slots and places."""
+        w, d = self.weights, WIDTH
+        by = np.concatenate([w["qkv"][:, :d] * np.float32(d**-0.5), w["qkv"][:, d : 2 * d], w["qkv"][:, 2 * d :] @ w["out"], np.eye(d, dtype=np.float32)], axis=1)
+        return by, w["token"] @ by, w["place"] @ by
+
+    def _wide(self, slots: np.ndarray, wanted: np.ndarray | None = None, made: tuple[np.ndarray, ...] | None = None) -> np.ndarray:
+        """What _attend makes of windows of slots, for given weights, and a one after each row, by which biases are added.
 
-        Windows go in parts that stay in a core's own cache.
+        Products with weights are made once a slot, not once a position. Windows go in parts that stay in a core's own cache;
+        positions before the first that any of a part's windows wants are only looked at (of what they would be, nothing is set).
         """
-        w, (n, length), d = self.weights, slots.shape, WIDTH
-        by = np.concatenate([w["qkv"][:, :d] * np.float32(d**-0.5), w["qkv"][:, d : 2 * d], w["qkv"][:, 2 * d :] @ w["out"], np.eye(d, dtype=np.float32)], axis=1)
-        each, place, out, ones = w["token"] @ by, w["place"] @ by, np.empty((n, length, d), np.float32), np.ones(length, np.float32)
+        (n, length), d = slots.shape, WIDTH
+        _, each, place = made or self._products()
+        out, ones = np.ones((n, length, d + 1), np.float32), np.ones(length, np.float32)
         for i in range(0, n, CACHED):
-            x = np.take(each, slots[i : i + CACHED], axis=0)
+            part = slice(i, i + CACHED)
+            lead = 0 if wanted is None else int(wanted[part].any(axis=0).argmax())
+            x = np.take(each, slots[part], axis=0)
             x += place
-            a = _shares(x[:, :, :d] @ x[:, :, d : 2 * d].transpose(0, 2, 1), np.float32(1))
-            z = np.matmul(a, x[:, :, 2 * d : 3 * d], out=out[i : i + CACHED])
-            z /= (a.reshape(-1, length) @ ones).reshape(-1, length, 1)
-            z += x[:, :, 3 * d :]
-        return out.reshape(-1, d)
+            a = _shares(x[:, lead:, :d] @ x[:, :, d : 2 * d].transpose(0, 2, 1), np.float32(1))
+            a /= (a.reshape(-1, length) @ ones).reshape(*a.shape[:2], 1)
+            np.add(a @ x[:, :, 2 * d : 3 * d], x[:, lead:, 3 * d :], out=out[part, lead:, :d])
+        return out.reshape(-1, d + 1)
+
+    def _hidden(self, slots: np.ndarray) -> np.ndarray:
+        return self._wide(slots)[:, :WIDTH]
 
-    def _members(self, h: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def _outer(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of the classes and of each class's members, the biases being a row more."""
+        w = self.weights
+        return np.concatenate([w["class"], w["class_bias"][None]]), np.concatenate([w["member"], w["member_bias"][:, None]], axis=1)
+
+    @staticmethod
+    def _members(h: np.ndarray, weights: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Scores of the members of the classes that rows of h, in order of class, belong to: class c's rows end before ends[c + 1]."""
-        w, out = self.weights, np.empty((ends[CLASSES], MEMBERS), np.float32)
+        out = np.empty((ends[CLASSES], MEMBERS), np.float32)
         for c in np.flatnonzero(np.diff(ends[: CLASSES + 1])):
-            part = np.matmul(h[ends[c] : ends[c + 1]], w["member"][c], out=out[ends[c] : ends[c + 1]])
-            part += w["member_bias"][c]
+            np.matmul(h[ends[c] : ends[c + 1]], weights[c], out=out[ends[c] : ends[c + 1]])
         return out
 
-    def log_probs(self, ids: np.ndarray, target: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """Natural log probabilities of target (windows x WINDOW) at the positions wanted, in order.
+    def log_probs(self, ids: np.ndarray, target: np.ndarray, wanted: np.ndarray, made: tuple[tuple[np.ndarray, ...], ...] | None = None) -> np.ndarray:
+        """Natural log probabilities of target (windows x WINDOW) at the positions wanted, in order. made: _products and _outer, if known.
 
         Scores are small numbers as a rule, and then sums of exponentials are taken as they are, by products with ones; where
         one could overflow, rows are first lowered by their maxima.
         """
-        w, slots = self.weights, self.slot[ids]
-        at = np.flatnonzero(wanted)
+        products, (by_class, by_member) = made or (self._products(), self._outer())
+        slots, at = self.slot[ids], np.flatnonzero(wanted)
         goal = target.ravel()[at]
         slot = self.slot[goal]
         kind = (slot // MEMBERS).astype(np.uint8)
         order = np.argsort(kind, kind="stable")
         kind, slot, goal = kind[order], slot[order], goal[order]
-        h = np.take(self._hidden(slots), at[order], axis=0)
-        logit = h @ w["class"]
-        logit += w["class_bias"]
+        h = np.take(self._wide(slots, wanted, products), at[order], axis=0)
+        logit = h @ by_class
         _lower(logit)
-        out = logit[np.arange(len(kind)), kind]
+        out = logit.ravel()[np.arange(0, logit.size, CLASSES + 1) + kind]
         out -= np.log(np.exp(logit, out=logit) @ np.ones(CLASSES + 1, np.float32))
         ends = np.searchsorted(kind, np.arange(CLASSES + 2))
-        logit, few = self._members(h, ends), slice(ends[CLASSES])
+        logit, few = self._members(h, by_member, ends), slice(ends[CLASSES])
         _lower(logit)
-        out[few] += logit[np.arange(len(logit)), slot[few] - kind[few].astype(np.int64) * MEMBERS]
+        out[few] += logit.ravel()[np.arange(0, logit.size, MEMBERS) + slot[few] % MEMBERS]
         out[few] -= np.log(np.exp(logit, out=logit) @ np.ones(MEMBERS, np.float32))
         some = slice(ends[CLASSES], None)
         if self.seen:
@@ -256,10 +287,10 @@ def _shares(a: np.ndarray, scale: np.float32) -> np.ndarray:
     if scale != 1:
         a *= scale
     if a.max(initial=0) > HIGH:
-        a += MASK
+        a += MASK[-a.shape[1] :]
         a -= a.max(axis=2, keepdims=True)
     np.exp(a, out=a)
-    a *= SEEN
+    a *= SEEN[-a.shape[1] :]  # windows may be without their first rows
     return a
 
 
@@ -299,11 +330,13 @@ def scores(model: Attention, ids: np.ndarray, size: np.ndarray, end: int, alone:
     after = np.cumsum(size) + np.arange(len(size))
     target, given = _stream(ids, size, end)
     at, own = windows(size + 1)
-    got = np.zeros(len(target))
+    got, made = np.zeros(len(target)), (model._products(), model._outer())
     np.minimum(at, len(target) - 1, out=at)
+    # Texts' first windows go together, since the others need nothing of their first positions.
+    order = np.argsort(~own[:, 0], kind="stable")
     for i in range(0, len(at), AT_ONCE):
-        part, wanted = at[i : i + AT_ONCE], own[i : i + AT_ONCE]
-        got[part[wanted]] = model.log_probs(given[part], target[part], wanted)
+        part, wanted = at[order[i : i + AT_ONCE]], own[order[i : i + AT_ONCE]]
+        got[part[wanted]] = model.log_probs(given[part], target[part], wanted, made)
     out = np.add.reduceat(got, after - size) / np.log(10)
     if (size == 0).any():
         # Texts of an end only are alike in all blocks: one window, taken by itself.
@@ -380,14 +413,27 @@ def train(texts: list[np.ndarray], counts: np.ndarray, seed: int = 1) -> Attenti
 
 def _adam(model: Attention, batches: Iterable[tuple[np.ndarray, ...]], rates: Iterable[float]) -> Iterator[np.ndarray]:
     """Changes the model's weights batch by batch, and gives each batch's log probabilities from before its step."""
-    w = model.weights
-    m, s = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
+    names, flat = [*model.weights], np.concatenate([x.ravel() for x in model.weights.values()])
+    ends = np.cumsum([x.size for x in model.weights.values()])
+    # One array of all weights, of which the model's are views: a step is a few passes over it.
+    model.weights.update({k: x.reshape(model.weights[k].shape) for k, x in zip(names, np.split(flat, ends[:-1]), strict=True)})
+    m, s, part = np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat)
     for t, (batch, rate) in enumerate(zip(batches, rates, strict=False), 1):
         grad, log_p = _gradient(model, *batch)
-        for k, g in grad.items():
-            m[k] += 0.1 * (g - m[k])
-            s[k] += 0.01 * (g * g - s[k])
-            w[k] -= (rate / (1 - 0.9**t) * m[k] / (np.sqrt(s[k] * (1 / (1 - 0.99**t))) + np.float32(1e-6))).astype(np.float32)
+        g = np.concatenate([grad[k].ravel() for k in names])
+        np.subtract(g, m, out=part)
+        part *= np.float32(0.1)
+        m += part
+        g *= g
+        g -= s
+        g *= np.float32(0.01)
+        s += g
+        np.multiply(s, np.float32(1 / (1 - 0.99**t)), out=part)
+        np.sqrt(part, out=part)
+        part += np.float32(1e-6)
+        np.divide(m, part, out=part)
+        part *= np.float32(rate / (1 - 0.9**t))
+        flat -= part
         yield log_p
 
 
@@ -412,72 +458,95 @@ def learn(model: Attention, ids: np.ndarray, size: np.ndarray, end: int, context
 
 
 def _gradient(model: Attention, ids: np.ndarray, target: np.ndarray, wanted: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Of the mean loss over the positions wanted; and their log probabilities, without the rare subwords' own."""
-    w, d, total = model.weights, WIDTH, float(wanted.sum())
-    g = {k: np.zeros_like(w[k]) for k in ("token", "place", "qkv", "out", "member", "member_bias")}
-    slot_in = model.slot[ids]
-    parts = [slice(i, i + CACHED) for i in range(0, len(ids), CACHED)]
-    x, hidden, held = np.take(w["token"], slot_in, axis=0), np.empty((*ids.shape, d), np.float32), []
+    """Of the mean loss over the positions wanted; and their log probabilities, without the rare subwords' own.
+
+    Products with weights are made once a slot (see Attention._wide). So gradients of these products are summed by slot and by
+    place first, and come to the weights from there.
+    """
+    w, d, total, (n, length), slots = model.weights, WIDTH, np.float32(1 / max(1, wanted.sum())), ids.shape, model.slot[ids]
+    by, each, place = model._products()
+    parts, ones = [slice(i, i + CACHED) for i in range(0, n, CACHED)], np.ones(length, each.dtype)
+    x, hidden, shares = np.empty((n, length, 4 * d), each.dtype), np.ones((n, length, d + 1), each.dtype), []
     for part in parts:
-        x[part] += w["place"]
-        *own, hidden[part] = model._attend(x[part])
-        held.append(own)
-    at, slot = np.flatnonzero(wanted), model.slot[target[wanted]]
+        own = np.take(each, slots[part], axis=0, out=x[part], mode="clip")
+        own += place
+        a = _shares(own[:, :, :d] @ own[:, :, d : 2 * d].transpose(0, 2, 1), np.float32(1))
+        a /= (a.reshape(-1, length) @ ones).reshape(-1, length, 1)
+        np.add(a @ own[:, :, 2 * d : 3 * d], own[:, :, 3 * d :], out=hidden[part, :, :d])
+        shares.append(a)
+    at = np.flatnonzero(wanted)
+    slot = model.slot[target.ravel()[at]]
     order = np.argsort(slot.astype(np.int16), kind="stable")
     at, slot = at[order], slot[order]
-    h, kind, log_p = np.take(hidden.reshape(-1, d), at, axis=0), slot // MEMBERS, np.empty(len(slot), np.float32)
+    h, kind, (by_class, by_member) = np.take(hidden.reshape(-1, d + 1), at, axis=0), slot // MEMBERS, model._outer()
 
     def softmax(logit: np.ndarray, goal: np.ndarray) -> np.ndarray:
         """Log probabilities of goal; logit turns into the gradient."""
         _lower(logit)
-        each = np.arange(len(goal))
-        own = logit[each, goal]
+        whole, where = logit.reshape(-1), np.arange(0, logit.size, logit.shape[1]) + goal
+        own = whole[where]
         np.exp(logit, out=logit)
-        by = logit @ np.ones(logit.shape[1], np.float32)
-        own -= np.log(by)
-        by *= np.float32(total)
-        logit /= by[:, None]
-        logit[each, goal] -= np.float32(1 / total)
+        sums = logit @ np.ones(logit.shape[1], logit.dtype)
+        own -= np.log(sums)
+        logit *= (total / sums)[:, None]
+        whole[where] -= total
         return np.maximum(own, np.float32(np.log(1e-30)))
 
-    p = h @ w["class"]
-    p += w["class_bias"]
-    log_p[:] = softmax(p, kind)
-    g["class"], g["class_bias"] = h.T @ p, p.sum(axis=0)
+    p = h @ by_class
+    log_p = softmax(p, kind)
+    to_class = h.T @ p
     dh = p @ w["class"].T
     ends = np.searchsorted(kind, np.arange(CLASSES + 1))
-    p, few = model._members(h, ends), slice(ends[CLASSES])
+    p, few = model._members(h, by_member, ends), slice(ends[CLASSES])
     log_p[few] += softmax(p, slot[few] - kind[few] * MEMBERS)
+    to_member, more = np.zeros_like(by_member), np.empty((ends[CLASSES], d), dh.dtype)
     for c in np.flatnonzero(np.diff(ends)):
         some = slice(ends[c], ends[c + 1])
-        g["member"][c], g["member_bias"][c] = h[some].T @ p[some], p[some].sum(axis=0)
-        dh[some] += p[some] @ w["member"][c].T
+        np.matmul(h[some].T, p[some], out=to_member[c])
+        np.matmul(p[some], w["member"][c].T, out=more[some])
+    dh[few] += more
     back = np.empty_like(log_p)
     back[order] = log_p
-    dx = np.zeros_like(x)
-    dx.reshape(-1, d)[at] = dh
-    for part, (q, k, v, a, z) in zip(parts, held, strict=True):
-        own, n = dx[part], len(a)
-        g["out"] += z.reshape(-1, d).T @ own.reshape(-1, d)
-        dz = (own.reshape(-1, d) @ w["out"].T).reshape(own.shape)
-        da, dqkv = dz @ v.transpose(0, 2, 1), np.empty((n, WINDOW, 3, d), np.float32)
-        da -= ((da * a).reshape(-1, WINDOW) @ np.ones(WINDOW, np.float32)).reshape(n, WINDOW, 1)
+    dx = np.empty_like(x)
+    dx.reshape(-1, 4 * d)[at, 3 * d :] = dh
+    dx[~wanted, 3 * d :] = 0
+    to_place = np.zeros(length * 4 * d, dx.dtype)
+    for part, a in zip(parts, shares, strict=True):
+        own, to = x[part], dx[part]
+        da = to[:, :, 3 * d :] @ own[:, :, 2 * d : 3 * d].transpose(0, 2, 1)
+        da -= ((da * a).reshape(-1, length) @ ones).reshape(-1, length, 1)
         da *= a
-        da *= np.float32(d**-0.5)
-        np.matmul(da, k, out=dqkv[:, :, 0])
-        np.matmul(da.transpose(0, 2, 1), q, out=dqkv[:, :, 1])
-        np.matmul(a.transpose(0, 2, 1), dz, out=dqkv[:, :, 2])
-        dqkv = dqkv.reshape(-1, 3 * d)
-        g["qkv"] += x[part].reshape(-1, d).T @ dqkv
-        own += (dqkv @ w["qkv"].T).reshape(own.shape)
-    g["place"] = dx.sum(axis=0)
-    order = np.argsort(slot_in.ravel().astype(np.int16), kind="stable")
-    slot_in = slot_in.ravel()[order]
-    begin = np.flatnonzero(np.diff(slot_in, prepend=-1))
-    g["token"][slot_in[begin]] = np.add.reduceat(np.take(dx.reshape(-1, d), order, axis=0), begin, axis=0)
+        np.matmul(da, own[:, :, d : 2 * d], out=to[:, :, :d])
+        np.matmul(da.transpose(0, 2, 1), own[:, :, :d], out=to[:, :, d : 2 * d])
+        np.matmul(a.transpose(0, 2, 1), to[:, :, 3 * d :], out=to[:, :, 2 * d : 3 * d])
+        to_place += np.ones(len(a), dx.dtype) @ to.reshape(len(a), -1)
+    to_place = to_place.reshape(length, 4 * d)
+    to_slot = _sums(dx.reshape(-1, 4 * d), slots.ravel(), len(each))
+    to_by = w["token"].T @ to_slot + w["place"].T @ to_place
+    value = to_by[:, 2 * d : 3 * d]
+    g = {
+        "token": to_slot @ by.T, "place": to_place @ by.T, "qkv": np.concatenate([to_by[:, :d] * np.float32(d**-0.5), to_by[:, d : 2 * d], value @ w["out"].T], axis=1), "out": w["qkv"][:, 2 * d :].T @ value,
+        "class": to_class[:d], "class_bias": to_class[d], "member": to_member[:, :d], "member_bias": to_member[:, d],
+    }
     return g, back
 
 
+def _sums(rows: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of each of n groups. Groups of equal size are summed together: reduceat takes several times as long."""
+    size = np.bincount(of, minlength=n)
+    turn = np.argsort(size, kind="stable")
+    place = np.empty(n, np.int16)
+    place[turn] = np.arange(n)
+    rows, out, sizes = np.take(rows, np.argsort(place[of], kind="stable"), axis=0), np.zeros((n, rows.shape[1]), rows.dtype), size[turn]
+    first = np.flatnonzero(np.diff(sizes, prepend=0))
+    done, ones = 0, np.ones(len(rows), rows.dtype)
+    for k, last in zip(first, [*first[1:], n], strict=True):
+        many = (last - k) * sizes[k]
+        out[turn[k:last]] = ones[: sizes[k]] @ rows[done : done + many].reshape(last - k, sizes[k], -1)
+        done += many
+    return out
+
+
 # On Spark
 
 
@@ -494,19 +563,16 @@ def _blocks(docs: DataFrame, ranks: str) -> DataFrame:
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, task, n = _subwords(shared.value), TaskContext.get().partitionId(), 0
-        own: dict[bytes, int] = {}
         ids: list[int | None] = []
         train: list[bool] = []
-        places: list[np.ndarray] = []
+        texts: list[bytes] = []
         size = 0
 
         def block() -> pa.RecordBatch:
             nonlocal n
             n += 1
-            each = np.array([*map(len, places)], np.int64)
-            whole = np.concatenate([*places, np.zeros(0, np.int32)])
-            counts = np.bincount(whole[np.repeat(np.array(train), each)], minlength=len(own))
-            distinct = [*own]
+            each, whole, distinct = listed(texts)
+            counts = np.bincount(whole[np.repeat(np.array(train), each)], minlength=len(distinct))
             pieces, begins = coder.of(distinct)
             many = np.diff(np.append(begins, len(pieces)))
             of = np.bincount(pieces, np.repeat(counts, many), coder.end + 1).astype(np.int64)
@@ -517,14 +583,13 @@ def _blocks(docs: DataFrame, ranks: str) -> DataFrame:
 
         for batch in batches:
             for doc_id, learn, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch), strict=True):
-                w = words(text.lower() if text else None)
-                places.append(np.fromiter((own.setdefault(x, len(own)) for x in w), np.int32, len(w)))
+                texts.append((text or b"").lower())
                 ids.append(doc_id)
                 train.append(learn)
                 size += len(text or b"")
                 if size >= BLOCK:
                     yield block()
-                    own, ids, train, places, size = {}, [], [], [], 0
+                    ids, train, texts, size = [], [], [], 0
         if ids:
             yield block()
 
@@ -540,27 +605,26 @@ def _subwords_of(size: np.ndarray, places: np.ndarray, pieces: np.ndarray, many:
     return whole, lengths[after] - lengths[after - size]
 
 
-def _contexts(blocks: DataFrame, slot: np.ndarray, end: int) -> np.ndarray:
-    """Over all training rows, how often each slot follows each, then how often each rare subword follows each class.
+def _training_stream(row: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Subwords of a block's training texts, and how many each has; row: train, sizes, places, pieces, lengths."""
+    train, many = row.column(0).flatten().to_numpy(zero_copy_only=False).astype(bool), row.column(1).flatten().to_numpy().astype(np.int64)
+    ids, many = _subwords_of(many, *(unpacked(row.column(c)[0], planes) for c, planes in ((2, 4), (3, 3), (4, 4))))
+    return ids[np.repeat(train, many)], many[train]
+
+
+def _contexts(blocks: DataFrame, numbers: np.ndarray, end: int) -> np.ndarray:
+    """Over all training rows, how often each number follows each; numbers: of each subword, as _first has them.
 
     Each task adds up its blocks and Spark sums the tasks' counts by slices; their number is fixed by the vocabulary.
     """
     n = CLASSES * MEMBERS + 1
-    size = n * n + (CLASSES + 1) * (end + 1)
-    width, shared = -(-size // SLICES), blocks.sparkSession.sparkContext.broadcast(slot)
+    width, shared = -(-n * n // SLICES), blocks.sparkSession.sparkContext.broadcast(numbers)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slot, out = shared.value, np.zeros(width * SLICES, np.int64)
+        numbers, out = shared.value, np.zeros(width * SLICES, np.int64)
         for row in (batch.slice(i, 1) for batch in batches for i in range(batch.num_rows)):
-            learn, many = row.column(0).flatten().to_numpy(zero_copy_only=False).astype(bool), row.column(1).flatten().to_numpy().astype(np.int64)
-            ids, many = _subwords_of(many, *(unpacked(row.column(c)[0], planes) for c, planes in ((2, 4), (3, 3), (4, 4))))
-            target, given = _stream(ids, many, end)
-            learn = np.repeat(learn, many + 1)
-            target, before = target[learn], slot[given[learn]].astype(np.int64)
-            after = slot[target]
-            out[: n * n] += np.bincount(before * n + after, minlength=n * n)
-            rare = after == n - 1
-            out[n * n : size] += np.bincount(before[rare] // MEMBERS * (end + 1) + target[rare], minlength=size - n * n)
+            target, given = _stream(*_training_stream(row), end)
+            out[: n * n] += np.bincount(numbers[given].astype(np.int64) * n + numbers[target], minlength=n * n)
         for k in range(SLICES):
             some = out[k * width : (k + 1) * width]
             if some.any():
@@ -578,61 +642,76 @@ def _contexts(blocks: DataFrame, slot: np.ndarray, end: int) -> np.ndarray:
     parts = blocks.select("train", "sizes", "places", "pieces", "lengths").mapInArrow(count, schema).repartition(SLICES, "slice")
     for k, x in parts.mapInArrow(add, schema).collect():
         out[k * width : (k + 1) * width] = np.frombuffer(x, np.int64)
-    return out[:size]
+    return out[: n * n].reshape(n, n)
+
 
+def _renumbered(pairs: np.ndarray, numbers: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """What _contexts counts by numbers, by slots: both tell the same subwords apart."""
+    back = np.zeros(len(pairs), np.int64)
+    back[slot] = numbers
+    return pairs[np.ix_(back, back)]
 
-def _learned(blocks: DataFrame, model: Attention, counts: np.ndarray, end: int, positions: float) -> tuple[Attention, np.ndarray]:
-    """The model trained on all training rows, and the ratios met there (see Context); positions: targets of all of them.
 
+def _learned(blocks: DataFrame, model: Attention, counts: np.ndarray, end: int, positions: float) -> tuple[Attention, np.ndarray, np.ndarray]:
+    """The model trained on all training rows, the ratios met there (see Context), and how often each rare subword follows each class.
+
+    counts: of slots after slots; positions: targets of all training rows.
     One block is learned first. Then rounds of the others begin at the weights so far; each block is learned by itself, and the
     weights that blocks come to are averaged by their numbers of targets. Each block has its turn in one round, so all rows are
     learned from equally often. What tasks return is of fixed size, and Spark sums it by slices.
     """
     context, names = Context.of(counts), [*model.weights]
     ends = np.cumsum([model.weights[k].size for k in names])
-    size, spark = int(ends[-1]) + 1 + 64 * BINS, blocks.sparkSession
-    width, met = -(-size // SLICES), np.zeros(64 * BINS)
+    size, many_rare, spark = int(ends[-1]) + 1 + 64 * BINS, (CLASSES + 1) * (end + 1), blocks.sparkSession
+    width, rare_width, met = -(-size // SLICES), -(-many_rare // SLICES), np.zeros(64 * BINS)
+    all_rare = np.zeros(rare_width * SLICES, np.int64)
     context = spark.sparkContext.broadcast(context)
     (least, many), turn = blocks.agg(F.min("block"), F.count("*")).first(), F.shiftright("block", 32) + F.col("block").bitwiseAND(0xFFFFFFFF)
     passes = max(1, min(STEPS // max(1, many), -int(-STEPS * BATCH * WINDOW // max(1, positions))))
     turns = [F.col("block") == least, *((F.col("block") != least) & (turn % ROUNDS == r) for r in range(ROUNDS))]
 
+    def part_of(k: int, sums: np.ndarray, rare: bytes) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([k], pa.int32()), pa.array([sums.tobytes()], pa.binary()), pa.array([rare], pa.binary())], names=["slice", "sums", "rare"])
+
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[int, np.ndarray] = {}
+        own: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own[k] = own.get(k, 0) + np.frombuffer(x.as_buffer(), np.float64)
-        for k, x in own.items():
-            yield pa.record_batch([pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["slice", "sums"])
+            for k, x, y in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                sums, rare = own.get(k, (0, 0))
+                own[k] = sums + np.frombuffer(x.as_buffer(), np.float64), rare + unpacked(y, 4).view(np.uint32).astype(np.int64)
+        for k, (x, y) in own.items():
+            yield part_of(k, x, y.tobytes())
 
     for r, mine in enumerate(turns if least is not None else []):
         shared, rates = spark.sparkContext.broadcast(model), ((0.02, 0.01), (0.01, 0.006), (0.006, 0.003), (0.003, 0.0005))[r]
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, rates=rates) -> Iterator[pa.RecordBatch]:
-            out = np.zeros(width * SLICES)
+            out, rare, slot = np.zeros(width * SLICES), np.zeros(rare_width * SLICES, np.int64), shared.value.slot
             for row in (batch.slice(i, 1) for batch in batches for i in range(batch.num_rows)):
-                train, many = row.column(0).flatten().to_numpy(zero_copy_only=False).astype(bool), row.column(1).flatten().to_numpy().astype(np.int64)
-                ids, many = _subwords_of(many, *(unpacked(row.column(c)[0], planes) for c, planes in ((2, 4), (3, 3), (4, 4))))
-                ids, many = ids[np.repeat(train, many)], many[train]
+                ids, many = _training_stream(row)
                 if len(many):
                     own = replace(shared.value, weights={k: v.copy() for k, v in shared.value.weights.items()})
                     n = float(many.sum() + len(many))
                     out[ends[-1] + 1 : size] += learn(own, ids, many, end, context.value, rates, passes, row.column(5)[0].as_py() % (1 << 32))
                     out[: ends[-1]] += n * np.concatenate([own.weights[k].ravel() for k in names])
                     out[ends[-1]] += n
+                    target, given = _stream(ids, many, end)
+                    few = slot[target] == CLASSES * MEMBERS
+                    rare[:many_rare] += np.bincount(slot[given[few]].astype(np.int64) // MEMBERS * (end + 1) + target[few], minlength=many_rare)
             if out[ends[-1]]:
                 for k in range(SLICES):
-                    yield pa.record_batch([pa.array([k], pa.int32()), pa.array([out[k * width : (k + 1) * width].tobytes()], pa.binary())], names=["slice", "sums"])
+                    yield part_of(k, out[k * width : (k + 1) * width], packed(rare[k * rare_width : (k + 1) * rare_width], 4))
 
-        schema, sums = "slice int, sums binary", np.zeros(width * SLICES)
+        schema, sums = "slice int, sums binary, rare binary", np.zeros(width * SLICES)
         parts = blocks.where(mine).select("train", "sizes", "places", "pieces", "lengths", "block").mapInArrow(run, schema)
-        for k, x in parts.repartition(SLICES, "slice").mapInArrow(add, schema).collect():
+        for k, x, y in parts.repartition(SLICES, "slice").mapInArrow(add, schema).collect():
             sums[k * width : (k + 1) * width] = np.frombuffer(x, np.float64)
+            all_rare[k * rare_width : (k + 1) * rare_width] += np.frombuffer(y, np.int64)
         if n := sums[ends[-1]]:
             each = np.split((sums[: ends[-1]] / n).astype(np.float32), ends[:-1])
             model = replace(model, weights={k: x.reshape(model.weights[k].shape) for k, x in zip(names, each, strict=True)})
             met += sums[ends[-1] + 1 : size]
-    return model, met
+    return model, met, all_rare[:many_rare]
 
 
 def score(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -663,12 +742,12 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
     # A row for each entry of the vocabulary at most.
     for k, n in blocks.select(F.explode(F.arrays_zip("piece_ids", "piece_counts")).alias("p")).groupBy("p.piece_ids").agg(F.sum("p.piece_counts")).collect():
         of[k] = n
-    n = CLASSES * MEMBERS + 1
-    seen = _contexts(blocks, _first(of), coder.end)[: n * n].reshape(n, n).T
-    model = begun(of, seen)
-    pairs = _contexts(blocks, model.slot, coder.end)
-    model, met = _learned(blocks, model, pairs, coder.end, float(of.sum()))
-    model.seen = Seen.mixed(model, pairs, met, coder.end)
+    numbers = _first(of)
+    pairs = _contexts(blocks, numbers, coder.end)
+    model = begun(of, pairs.T)
+    pairs = _renumbered(pairs, numbers, model.slot).ravel()
+    model, met, rare = _learned(blocks, model, pairs, coder.end, float(of.sum()))
+    model.seen = Seen.mixed(model, np.concatenate([pairs, rare]), met, coder.end)
     # Made once: last places of sums may differ between processes.
     alone = float(scores(model, np.zeros(0, np.int32), np.zeros(1, np.int64), coder.end)[0])
     model = spark.sparkContext.broadcast(model)

@@ -328,6 +328,57 @@ def test_lm_scores_texts_without_words_alike():
     assert got[0] == got[2] == -0.5959721550397342 and got[1] != got[0]
 
 
+def test_lm_later_windows_are_scored_without_their_overlap(monkeypatch):
+    draw, shapes, shares = np.random.default_rng(12), [], lm._shares
+    n = lm.CLASSES * lm.MEMBERS + 1
+    model = lm.begun(draw.integers(1, 50, 2001).astype(float), draw.poisson(0.2, (n, n)).astype(float))
+    monkeypatch.setattr(lm, "_shares", lambda a, scale: [shapes.append(a.shape[1]), shares(a, scale)][1])
+    many = lm.CACHED * 3
+    texts = [draw.integers(0, 2000, 3 * lm.WINDOW).astype(np.int32) for _ in range(many)]
+    lm.scores(model, np.concatenate(texts), np.array([*map(len, texts)]), 2000)
+    assert Counter(shapes) == {lm.WINDOW: 3, lm.WINDOW - lm.OVERLAP: 3 * (len(lm.windows(np.array([3 * lm.WINDOW + 1]))[0]) - 1)}
+
+
+def test_lm_gradients_are_summed_by_slot_before_weights():
+    """Rows are added up by slot; what a training step multiplies by weights has a row a slot, not a row a position."""
+    draw = np.random.default_rng(13)
+    rows, of = draw.normal(size=(5000, 7)), np.minimum(draw.geometric(0.01, 5000), 900) % 701
+    want = np.zeros((750, 7))
+    np.add.at(want, of, rows)
+    assert lm._sums(rows, of, 750) == pytest.approx(want)
+
+
+def test_lm_lists_words_as_a_loop_does():
+    draw = np.random.default_rng(14)
+    odd = np.array([9, 10, 11, 12, 13, 32, 0, 28, 31, 97, 98, 133, 160, 194, 255], np.uint8)
+    for texts in ([b""], [b" \t", b"", b"\xc2\xa0 a\x85b \xff"], [draw.choice(odd, draw.integers(0, 40)).tobytes() for _ in range(300)]):
+        own: dict = {}
+        places = [[own.setdefault(w, len(own)) for w in WORD.findall(x)] for x in texts]
+        size, whole, distinct = lm.listed(texts)
+        assert (size.tolist(), whole.tolist(), distinct) == ([*map(len, places)], [k for x in places for k in x], [*own])
+
+
+def test_lm_reads_texts_once_for_contexts(spark, monkeypatch):
+    """Counts by slots are those by numbers in another order, and rare subwords are counted while the weights are learned."""
+    monkeypatch.setattr(lm, "STEPS", 20)
+    monkeypatch.setattr(lm, "BLOCK", 3000)
+    draw, calls, mixed, contexts = np.random.default_rng(15), [], [], lm._contexts
+    monkeypatch.setattr(lm, "_contexts", lambda *a: [calls.append(1), contexts(*a)][1])
+    monkeypatch.setattr(lm.Seen, "mixed", classmethod(lambda cls, *a, own=lm.Seen.mixed: [mixed.append(a), own(*a)][1]))
+    rows = [(k, " ".join("".join(chr(97 + c) for c in draw.integers(0, 26, 1 + draw.integers(0, 6))) for _ in range(60))) for k in range(150)]
+    assert lm.score(spark.createDataFrame(rows, "doc_id long, text string")).count() == len(rows)
+    (model, counts, _, end), coder, n = mixed[0], lm._subwords(open(lm.default_vocabulary()).read()), lm.CLASSES * lm.MEMBERS + 1
+    want = np.zeros(n * n + (lm.CLASSES + 1) * (end + 1), np.int64)
+    for i, text in rows:
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            last = model.slot[end]
+            for k in [*coder.of(words(text))[0].tolist(), end]:
+                want[last * n + model.slot[k]] += 1
+                want[n * n + last // lm.MEMBERS * (end + 1) + k] += model.slot[k] == n - 1
+                last = model.slot[k]
+    assert len(calls) == 1 and want[n * n :].any() and (counts == want).all()
+
+
 def test_lm_mixed_with_counts_is_a_distribution(monkeypatch):
     monkeypatch.setattr(lm, "STEPS", 50)
     draw = np.random.default_rng(0)
