@@ -507,21 +507,23 @@ def _gradient(model: Attention, ids: np.ndarray, target: np.ndarray, wanted: np.
     dh[few] += more
     back = np.empty_like(log_p)
     back[order] = log_p
-    dx = np.empty_like(x)
-    dx.reshape(-1, 4 * d)[at, 3 * d :] = dh
-    dx[~wanted, 3 * d :] = 0
-    to_place = np.zeros(length * 4 * d, dx.dtype)
+    # Gradients take the places of what they are of, once that is not needed any more.
+    x.reshape(-1, 4 * d)[at, 3 * d :] = dh
+    x[~wanted, 3 * d :] = 0
+    to_place = np.zeros(length * 4 * d, x.dtype)
     for part, a in zip(parts, shares, strict=True):
-        own, to = x[part], dx[part]
-        da = to[:, :, 3 * d :] @ own[:, :, 2 * d : 3 * d].transpose(0, 2, 1)
+        own = x[part]
+        query, key, value, to = (own[:, :, i : i + d] for i in range(0, 4 * d, d))
+        da = to @ value.transpose(0, 2, 1)
         da -= ((da * a).reshape(-1, length) @ ones).reshape(-1, length, 1)
         da *= a
-        np.matmul(da, own[:, :, d : 2 * d], out=to[:, :, :d])
-        np.matmul(da.transpose(0, 2, 1), own[:, :, :d], out=to[:, :, d : 2 * d])
-        np.matmul(a.transpose(0, 2, 1), to[:, :, 3 * d :], out=to[:, :, 2 * d : 3 * d])
-        to_place += np.ones(len(a), dx.dtype) @ to.reshape(len(a), -1)
+        to_query = da @ key
+        key[:] = da.transpose(0, 2, 1) @ query
+        query[:] = to_query
+        value[:] = a.transpose(0, 2, 1) @ to
+        to_place += np.ones(len(a), x.dtype) @ own.reshape(len(a), -1)
     to_place = to_place.reshape(length, 4 * d)
-    to_slot = _sums(dx.reshape(-1, 4 * d), slots.ravel(), len(each))
+    to_slot = _sums(x.reshape(-1, 4 * d), slots.ravel(), len(each))
     to_by = w["token"].T @ to_slot + w["place"].T @ to_place
     value = to_by[:, 2 * d : 3 * d]
     g = {
@@ -537,12 +539,12 @@ def _sums(rows: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
     turn = np.argsort(size, kind="stable")
     place = np.empty(n, np.int16)
     place[turn] = np.arange(n)
-    rows, out, sizes = np.take(rows, np.argsort(place[of], kind="stable"), axis=0), np.zeros((n, rows.shape[1]), rows.dtype), size[turn]
+    order, out, sizes = np.argsort(place[of], kind="stable"), np.zeros((n, rows.shape[1]), rows.dtype), size[turn]
     first = np.flatnonzero(np.diff(sizes, prepend=0))
     done, ones = 0, np.ones(len(rows), rows.dtype)
     for k, last in zip(first, [*first[1:], n], strict=True):
         many = (last - k) * sizes[k]
-        out[turn[k:last]] = ones[: sizes[k]] @ rows[done : done + many].reshape(last - k, sizes[k], -1)
+        out[turn[k:last]] = ones[: sizes[k]] @ np.take(rows, order[done : done + many], axis=0).reshape(last - k, sizes[k], -1)
         done += many
     return out
 

@@ -348,6 +348,20 @@ def test_lm_gradients_are_summed_by_slot_before_weights():
     assert lm._sums(rows, of, 750) == pytest.approx(want)
 
 
+def test_lm_gradient_holds_one_array_of_products():
+    """A step's products with slots' vectors are its largest arrays: their gradients take their places."""
+    import tracemalloc
+
+    draw, n = np.random.default_rng(16), lm.CLASSES * lm.MEMBERS + 1
+    model = lm.begun(draw.integers(1, 50, 2001).astype(float), draw.poisson(0.2, (n, n)).astype(float))
+    ids, target = draw.integers(0, 2001, (2, 4 * lm.LARGE, lm.WINDOW))
+    tracemalloc.start()
+    lm._gradient(model, ids, target, np.ones(ids.shape, bool))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3.5 * ids.size * 4 * lm.WIDTH * 4
+
+
 def test_lm_lists_words_as_a_loop_does():
     draw = np.random.default_rng(14)
     odd = np.array([9, 10, 11, 12, 13, 32, 0, 28, 31, 97, 98, 133, 160, 194, 255], np.uint8)
