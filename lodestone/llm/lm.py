@@ -574,6 +574,7 @@ def _blocks(docs: DataFrame, ranks: str) -> DataFrame:
             nonlocal n
             n += 1
             each, whole, distinct = listed(texts)
+            pa.default_memory_pool().release_unused()  # else each worker keeps what a block's split took
             counts = np.bincount(whole[np.repeat(np.array(train), each)], minlength=len(distinct))
             pieces, begins = coder.of(distinct)
             many = np.diff(np.append(begins, len(pieces)))
