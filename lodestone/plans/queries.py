@@ -297,7 +297,7 @@ def term_counts(spark, d):
 
 @query(f"WITH {DOCS} SELECT doc_id, label, feature, round(tf, 4) AS tf FROM tf")
 def term_frequencies(spark, d):
-    return WT.tf(labelled(spark, d), words()).select("doc_id", "label", "feature", F.round("tf", 4).alias("tf"))
+    return WT.tf(labelled(spark, d), words()).select("doc_id", "label", "feature", WT.to_4(F.col("tf")).alias("tf"))
 
 
 @query(f"WITH {DOCS} SELECT feature, df FROM df")

@@ -245,6 +245,22 @@ def test_labels_are_not_broadcast(spark):
         assert plan.count("BroadcastExchange") == (name != "term_counts"), name
 
 
+def test_ties_of_weights_are_rounded_as_in_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from lodestone.plans.queries import ORACLE_SQL, QUERIES
+
+    shares = [(57, 800), (3, 20_000), (43, 4000), (1, 160), (1, 32)]
+    texts = [(k, " ".join(["a"] * n + ["b"] * (size - n))) for k, (n, size) in enumerate(shares)]
+    spark.createDataFrame(texts, "doc_id int, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, 1) for k, _ in texts[:3]], "doc_id int, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    con = duckdb.connect()
+    for name in ("documents", "labels"):
+        con.sql(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    for name in ("vector_lines", "vector_lines_tfidf", "term_frequencies", "tf_weights", "tfidf_weights"):
+        want = con.sql(ORACLE_SQL[name])
+        assert sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).select(*want.columns).collect())) == sorted(want.fetchall()), name
+
+
 def test_intermediate_tables_go(spark):
     rows = shared.written(spark.range(5).toDF("k"))
     path = rows.inputFiles()[0].removeprefix("file:").rpartition("/")[0]
