@@ -5,8 +5,11 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone.operators.shared import written
+
 
 def project(df: DataFrame, *columns: str) -> DataFrame:
     """Listed columns in order; one named twice comes once."""
@@ -44,20 +47,32 @@ def dealt(df: DataFrame, rows: int | None = None) -> DataFrame:
 def join_few(left: DataFrame, right: DataFrame, left_key: str, right_key: str, *conditions: Column) -> DataFrame:
     """Inner join by keys of few values, with many rows of each on both sides: dealt by the number of pairs, not of rows or keys.
 
-    conditions on one side alone go first (filter that side); all others may name both. A small right side is broadcast; a
-    larger one is sent to each part of a key's rows. Column names of the sides differ.
+    Both sides of a key are cut into groups, and any two groups meet in a cell of their own, which makes PAIRS pairs at most, about.
+    So a row is sent once for each group of the other side: of all pairs, one in hundreds is sent. A cell's pairs come left row by
+    left row, with the same right rows in turn, so saved columns repeat many times in a page and compress; for that, groups on the
+    right are the smaller ones and numbered, a multiple of 8 to keep packed bits in step.
+    conditions on one side alone go first (filter that side); all others may name both. Column names of the sides differ.
     """
     counts = [df.groupBy(F.col(k).alias(f"{side}_key")).agg(F.count("*").alias(side)) for side, df, k in (("a", left, left_key), ("b", right, right_key))]
-    pairs, keys, most = counts[0].join(counts[1], F.col("a_key") == F.col("b_key")).agg(F.sum(F.col("a").cast("double") * F.col("b")), F.count("*"), F.max(F.col("a").cast("double") * F.col("b"))).first()
-    tasks, same = int(-(-(pairs or 0) // PAIRS)), F.col(left_key) == F.col(right_key)
+    keys = counts[0].join(counts[1], F.col("a_key") == F.col("b_key"))
+    pairs = keys.agg(F.sum(F.col("a").cast("double") * F.col("b"))).first()[0]
+    tasks = int(-(-(pairs or 0) // PAIRS))
     if tasks < 2:
-        return join_on(left, right, same, *conditions)
-    if right.count() <= BROADCAST:
-        return join_on(left.repartition(tasks), F.broadcast(right), same, *conditions)
-    salts = max(1, int(-(-most // PAIRS)))
-    salted = left.withColumn("_salt_a", F.pmod(F.xxhash64(*left.columns), F.lit(salts))).repartition(tasks, left_key, "_salt_a")
-    copies = right.withColumn("_salt_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))).repartition(tasks, right_key, "_salt_b")
-    return join_on(salted, copies.hint("merge"), same, F.col("_salt_a") == F.col("_salt_b"), *conditions).drop("_salt_a", "_salt_b")
+        return join_on(left, right, F.col(left_key) == F.col(right_key), *conditions)
+    group = max(8, int(PAIRS**0.5 / 3) // 8 * 8)
+    cells = keys.select("a_key", "b_key", F.ceil(F.col("a") * group / PAIRS).alias("_a"), F.ceil(F.col("b") / group).alias("_b"))
+    cells = written(cells.withColumn("_end", F.sum(F.col("_a") * F.col("_b")).over(W.orderBy("a_key"))))
+    many, most = cells.agg(F.count("*"), F.max("_a")).first()
+    cells = F.broadcast(cells) if many <= BROADCAST else cells
+    # Left rows are grouped by the part that they are dealt to, by turns: equal ones part as well.
+    a = left.repartition(4 * most).withColumn("_nth", F.spark_partition_id()).join(cells, F.col(left_key) == F.col("a_key"))
+    a = a.withColumn("_nth", F.pmod("_nth", "_a")).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_b") - 1)))
+    a = a.select(*left.columns, (F.col("_end") - 1 - F.col("_nth") * F.col("_b") - F.col("_other")).alias("_cell"))
+    b = right.withColumn("_nth", F.row_number().over(W.partitionBy(right_key).orderBy(*right.columns)) - 1).join(cells, F.col(right_key) == F.col("b_key"))
+    b = b.withColumn("_nth", F.floor(F.col("_nth") / group)).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_a") - 1)))
+    b = b.select(*right.columns, (F.col("_end") - 1 - F.col("_other") * F.col("_b") - F.col("_nth")).alias("_cell_b"))
+    met = join_on(a.repartition(tasks, "_cell"), b.repartition(tasks, "_cell_b").hint("merge"), F.col("_cell") == F.col("_cell_b"), *conditions)
+    return met.drop("_cell", "_cell_b")
 
 
 def product(tables: list[DataFrame], *conditions: Column) -> DataFrame:

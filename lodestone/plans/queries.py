@@ -175,7 +175,7 @@ def join_strings(spark, d):
 @query("SELECT p_partkey, s_suppkey FROM part, supplier WHERE p_size = s_nationkey AND NOT p_brand = 'Brand#2'")
 def join_mixed_filter(spark, d):
     p, s = t(spark, d, "part").select("p_partkey", "p_size", "p_brand"), t(spark, d, "supplier").select("s_suppkey", "s_nationkey")
-    return R.join_few(p.where(~(p.p_brand == "Brand#2")), s, "p_size", "s_nationkey").select("p_partkey", "s_suppkey")
+    return R.join_few(p.where(~(p.p_brand == "Brand#2")).select("p_partkey", "p_size"), s, "p_size", "s_nationkey").select("p_partkey", "s_suppkey")
 
 
 @query("SELECT o_orderkey, c_name, n_name FROM orders, customer, nation WHERE o_custkey = c_custkey AND c_nationkey = n_nationkey AND o_totalprice > 1000")

@@ -218,6 +218,24 @@ def test_joins_by_few_keys_are_dealt_by_pairs(spark, monkeypatch):
     assert R.join_few(a, b.where("b > 9"), "a", "b").count() == 0
 
 
+def test_pairs_of_a_join_are_small_when_saved(spark, tmp_path):
+    a = spark.range(25_000).selectExpr("id AS x", "cast(id % 25 AS int) AS a")
+    b = spark.range(5_000).selectExpr("id * 7 AS y", "cast(id % 25 AS int) AS b")
+    R.join_few(a, b, "a", "b").select("x", "y").write.parquet(str(tmp_path / "pairs"))
+    got, whole = spark.read.parquet(str(tmp_path / "pairs")), R.join_on(a, b, F.col("a") == F.col("b"))
+    sums = [F.count("*"), F.sum(F.xxhash64("x", "y") % 1_000_003), F.sum("x"), F.sum("y")]
+    assert got.agg(*sums).first() == whole.agg(*sums).first() and got.count() == 5_000_000
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 5_000_000 / 2
+
+
+def test_equal_rows_of_a_join_part(spark, monkeypatch):
+    monkeypatch.setattr(R, "PAIRS", 200)
+    a, b = (spark.range(n).selectExpr(f"5 AS {v}", f"1 AS {k}") for n, v, k in ((400, "x", "a"), (30, "y", "b")))
+    got = R.join_few(a, b, "a", "b")
+    parts = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(parts) == 12_000 and max(parts) < 3_000
+
+
 def test_few_files_are_many_tasks(spark, monkeypatch):
     from lodestone.plans.queries import QUERIES
 
